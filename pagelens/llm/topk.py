@@ -96,7 +96,7 @@ def exact_topk(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     schema = "q LONG, s LONG, qids BINARY, ids BINARY, scores BINARY"
     lists = pairs.select("q", "s", "qids", "qv", "sids", "sv").mapInArrow(product, schema)
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         rows = table.to_pylist()
         m = len(rows[0]["qids"]) // 8
         ids = np.concatenate([np.frombuffer(r["ids"], np.int64).reshape(m, k) for r in rows], 1)
