@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pagelens.llm import topk
+from pagelens.llm import packing, quality, topk, warc
 
-QUERIES = {"op5_exact_topk": topk.op5_exact_topk}
+QUERIES = {
+    "op5_exact_topk": topk.op5_exact_topk,
+    "op6_packing": packing.op6_packing,
+    "op8_warc": warc.op8_warc,
+    "op9_quality": quality.op9_quality,
+}
 ORACLE_SQL = {"op5_exact_topk": topk.ORACLE_SQL}
