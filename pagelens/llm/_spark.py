@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             if b.num_rows:
                 yield b
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         for i, n in enumerate(lengths):
             if size + n > limit and i > start:
                 yield b.slice(start, i - start)
