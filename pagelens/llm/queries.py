@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pagelens.llm import lines, packing, quality, tokens, topk, warc
+from pagelens.llm import decontaminate, lines, packing, quality, tokens, topk, warc
 
 QUERIES = {
     "op1_token_blocks": tokens.op1_token_blocks,
     "op2_line_dedup": lines.op2_line_dedup,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_packing": packing.op6_packing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
 }
-ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL}
+ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL}
