@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import decontaminate, lines, packing, quality, tokens, topk, warc
+from pagelens.llm import decontaminate, htmltext, lines, packing, quality, tokens, topk, warc
 
 QUERIES = {
     "op1_token_blocks": tokens.op1_token_blocks,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_warc": warc.op8_warc,
     "op9_quality": quality.op9_quality,
+    "op10_html": htmltext.op10_html,
 }
 ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op5_exact_topk": topk.ORACLE_SQL, "op7_decontaminate": decontaminate.ORACLE_SQL}
