@@ -25,15 +25,16 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelens.llm._spark import with_row_id
 
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:pagelens:warc")
 DATE = "2024-01-01T00:00:00Z"
-_RECORD = "row LONG, page_id LONG, url STRING, kind STRING, digest STRING, payload STRING"
 
 
 def digest(payload: bytes) -> str:
@@ -42,7 +43,10 @@ def digest(payload: bytes) -> str:
 
 
 def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", kind_col: str | None = None, digest_col: str | None = None) -> DataFrame:
-    """(row, page_id, url, kind, digest, payload), one row per row of ``pages``; kind and digest may be given."""
+    """(row, page_id, url, kind, digest, payload), one row per row of ``pages``; kind and digest may be given.
+
+    ``digest`` is the SHA-1 in hexadecimal here, which Spark computes itself; headers have it in base 32.
+    """
     src = with_row_id(pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
@@ -50,14 +54,29 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         (F.col(f"`{kind_col}`") if kind_col else F.lit(None)).cast("string").alias("given_kind"),
         (F.col(f"`{digest_col}`") if digest_col else F.lit(None)).cast("string").alias("given_digest"),
     ), "row")
-    # SHA-1 and base 32 without Python: 40 hex digits are 8 groups of 5, each of which is 4 characters of base 32.
-    hexa = F.sha1(F.encode("payload", "utf-8"))
-    bits = F.lpad(F.conv(F.substring(hexa, 1, 10), 16, 2), 40, "0")
-    for k in range(1, 4):
-        bits = F.concat(bits, F.lpad(F.conv(F.substring(hexa, 10 * k + 1, 10), 16, 2), 40, "0"))
-    b32 = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(F.col("bits"), i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))))
+    given = _hexadecimal("given_digest") if digest_col else F.lit(None).cast("string")
     kind = F.coalesce("given_kind", F.when(F.col("payload").isNull(), "metadata").otherwise("response"))
-    return src.withColumn("bits", bits).select("row", "page_id", "url", kind.alias("kind"), F.when(F.col("payload").isNull(), F.col("given_digest")).otherwise(F.concat(F.lit("sha1:"), b32)).alias("digest"), "payload")
+    return src.select("row", "page_id", "url", kind.alias("kind"), F.coalesce(F.sha1(F.encode("payload", "utf-8")), given).alias("digest"), "payload")
+
+
+@F.pandas_udf(T.StringType())
+def _hexadecimal(digests: pd.Series) -> pd.Series:
+    """Digests as archives write them, in hexadecimal; anything else stays as it is."""
+
+    def one(d):
+        try:
+            return base64.b32decode(d[5:]).hex() if d is not None and d.startswith("sha1:") else d
+        except ValueError:
+            return d
+
+    return digests.map(one)
+
+
+def written(key: str | None) -> str | None:
+    """A digest as archives write it, from the hexadecimal key."""
+    if key is None or len(key) != 40:
+        return key
+    return "sha1:" + base64.b32encode(bytes.fromhex(key)).decode()
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -106,7 +125,7 @@ def archive(records: DataFrame) -> DataFrame:
             out = {k: [] for k in ("page_id", "warc_type", "record_id", "refers_to", "payload_digest", "content_length", "record")}
             cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
             for row, page, url, kind, dig, payload, o, op, ou in zip(*(cols[k] for k in ("row", "page_id", "url", "kind", "digest", "payload", "original_row", "original_page_id", "original_url"))):
-                kind = "revisit" if o is not None else kind
+                kind, dig = "revisit" if o is not None else kind, written(dig)
                 rid, ref = record_id(page, url, row), record_id(op, ou, o) if o is not None else None
                 body = b"" if kind == "metadata" else block(None if kind == "revisit" or payload is None else payload.encode())
                 full = header(kind, rid, url, dig, body, (ref, ou) if ref else None) + body + b"\r\n\r\n"
