@@ -1,0 +1 @@
+"""Operators on tables of documents: boxes, postings, matches, passages, snippets, sinks."""

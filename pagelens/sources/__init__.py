@@ -1,0 +1 @@
+"""Where documents come from: inline markup, files, byte regions of files."""
