@@ -66,7 +66,7 @@ def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
     empty = lambda: np.zeros(0, np.int64)
 
     def grams(batches):
-        for b in slices(batches, "t", 8 << 20):
+        for b in slices(batches, "t", 2 << 20):
             h, t = ngrams(words(points(b.column(1))), n)
             m = b.num_rows
             place = (h >> shift).astype(np.int64) * m + t

@@ -141,7 +141,7 @@ def _units(col: pa.ChunkedArray, n: int):
     size = np.cumsum([0, *(len(x.as_py() or "") for x in col)])
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(size, size[at] + (2 << 20))))
+        to = max(at + 1, int(np.searchsorted(size, size[at] + (1 << 20))))
         of, a, b, t = units(col.slice(at, min(to, n) - at))
         yield of + at, a, b, t
         at = to

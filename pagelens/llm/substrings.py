@@ -151,7 +151,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
     spark, shift = src.sparkSession, 64 - (segments.bit_length() - 1)
 
     def places(batches):
-        for b in slices(batches, "t", 8 << 20):
+        for b in slices(batches, "t", 2 << 20):
             _, _, _, _, h, _, rows, _, at = _suffixes(b, length, prefix)
             order, parts = by_segment(h, shift)
             h, rows, at = h[order], rows[order], at[order].astype(np.int32)
@@ -192,7 +192,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         if sent is not None:
             has = _tester([r[:3] for r in sent.value], segments, shift)
             hot_set = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in sent.value])) if sent.value else np.zeros(0, np.uint64)
-        for b in slices(batches, "t", 8 << 20):
+        for b in slices(batches, "t", 2 << 20):
             w, lo, count, place, h, docs, rows, rel, at = _suffixes(b, length, prefix)
             if sent is not None:
                 use, hot = has(h), np.isin(h, hot_set)
