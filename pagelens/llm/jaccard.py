@@ -9,12 +9,14 @@ r must share one of the first |x| - ceil(least * |x|) + 1 runs of both, in any c
 document frequency those of an ordinary document occur nowhere else, and it drops out. Documents that share
 one are connected, and the components are the blocks. Frequencies are exact counts over all documents.
 
-**Regions.** In a block, pivots are chosen by hash and every document goes to the region of the nearest one (its
-home). If y has its home at q, then d(x, q) <= d(x, y) + d(y, q) <= d(x, p) + 2 d(x, y) for the home p of x; so x
-is also put into each region q with d(x, q) <= d(x, p) + 2r, its window, and no pair is lost. A pair whose homes
-differ is reported in the region with the smaller number. Regions are split again until they are small; a region that windows don't
-make smaller is joined by direct comparison. Blocks of more than ``region`` documents are split by a distributed
-round first, and what stays larger is compared tile by tile, so no task holds more than two tiles.
+**Regions.** In a block, pivots are chosen by hash, and a document has its home at the nearest pivot, if that is
+within BALL; the others are far and form a region of their own. A pair is reported in the region of the smaller home
+(far comes last), so the other document must be there too. If x has its home at p, then d(y, p) <= d(x, p) + r, which
+is at most BALL + r, and at most d(y, q) + 2r for the home q of y: these two windows say which documents a region
+takes in besides its own, and no pair is lost. Regions, the far one included, are split again with new pivots until
+they are small, or no longer shrink; then they are compared directly, by the lists of documents of each run. Blocks of
+more than ``region`` documents are split by a distributed round first, and what stays larger is compared tile by tile,
+so no task holds more than two tiles.
 
 **Equal sets** are compared once: the first document (by id, row) of each set stands for it. The result has a row
 (first, copy, 1.0) for each copy, and a row for each pair of different sets within r; all pairs of copies follow.
@@ -139,12 +141,36 @@ def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
         at, to = bounds(h)
         pair = np.stack([np.repeat(row[at], to - at), row], 1)
         pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+        table = forest(pair[:, 0], pair[:, 1])
+        return table.append_column("part", pa.array(np.full(table.num_rows, key[0].as_py() // 8, np.int64)))
 
     packed = src.select("row", "t").mapInArrow(grams, "segment LONG, batch LONG, counts BINARY, h BINARY")
     counted = packed.groupBy("segment").applyInArrow(frequency, "batch LONG, segment LONG, counts BINARY, h BINARY, df BINARY")
     chosen = counted.groupBy("batch").applyInArrow(prefixes, "segment LONG, h BINARY, rows BINARY")
-    return chosen.groupBy("segment").applyInArrow(stars, "a LONG, b LONG")
+    # Forests of eight segments are put together before the components are sought among all.
+    one = chosen.groupBy("segment").applyInArrow(stars, "a LONG, b LONG, part LONG")
+    return one.groupBy("part").applyInArrow(lambda key, table: forest(table["a"].to_numpy(), table["b"].to_numpy()), "a LONG, b LONG")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """(a, b): each node with the smallest node that the edges connect it with."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    pairs = [(find(x), x) for x in list(parent)]
+    pairs = np.array([p for p in pairs if p[0] != p[1]], np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -163,68 +189,72 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 class Sets:
-    """Sets of hashes as one flat array of numbers."""
+    """Sets of hashes, and for every hash the sets that hold it."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.mark = np.zeros(len(values), bool)
+        _, self.flat, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.holders = np.repeat(np.arange(len(sets)), self.size)[np.argsort(self.flat, kind="stable")]
+        self.begin, self.many = np.concatenate([[0], np.cumsum(many)[:-1]]), many
 
-    def similarity(self, i: int, flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Jaccard similarity of set i to the sets in (flat, at, size)."""
+    def similarity(self, i: int) -> np.ndarray:
+        """Jaccard similarity of set i to every set; only sets that share a hash are touched."""
         own = self.flat[self.at[i] : self.at[i + 1]]
-        self.mark[own] = True
-        both = np.add.reduceat(self.mark[flat], at).astype(np.int64)
-        self.mark[own] = False
-        return both / (len(own) + size - both)
+        count = self.many[own]
+        end = np.cumsum(count)
+        hit = self.holders[np.arange(end[-1]) + np.repeat(self.begin[own] - (end - count), count)]
+        both = np.bincount(hit, minlength=len(self.size))
+        return both / (self.size[i] + self.size - both)
+
+
+#: A document further than this from all pivots has no home among them; it goes to the region of the far.
+BALL = 0.3
+
 
-    def part(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = self.size[members]
-        end = np.cumsum(size)
-        index = np.arange(end[-1]) + np.repeat(self.at[members] - (end - size), size)
-        return self.flat[index], end - size, size
+def assign(d: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each row of distances to pivots (the number of pivots for the far), and who is in each pivot's region."""
+    nearest = d.min(1, initial=np.inf)
+    home = np.where(nearest <= BALL, d.argmin(1) if d.shape[1] else 0, d.shape[1])
+    return home, d <= np.minimum(BALL + r, nearest + 2 * r)[:, None] + 1e-12
 
 
-def voronoi_join(sets: Sets, least: float, small: int = 128, pivots: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def voronoi_join(sets: Sets, least: float, small: int = 128, pivots: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All (i, j, similarity) with i < j and similarity of at least ``least``."""
     r = 1 - least
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    # A task is (members, for each member its home number, the region's number): pairs of two homes belong to the smaller.
-    todo = [(np.arange(len(sets.size)), [])]
+    # A region is (members, [(home of every member, number of the region)]): it reports a pair if the smaller home is its own.
+    todo: list[tuple[np.ndarray, list]] = [(np.arange(len(sets.size)), [])]
     while todo:
         members, rules = todo.pop()
         if len(members) > small:
             order = np.argsort(mix(members.astype(np.uint64) + np.uint64(len(rules))))[:pivots]
-            flat, at, size = sets.part(members)
-            d = 1 - np.stack([sets.similarity(int(members[p]), flat, at, size) for p in order], 1)
-            home = d.argmin(1)
-            near = d <= d.min(1, keepdims=True) + 2 * r + 1e-12
-            counts = near.sum(0)
-            if counts.max() <= 0.7 * len(members):
-                for q in range(len(order)):
-                    inside = np.flatnonzero(near[:, q])
-                    if len(inside) > 1:
-                        todo.append((members[inside], [*((h[inside], k) for h, k in rules), (home[inside], q)]))
+            d = 1 - np.stack([sets.similarity(int(members[p]))[members] for p in order], 1)
+            home, near = assign(d, r)
+            inside = [*(np.flatnonzero(near[:, q]) for q in range(len(order))), np.flatnonzero(home == len(order))]
+            if max(map(len, inside)) <= 0.8 * len(members):
+                todo += [(members[x], [*((h[x], k) for h, k in rules), (home[x], q)]) for q, x in enumerate(inside) if len(x) > 1]
                 continue
-        flat, at, size = sets.part(members)
-        for x in range(len(members) - 1):
-            s = sets.similarity(int(members[x]), flat[at[x + 1] :], at[x + 1 :] - at[x + 1], size[x + 1 :])
-            hit = np.flatnonzero(s >= least - 1e-12)
-            y = hit + x + 1
+        place = np.full(len(sets.size), -1)
+        place[members] = np.arange(len(members))
+        for x, i in enumerate(members.tolist()):
+            s = sets.similarity(i)
+            j = np.flatnonzero(s >= least - 1e-12)
+            y = place[j]
+            use = y > x
+            j, y = j[use], y[use]
             for h, q in rules:
                 ok = np.minimum(h[x], h[y]) == q
-                ok &= (h[x] == q) | (h[y] == q)
-                y, hit = y[ok], hit[ok]
-            if len(y):
-                out.append((np.full(len(y), members[x]), members[y], s[hit]))
+                j, y = j[ok], y[ok]
+            if len(j):
+                out.append((np.full(len(j), i), j, s[j]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
 _PAIR = "row_a LONG, row_b LONG, doc_a LONG, doc_b LONG, jaccard DOUBLE"
-_MEMBER = "region LONG, q LONG, home LONG, chunk INT, ci INT, cj INT, row LONG, doc LONG, grams BINARY"
+_MEMBER = "region LONG, q INT, home INT, chunk INT, ci INT, cj INT, row LONG, doc LONG, grams BINARY"
 
 
 def _join_block(docs, rows, grams, least, allowed) -> pa.Table:
@@ -257,22 +287,26 @@ def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int |
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments = segments or 1 << max(4, (shuffle - 1).bit_length())
     blocks = components(edges(src, n, least, segments)).select(F.col("node").alias("r"), F.col("root").alias("block"))
-    many, largest = blocks.groupBy("block").count().agg(F.sum("count"), F.max("count")).first()
-    # Two numbers a document; beyond the limit both sides are shuffled.
-    side = F.broadcast(blocks) if (many or 0) * 32 <= broadcast_bytes else blocks
-    inside = src.join(side, F.col("row") == F.col("r")).select("block", "row", "doc", "t")
+    sizes = blocks.groupBy("block").count()
+    many, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+    # A few numbers a document; beyond the limit both sides are shuffled.
+    near = lambda df, rows: F.broadcast(df) if (rows or 0) * 64 <= broadcast_bytes else df
+    place = blocks.select("r", F.col("block").alias("region"), F.lit(0).alias("q"), F.lit(0).alias("home"), F.lit(0).alias("chunk"), F.lit(0).alias("ci"), F.lit(0).alias("cj"))
+    if (largest or 0) > region:
+        big = sizes.filter(F.col("count") > region)
+        split = keep(_split(src, blocks.join(big, "block"), n, least, region, broadcast_bytes))
+        place = place.join(big.select(F.col("block").alias("region")), "region", "left_anti").unionByName(split)
+        many += split.count()
+    inside = src.join(near(place, many), F.col("row") == F.col("r")).select("region", "q", "home", "chunk", "ci", "cj", "row", "doc", "t")
 
     def sets(batches):
         for b in slices(batches, "t"):
-            h, t = gram_sets(b.column(3), n)
+            h, t = gram_sets(b.column(8), n)
             at = np.searchsorted(t, np.arange(b.num_rows + 1))
-            docs = pa.array([_NULL if x is None else x for x in b.column(2).to_pylist()], pa.int64())
-            zero = pa.array(np.zeros(b.num_rows, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(0), zero, zero, zero, b.column(1), docs, pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], ["region", "q", "home", "chunk", "ci", "cj", "row", "doc", "grams"])
+            docs = pa.array([_NULL if x is None else x for x in b.column(7).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], docs, pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], [*b.schema.names[:8], "grams"])
 
     members = inside.mapInArrow(sets, _MEMBER)
-    if (largest or 0) > region:
-        members = _split(members, least, region)
 
     def join(key, table):
         out = []
@@ -284,7 +318,7 @@ def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int |
             q, home, chunk, ci, cj = get("q")[0], get("home"), get("chunk"), get("ci")[0], get("cj")[0]
 
             def allowed(a, b, q=q, home=home, chunk=chunk, ci=ci, cj=cj):
-                return ((home[a] == q) | (home[b] == q)) & (np.minimum(home[a], home[b]) == q) & (np.minimum(chunk[a], chunk[b]) == ci) & (np.maximum(chunk[a], chunk[b]) == cj)
+                return (np.minimum(home[a], home[b]) == q) & (np.minimum(chunk[a], chunk[b]) == ci) & (np.maximum(chunk[a], chunk[b]) == cj)
 
             out.append(_join_block(get("doc"), get("row"), t["grams"].to_pylist(), least, allowed))
         return pa.concat_tables(out)
@@ -292,38 +326,45 @@ def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int |
     return members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(4 * shuffle))).groupBy("task").applyInArrow(lambda k, t: join(k, t.drop_columns(["task"])), _PAIR)
 
 
-def _split(members: DataFrame, least: float, region: int) -> DataFrame:
-    """Blocks with more than ``region`` documents to Voronoi regions; regions that stay larger to pairs of tiles."""
-    members = keep(members)
-    size = members.groupBy("region").count()
-    big = size.filter(F.col("count") > region).select("region", F.ceil(F.col("count") * 4 / region).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("row"), "row"))
-    pivots = members.join(big, "region").withColumn("i", rank).filter(F.col("i") <= F.col("k")).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("i", "grams"))).alias("p")).select("region", "p.grams")
-    pivots = pivots.withColumnRenamed("grams", "pivots")
-
-    def assign(batches):
-        for b in batches:
-            out = {k: [] for k in ("region", "q", "home", "row", "doc", "grams")}
-            for reg, row, doc, grams, ps in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("region", "row", "doc", "grams", "pivots"))):
-                x = np.frombuffer(grams, np.uint64)
-                p = [np.frombuffer(g, np.uint64) for g in ps]
-                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for y in p])
-                d = 1 - both / np.maximum(1, len(x) + np.array([len(y) for y in p]) - both)
-                ids = mix(np.arange(len(p), dtype=np.uint64) + mix(np.array([reg], np.int64).view(np.uint64))[0]).view(np.int64)
-                home = int(ids[d.argmin()])
-                for q in np.flatnonzero(d <= d.min() + 2 * (1 - least) + 1e-12):
-                    for k, v in zip(out, (int(ids[q]), int(ids[q]), home, row, doc, grams)):
+def _split(src: DataFrame, blocks: DataFrame, n: int, least: float, region: int, broadcast_bytes: int) -> DataFrame:
+    """Where the rows of large blocks go: Voronoi regions, and pairs of tiles for regions that stay large.
+
+    ``blocks`` has (block, r, count). The pivots' sets are sent to all tasks if they have at most
+    ``broadcast_bytes``; else every document counts as far, and tiles do all the work.
+    """
+    w = Window.partitionBy("block").orderBy(F.xxhash64("r"), "r")
+    chosen = blocks.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= F.least(F.lit(32), 4 * F.ceil(F.col("count") / region))).select("block", "r")
+    texts = src.join(chosen, F.col("row") == F.col("r")).select("block", "row", "t")
+    pivots: dict[int, list[np.ndarray]] = {}
+    if (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= broadcast_bytes // 2:
+        for block, row, t in sorted(texts.collect(), key=lambda x: x[1]):
+            pivots.setdefault(block, []).append(gram_sets(pa.array([t]), n)[0])
+    sent = src.sparkSession.sparkContext.broadcast(pivots)
+
+    def regions(batches):
+        for b in slices(batches, "t"):
+            h, t = gram_sets(b.column(2), n)
+            at = np.searchsorted(t, np.arange(b.num_rows + 1))
+            out = {"r": [], "region": [], "q": [], "home": []}
+            for i, (block, row) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                x, ps = h[at[i] : at[i + 1]], sent.value.get(block, [])
+                both = np.array([np.isin(p, x, assume_unique=True).sum() for p in ps], np.int64)
+                d = 1 - both / np.maximum(1, len(x) + np.array([len(p) for p in ps], np.int64) - both)
+                home, inside = assign(d[None, :], 1 - least)
+                numbers = set(np.flatnonzero(inside[0]).tolist()) | {int(home[0])}
+                for q in sorted(numbers):
+                    for k, v in zip(out, (row, int(mix(np.array([block * 64 + q], np.int64).view(np.uint64)).view(np.int64)[0]), q, int(home[0]))):
                         out[k].append(v)
-            zero = pa.array(np.zeros(len(out["row"]), np.int32))
-            i64 = lambda k: pa.array(out[k], pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([i64("region"), i64("q"), i64("home"), zero, zero, zero, i64("row"), i64("doc"), pa.array(out["grams"], pa.binary())], ["region", "q", "home", "chunk", "ci", "cj", "row", "doc", "grams"])
-
-    split = keep(members.join(pivots, "region").select("region", "row", "doc", "grams", "pivots").mapInArrow(assign, _MEMBER))
-    rest = members.join(pivots, "region", "left_anti").select(split.columns)
-    tiles = split.groupBy("region").agg(F.ceil(F.count("*") / region).cast("int").alias("c"))
-    chunked = split.join(tiles, "region").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    chunked = chunked.withColumn("ci", F.least("chunk", "o").cast("int")).withColumn("cj", F.greatest("chunk", "o").cast("int")).withColumn("region", F.xxhash64("region", "ci", "cj"))
-    return rest.unionByName(chunked.select(split.columns))
+            yield pa.RecordBatch.from_pydict({"r": pa.array(out["r"], pa.int64()), "region": pa.array(out["region"], pa.int64()), "q": pa.array(out["q"], pa.int32()), "home": pa.array(out["home"], pa.int32())})
+
+    side = blocks.select("block", "r")
+    small = (blocks.count() or 0) * 32 <= broadcast_bytes
+    inside = src.join(F.broadcast(side) if small else side, F.col("row") == F.col("r")).select("block", "row", "t")
+    placed = keep(inside.mapInArrow(regions, "r LONG, region LONG, q INT, home INT"))
+    tiles = placed.groupBy("region").agg(F.ceil(F.count("*") / region).cast("int").alias("c"))
+    x = placed.join(tiles, "region").withColumn("chunk", F.pmod(F.xxhash64("r"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    x = x.withColumn("ci", F.least("chunk", "o").cast("int")).withColumn("cj", F.greatest("chunk", "o").cast("int"))
+    return x.select("r", F.xxhash64("region", "ci", "cj").alias("region"), "q", "home", "chunk", "ci", "cj")
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
