@@ -16,6 +16,17 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 << 20
 
 
+# Buffers go back to the system when they are freed, so a worker's memory follows what it holds.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def small_batches(spark: SparkSession, rows: str = "1000") -> None:
+    """Send whole texts to Python in batches of 1,000 rows, unless the session says otherwise than Spark's 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     sc = spark.sparkContext
@@ -60,6 +71,7 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     runs again. Any other plan could deliver its rows in another order after a retry, so its rows are
     written to the shared folder first and counted there.
     """
+    small_batches(df.sparkSession)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     if any(m in plan for m in _MOVES):
         df = store(df)

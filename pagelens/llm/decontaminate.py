@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, slices
+from pagelens.llm._spark import BROADCAST_BYTES, fresh, slices, small_batches
 from pagelens.llm._text import Words, points, spans_hash, words
 
 SPANS = "array<struct<s:int,e:int,ws:int,we:int,items:array<bigint>>>"
@@ -243,6 +243,7 @@ def _annotate(docs: DataFrame, text_col: str, spans: str, part, shard_words: int
 
 def with_spans(docs: DataFrame, benchmark: DataFrame, spans: str, n: int = 8, least: int = 5, shard_words: int = 500_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with a column ``spans`` of merged removal spans (characters s..e, words ws..we, item ids)."""
+    small_batches(docs.sparkSession)
     bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).dropna()
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-int(size) // max(1, broadcast_bytes)))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import slices
+from pagelens.llm._spark import slices, small_batches
 from pagelens.llm._text import ngrams, points, words
 from pagelens.llm.quality import Forest, train
 
@@ -330,6 +330,7 @@ def fit(pages: DataFrame, documents: DataFrame, sample: int = 300, id_col: str =
 
 def extract(pages: DataFrame, model: Forest | None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, elements, kept): the content of every page."""
+    small_batches(pages.sparkSession)
     src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches):

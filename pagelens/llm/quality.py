@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import fresh, slices, struct
+from pagelens.llm._spark import fresh, slices, small_batches, struct
 from pagelens.llm._text import DIGIT, LETTER, SPACE, UPPER, points, runs, spans_hash, tables, words
 
 FEATURES = [
@@ -168,6 +168,7 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: f
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``sample`` documents, the ones with the smallest hash of their id."""
+    small_batches(docs.sparkSession)
     few = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("double").alias("y")).dropna()
     few = few.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
     # At most ``sample`` pairs of numbers.

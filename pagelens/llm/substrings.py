@@ -151,7 +151,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
     spark, shift = src.sparkSession, 64 - (segments.bit_length() - 1)
 
     def places(batches):
-        for b in slices(batches, "t", 2 << 20):
+        for b in slices(batches, "t"):
             _, _, _, _, h, _, rows, _, at = _suffixes(b, length, prefix)
             order, parts = by_segment(h, shift)
             h, rows, at = h[order], rows[order], at[order].astype(np.int32)
@@ -192,7 +192,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         if sent is not None:
             has = _tester([r[:3] for r in sent.value], segments, shift)
             hot_set = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in sent.value])) if sent.value else np.zeros(0, np.uint64)
-        for b in slices(batches, "t", 2 << 20):
+        for b in slices(batches, "t"):
             w, lo, count, place, h, docs, rows, rel, at = _suffixes(b, length, prefix)
             if sent is not None:
                 use, hot = has(h), np.isin(h, hot_set)
@@ -224,6 +224,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
                 add(-1, True, docs=np.repeat(docs[sel], c), rows=np.repeat(rows[sel], c), lo=(np.repeat(rel[sel], c) + j).astype(np.int32), w1=spans_hash(w.hash, start, start + length), w2=spans_hash(mix(w.hash), start, start + length, 0xC2B2AE3D27D4EB4F))
             yield pa.RecordBatch.from_pydict({k: pa.array(v, columns[k]) for k, v in out.items()})
 
+    any_hot = any(r[0] for r in known.select(F.length("hot") > 0).distinct().collect())
     shipped = joined.mapInArrow(suffixes, ", ".join(f"{k} {'LONG' if k == 'segment' else 'BOOLEAN' if k == 'hot' else 'BINARY'}" for k in columns))
 
     def subtree(key, table):
@@ -231,8 +232,9 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         found = leaves(get("anchor", np.uint64), get("docs", np.int64), get("rows", np.int64), get("lo", np.int32).astype(np.int64), get("count", np.uint8).astype(np.int64), get("words", np.uint32), length)
         return intervals(*(found or (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)), length)
 
+    if any_hot:  # both kinds of groups come from one pass over the texts
+        shipped = store(shipped)
     trees = shipped.filter("NOT hot").groupBy("segment").applyInArrow(subtree, _INTERVAL)
-    any_hot = any(r[0] for r in known.select(F.length("hot") > 0).distinct().collect())
     if not any_hot:
         return trees
 
@@ -242,6 +244,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
                 yield pa.RecordBatch.from_pydict({k: np.frombuffer(x, t) for k, x, t in (("doc", docs, np.int64), ("row", rows, np.int64), ("ws", lo, np.int32), ("w1", w1, np.int64), ("w2", w2, np.int64))})
 
     each = shipped.filter("hot").select("docs", "rows", "lo", "w1", "w2").mapInArrow(flat, "doc LONG, row LONG, ws INT, w1 LONG, w2 LONG")
+    each = store(each)
     one = each.groupBy("w1", "w2").agg(F.min(F.struct("doc", "row", "ws")).alias("o"), F.count("*").alias("n")).filter("n > 1")
     hit = each.join(one, ["w1", "w2"]).select("doc", "row", ((F.col("o.row") != F.col("row")) | (F.col("o.ws") != F.col("ws"))).alias("later"), "ws", (F.col("ws") + length).alias("we"))
     return trees.unionByName(hit.select("doc", "row", F.lit(False).alias("duplicate"), "ws", "we")).unionByName(hit.filter("later").select("doc", "row", F.lit(True).alias("duplicate"), "ws", "we"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import slices
+from pagelens.llm._spark import slices, small_batches
 
 BLOCK, HEAD = 128, 7
 
@@ -113,6 +113,7 @@ def token_blocks(docs: DataFrame, tokenizer: str | None = None, share: float = 0
 
     ``tokenizer`` is the path of a file of BPE ranks that every executor can read.
     """
+    small_batches(docs.sparkSession)
     if tokenizer is None:
         import public_tokenizers
 
