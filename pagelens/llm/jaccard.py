@@ -173,9 +173,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of the graph (a, b) is connected with."""
-    both = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+def components(pairs: DataFrame, at_once: int = 2_000_000) -> DataFrame:
+    """(node, root): the smallest node that each node of the graph (a, b) is connected with.
+
+    Up to ``at_once`` edges are joined by one task. More are first cut to forests of so many edges each, and then
+    every node takes the smallest root among its neighbours, and the root of that one, until none changes.
+    """
+    pairs = keep(pairs.select("a", "b"))
+    parts = max(1, -(-pairs.count() // at_once))
+    trees = pairs.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(parts)) if parts > 1 else F.lit(0))
+    trees = trees.groupBy("part").applyInArrow(lambda key, table: forest(table["a"].to_numpy(), table["b"].to_numpy()), "a LONG, b LONG")
+    if parts == 1:
+        trees = keep(trees)
+        return trees.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(trees.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    both = keep(trees.unionByName(trees.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))

@@ -157,6 +157,15 @@ def test_jaccard_pairs(spark, awkward, region, limit):
     assert jaccard.jaccard_pairs(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1000, 7])
+def test_components(spark, at_once):
+    edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 40), (60, 61), (61, 62), (62, 60)]
+    df = spark.createDataFrame(edges, "a LONG, b LONG")
+    got = {r.node: r.root for r in jaccard.components(df, at_once).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40, 60: 60, 61: 60, 62: 60}
+    assert jaccard.components(df.limit(0), at_once).count() == 0
+
+
 def test_voronoi_regions_lose_no_pair():
     g = np.random.default_rng(1)
     sets = []
