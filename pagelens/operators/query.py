@@ -160,11 +160,11 @@ def phrase_spans(p: DataFrame, terms: tuple[str, ...], slop: int = 0) -> DataFra
             out = one
             continue
         if slop == 0:
-            out = out.join(one.withColumn("want", F.col(f"pos_{i}") - i), (out.doc_id == one.doc_id) & (F.col("pos_0") == F.col("want"))).drop(one.doc_id).drop("want")
+            out = out.join(one.withColumn("pos_0", F.col(f"pos_{i}") - i), ["doc_id", "pos_0"])
         else:
             near = F.col(f"pos_{i}").between(F.col("pos_0") + i - slop, F.col("pos_0") + i + slop)
             differs = reduce(lambda a, b: a & b, (F.col(f"pos_{i}") != F.col(f"pos_{j}") for j in range(i)))
-            out = out.join(one, (out.doc_id == one.doc_id) & near & differs).drop(one.doc_id)
+            out = out.join(one, "doc_id").filter(near & differs)
     n = len(terms)
     cols = lambda c: [F.col(f"{c}_{i}") for i in range(n)]
     if slop:

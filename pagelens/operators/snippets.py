@@ -33,10 +33,12 @@ def words(passages: DataFrame, boxes: DataFrame, spans: DataFrame, options: High
     else:
         b = b.withColumn("hyphen_start", F.lit(None).cast("boolean")).withColumn("dehyphenated", F.lit(None).cast("string")).withColumn("prev_start", F.lit(False))
     end = F.col("text_off") + F.col("src_len")
-    hits = b.select("doc_id", "box_seq", "text_off", end.alias("end")).join(spans, "doc_id").filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("text_off")))
+    # The offsets of a hyphenated word count its joined form from the first part on.
+    joined = F.coalesce(F.col("hyphen_start"), F.lit(False)) & (F.col("e") <= F.col("text_off") + F.octet_length("dehyphenated"))
+    hits = b.select("doc_id", "box_seq", "text_off", "hyphen_start", "dehyphenated", end.alias("end")).join(spans, "doc_id").filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("text_off")))
     # Tags go in from the right, so earlier places stay valid.
     lo, hi = F.greatest(F.col("s"), F.col("text_off")) - F.col("text_off"), F.least(F.col("e"), F.col("end")) - F.col("text_off")
-    tags = hits.groupBy("doc_id", "box_seq").agg(F.array_sort(F.collect_list(F.struct((-lo).alias("k"), lo.alias("lo"), hi.alias("hi"), (F.col("s") >= F.col("text_off")).alias("opens"), (F.col("e") <= F.col("end")).alias("closes"), "span_id"))).alias("tags"))
+    tags = hits.groupBy("doc_id", "box_seq").agg(F.array_sort(F.collect_list(F.struct((-lo).alias("k"), lo.alias("lo"), hi.alias("hi"), (F.col("s") >= F.col("text_off")).alias("opens"), ((F.col("e") <= F.col("end")) | F.coalesce(joined, F.lit(False))).alias("closes"), "span_id"))).alias("tags"))
     bounds = passages.select("doc_id", "rank", "score", "p_start", "p_end", "p_first", "p_last")
     inside = bounds.join(b, "doc_id").filter(F.col("box_seq").between(F.col("p_first"), F.col("p_last")) | (F.col("prev_start") & (F.col("box_seq") == F.col("p_last") + 1)))
     x = inside.join(tags, ["doc_id", "box_seq"], "left")
