@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, slices, store, with_row_id
-from pagelens.llm._text import mix, points, spans_hash, words
+from pagelens.llm._text import _WORD_BASE, mix, points, spans_hash, words
 from pagelens.llm.lines import Bloom, _tester
 
 _NULL = np.iinfo(np.int64).max
@@ -186,9 +186,8 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         found = packed.groupBy("segment").applyInArrow(addresses, "r LONG, place INT, hot BOOLEAN").groupBy("r").agg(F.collect_list(F.struct("place", "hot")).alias("found"))
         joined = src.join(found, F.col("row") == F.col("r")).select("doc", "row", "t", "found")
 
-    columns = {"segment": pa.int64(), "hot": pa.bool_(), **{k: pa.binary() for k in ("anchor", "docs", "rows", "lo", "count", "words", "w1", "w2")}}
-
-    def suffixes(batches):
+    def chosen(batches):
+        """Suffixes of the batches' documents, which of them are shuffled, and which of these are in hot groups."""
         if sent is not None:
             has = _tester([r[:3] for r in sent.value], segments, shift)
             hot_set = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in sent.value])) if sent.value else np.zeros(0, np.uint64)
@@ -200,50 +199,48 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
                 told = {(r, f["place"]): f["hot"] for r, fs in zip(b.column(1).to_pylist(), b.column(3).to_pylist()) for f in fs}
                 pair = [told.get(x) for x in zip(rows.tolist(), at.tolist())]
                 use, hot = np.array([x is not None for x in pair], bool), np.array([bool(x) for x in pair], bool)
-            out: dict[str, list] = {k: [] for k in columns}
+            yield w, lo, count, h, docs, rows, rel, use, hot
 
-            def add(segment, is_hot, **arrays):
-                out["segment"].append(segment)
-                out["hot"].append(is_hot)
-                for k in list(columns)[2:]:
-                    out[k].append(arrays[k].tobytes() if k in arrays else None)
+    columns = ("anchor", "docs", "rows", "lo", "count", "words")
 
+    def suffixes(batches):
+        for w, lo, count, h, docs, rows, rel, use, hot in chosen(batches):
             sel = np.flatnonzero(use & ~hot)
             order, parts = by_segment(h[sel], shift)
             sel = sel[order]
             low = w.hash.astype(np.uint32)
+            out: dict[str, list] = {k: [] for k in ("segment", *columns)}
             for s, x, y in parts:
                 i = sel[x:y]
-                add(s, False, anchor=h[i], docs=docs[i], rows=rows[i], lo=rel[i].astype(np.int32), count=count[i].astype(np.uint8), words=np.concatenate([low[lo[k] : lo[k] + count[k] + length - 1] for k in i]))
+                run = np.concatenate([low[lo[k] : lo[k] + count[k] + length - 1] for k in i])
+                for k, v in zip(out, (s, h[i], docs[i], rows[i], rel[i].astype(np.int32), count[i].astype(np.uint8), run)):
+                    out[k].append(v if k == "segment" else v.tobytes())
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "segment" else pa.binary()) for k, v in out.items()})
+
+    def windows(batches):
+        for w, lo, count, _, docs, rows, rel, use, hot in chosen(batches):
             sel = np.flatnonzero(use & hot)
-            if len(sel):
-                c = count[sel]
-                t = np.cumsum(c)
-                j = np.arange(t[-1]) - np.repeat(t - c, c)
-                start = np.repeat(lo[sel], c) + j
-                add(-1, True, docs=np.repeat(docs[sel], c), rows=np.repeat(rows[sel], c), lo=(np.repeat(rel[sel], c) + j).astype(np.int32), w1=spans_hash(w.hash, start, start + length), w2=spans_hash(mix(w.hash), start, start + length, 0xC2B2AE3D27D4EB4F))
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, columns[k]) for k, v in out.items()})
+            if not len(sel):
+                continue
+            c = count[sel]
+            t = np.cumsum(c)
+            j = np.arange(t[-1]) - np.repeat(t - c, c)
+            start = np.repeat(lo[sel], c) + j
+            keys = [spans_hash(v, start, start + length, base).view(np.int64) for v, base in ((w.hash, _WORD_BASE), (mix(w.hash), 0xC2B2AE3D27D4EB4F))]
+            yield pa.RecordBatch.from_pydict({"doc": np.repeat(docs[sel], c), "row": np.repeat(rows[sel], c), "ws": (np.repeat(rel[sel], c) + j).astype(np.int32), "w1": keys[0], "w2": keys[1]})
 
-    any_hot = any(r[0] for r in known.select(F.length("hot") > 0).distinct().collect())
-    shipped = joined.mapInArrow(suffixes, ", ".join(f"{k} {'LONG' if k == 'segment' else 'BOOLEAN' if k == 'hot' else 'BINARY'}" for k in columns))
+    shipped = joined.mapInArrow(suffixes, "segment LONG, " + ", ".join(f"{k} BINARY" for k in columns))
 
     def subtree(key, table):
         get = lambda k, t: np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()])
         found = leaves(get("anchor", np.uint64), get("docs", np.int64), get("rows", np.int64), get("lo", np.int32).astype(np.int64), get("count", np.uint8).astype(np.int64), get("words", np.uint32), length)
         return intervals(*(found or (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)), length)
 
-    if any_hot:  # both kinds of groups come from one pass over the texts
-        shipped = store(shipped)
-    trees = shipped.filter("NOT hot").groupBy("segment").applyInArrow(subtree, _INTERVAL)
-    if not any_hot:
+    trees = shipped.groupBy("segment").applyInArrow(subtree, _INTERVAL)
+    if not any(r[0] for r in known.select(F.length("hot") > 0).distinct().collect()):
         return trees
-
-    def flat(batches):
-        for b in batches:
-            for docs, rows, lo, w1, w2 in zip(*(b.column(i).to_pylist() for i in range(5))):
-                yield pa.RecordBatch.from_pydict({k: np.frombuffer(x, t) for k, x, t in (("doc", docs, np.int64), ("row", rows, np.int64), ("ws", lo, np.int32), ("w1", w1, np.int64), ("w2", w2, np.int64))})
-
-    each = shipped.filter("hot").select("docs", "rows", "lo", "w1", "w2").mapInArrow(flat, "doc LONG, row LONG, ws INT, w1 LONG, w2 LONG")
+    # The keys of hot groups are rows of five numbers, written once for the two uses below.
+    each = joined.mapInArrow(windows, "doc LONG, row LONG, ws INT, w1 LONG, w2 LONG")
     each = store(each)
     one = each.groupBy("w1", "w2").agg(F.min(F.struct("doc", "row", "ws")).alias("o"), F.count("*").alias("n")).filter("n > 1")
     hit = each.join(one, ["w1", "w2"]).select("doc", "row", ((F.col("o.row") != F.col("row")) | (F.col("o.ws") != F.col("ws"))).alias("later"), "ws", (F.col("ws") + length).alias("we"))
