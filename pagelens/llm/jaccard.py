@@ -345,7 +345,9 @@ def _split(src: DataFrame, blocks: DataFrame, n: int, least: float, region: int,
     """
     w = Window.partitionBy("block").orderBy(F.xxhash64("r"), "r")
     chosen = blocks.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= F.least(F.lit(32), 4 * F.ceil(F.col("count") / region))).select("block", "r")
-    texts = src.join(chosen, F.col("row") == F.col("r")).select("block", "row", "t")
+    chosen = keep(chosen)
+    few = F.broadcast(chosen) if chosen.count() * 32 <= broadcast_bytes else chosen
+    texts = src.join(few, F.col("row") == F.col("r")).select("block", "row", "t")
     pivots: dict[int, list[np.ndarray]] = {}
     if (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= broadcast_bytes // 2:
         for block, row, t in sorted(texts.collect(), key=lambda x: x[1]):
