@@ -62,7 +62,8 @@ def anchors(hash_: np.ndarray, first: np.ndarray, length: int, prefix: int) -> t
         return none
     a = place[valid]
     cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (np.diff(valid) != 1)))
-    return valid[cut], np.diff(np.append(cut, len(valid))), a[cut], grams[a[cut]]
+    # Smallest hashes are small: mixed again, they spread over the segments.
+    return valid[cut], np.diff(np.append(cut, len(valid))), a[cut], mix(grams[a[cut]])
 
 
 def by_segment(h: np.ndarray, shift: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
