@@ -261,7 +261,9 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(pages: DataFrame, documents: DataFrame, sample: int = 300, id_col: str = "page_id", html_col: str = "html", text_col: str = "text", share: float = 0.3, **kw) -> Forest | None:
     """Train on at most ``sample`` pages, labelled by their source documents; None if no page has one."""
     few = pages.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{html_col}`").cast("string").alias("h")).filter("h IS NOT NULL")
-    sources = [r[1] for r in few.orderBy(F.xxhash64("i"), "h").limit(sample).collect()]
+    # The ids' hashes decide first, so that no task sends more pages than belong to the sample.
+    last = few.select(F.xxhash64("i").alias("k")).orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    sources = [r[1] for r in few.filter(F.xxhash64("i") <= F.lit(last)).orderBy(F.xxhash64("i"), "h").limit(sample).collect()]
     trees = [parse(s) for s in sources]
     chunk_text = [s for t in trees for _, s in t.chunks]
     chunk_page = np.repeat(np.arange(len(trees)), [len(t.chunks) for t in trees])

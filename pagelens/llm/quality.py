@@ -11,8 +11,8 @@ choice is the same in every run); scoring covers every document, whole texts.
 Results for special input:
 
 * a null or empty text: all statistics are 0; it gets the score of such a document like any other;
-* a null label, or a label without document: not used for training; with no usable label, or labels of one class
-  only, every score is the share of good labels (1.0 without labels), so nothing is rejected without evidence;
+* a null label, or a label without document: not used for training; with labels of one class
+  only, every score is near 0 or 1 as the labels are, and 1 without any label;
 * a null or repeated id, repeated rows: each row is scored by its own text; ids only tie labels to documents;
 * an empty table: no rows; other columns are kept by ``reject`` and ignored by ``score``.
 """
