@@ -1,17 +1,18 @@
 """Packing: order-preserving dynamic programming over window cuts, with monotone-queue transitions.
 
-Documents keep their order. A shard of ``shard_docs`` consecutive ids is cut into windows of ``window`` tokens at
-document or sentence ends. The cost of a window of units i+1 .. j, S being the running sum of tokens, is
+Documents keep their order. A shard of ``shard_docs`` consecutive ids is cut into windows of at most ``window``
+tokens, and every token is in exactly one window: nothing is cut off. A cut may be behind any token p; it costs
 
-    window - (S_j - S_i)                    padding, if the window holds its units
-    truncation * (S_j - S_i - window)       tokens cut off, if it doesn't
-    + split, if it begins within a document
+    nothing                                 at the end of a document
+    split                                   at the end of a sentence within a document
+    split + truncation * min(rest, window)  within a sentence; its other ``rest`` tokens open the next window
 
-and the programme finds the cuts with the least total, f(j) = min over i of f(i) + cost(i, j). For the first case
-f(i) + S_i + split is independent of j, and the i that fit form a window that only moves to the right: a monotone
-queue holds its minimum. For the second case f(i) - truncation * S_i + split is independent of j, and the i that
-don't fit only grow: a running minimum. So all cuts take time linear in the number of units. Of equal costs the
-cut nearest to j wins, and one that holds its units wins over one that doesn't.
+and a window costs its padding. All windows hold all tokens, so the padding is window * (number of windows) less a
+constant, and h(p) = cost of the cut + window + min of h(q), p - window <= q < p, h(0) = 0, finds the cuts with the
+least total. That minimum moves over h as a monotone queue does; it is taken for blocks of ``window`` tokens at once,
+as the least of the last values of the block before (minima from its end) and of the first ones of the same block
+(minima from its start). Two cuts in a block are enough: of three, the middle one could be left out. So all cuts take
+time linear in the number of tokens. Of equal costs the cut nearest to p wins.
 
 A token is a maximal run of characters other than white space; a sentence ends after a run of ``.``, ``!`` or ``?``
 that white space follows, and at a line break.
@@ -21,7 +22,7 @@ Results for special input:
 * a null or empty text, or one of white space only: no token, so the document is in no window;
 * a null id: these rows form a shard of their own, numbered null;
 * rows that repeat an id or a whole row: each is packed, next to the others (equal ids go by text);
-* a sentence longer than the window: a unit like any other; it is truncated only where that costs least;
+* a sentence longer than the window: it goes on in the next windows;
 * an empty table: no rows; other columns are ignored.
 """
 
@@ -60,7 +61,10 @@ def units(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def cuts(sizes: np.ndarray, first: np.ndarray, window: int, truncation: float, split: float) -> list[int]:
-    """Ends (exclusive) of the cheapest windows; ``first`` tells which units begin a document."""
+    """Ends (exclusive) of the cheapest windows if a window may lose what it doesn't hold, at ``truncation`` a token.
+
+    ``first`` tells which units begin a document. ``pack_documents`` loses nothing and uses ``token_cuts``.
+    """
     n = len(sizes)
     total = [0, *np.cumsum(sizes).tolist()]
     late = [0.0 if x else split for x in first.tolist()]
@@ -94,12 +98,32 @@ def cuts(sizes: np.ndarray, first: np.ndarray, window: int, truncation: float, s
     return out[::-1]
 
 
+def token_cuts(sizes: np.ndarray, first: np.ndarray, window: int, truncation: float, split: float) -> list[int]:
+    """Ends (exclusive, in tokens) of the cheapest windows that hold all tokens of the units."""
+    to, whole = np.cumsum(sizes), np.append(first[1:], True)
+    n = int(to[-1]) if len(to) else 0
+    cost = np.zeros(n + 1)
+    for a in range(0, n, window):
+        p = np.arange(a + 1, min(a + window, n) + 1)
+        unit = np.searchsorted(to, p)
+        rest = to[unit] - p
+        own = window + np.where(rest == 0, np.where(whole[unit], 0.0, split), split + truncation * np.minimum(rest, window))
+        before = np.minimum.accumulate(cost[a - window + 1 : a + 1][::-1])[::-1][: len(p)] if a else 0.0
+        c = before + own
+        c[1:] = np.minimum(c[1:], np.minimum.accumulate(c)[:-1] + own[1:])
+        cost[p] = c
+    out, p = [], n
+    while p:
+        out.append(p)
+        p -= 1 + int(cost[max(0, p - window) : p][::-1].argmin())
+    return out[::-1]
+
+
 def pack_documents(docs: DataFrame, window: int = 2048, truncation: float = 1.0, split: float = 8.0, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per window: its documents in order, the character span of each, and the text that fits.
+    """One row per window: its documents in order, the character span of each, and their text.
 
-    ``padding`` and ``truncated`` count tokens; where a window is truncated, the last segment ends with the last
-    token that fits. Segments of one document that touch are one segment. Texts of different documents are put
-    together with an empty line between them.
+    ``padding`` counts tokens; ``truncated``, the tokens that are in no window, is always 0. Segments of one document
+    that touch are one segment. Texts of different documents are put together with an empty line between them.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     src = src.filter(F.col("text").rlike(r"[^ \t\n\r\f\x0B]")).withColumn("shard", F.floor(F.col("id") / shard_docs).cast("long"))
@@ -111,23 +135,31 @@ def pack_documents(docs: DataFrame, window: int = 2048, truncation: float = 1.0,
         if not len(of):
             return pa.Table.from_pylist([], _schema())
         first = np.append(True, of[1:] != of[:-1])
-        rows, at = [], 0
-        for no, to in enumerate(cuts(tokens, first, window, truncation, split)):
-            room, segments, parts = window, [], []
-            doc_at = np.flatnonzero(first[at:to]) + at
-            bounds = np.unique(np.concatenate([[at], doc_at, [to]]))
+        to = np.cumsum(tokens)
+        rows, at, split_unit, inner = [], 0, -1, None
+
+        def token(u: int, i: int):
+            """Start and end of token i of unit u; its tokens are found once for all windows it is in."""
+            nonlocal split_unit, inner
+            if u != split_unit:
+                split_unit, inner = u, _tokens(texts[of[u]][begin[u] : end[u]])
+            return int(begin[u] + inner[0][i]), int(begin[u] + inner[1][i])
+
+        for no, stop in enumerate(token_cuts(tokens, first, window, truncation, split)):
+            segments, parts = [], []
+            x, y = int(np.searchsorted(to, at, side="right")), int(np.searchsorted(to, stop))
+            bounds = np.unique(np.concatenate([[x], np.flatnonzero(first[x : y + 1]) + x, [y + 1]]))
             for a, b in zip(bounds[:-1], bounds[1:]):
-                k, s, e, n = int(of[a]), int(begin[a]), int(end[b - 1]), int(tokens[a:b].sum())
-                if room <= 0:
-                    break
-                if n > room:
-                    e, n = s + _prefix(texts[k][s:e], room), room
-                room -= n
-                segments.append({"doc_id": ids[k], "start": s, "end": e, "tokens": n})
+                k, s, e = int(of[a]), int(begin[a]), int(end[b - 1])
+                since, until = int(to[a] - tokens[a]), int(to[b - 1])
+                if since < at:
+                    s, since = token(a, at - since)[0], at
+                if until > stop:
+                    e, until = token(b - 1, stop - 1 - int(to[b - 1] - tokens[b - 1]))[1], stop
+                segments.append({"doc_id": ids[k], "start": s, "end": e, "tokens": until - since})
                 parts.append(texts[k][s:e])
-            total = int(tokens[at:to].sum())
-            rows.append({"shard": key[0].as_py(), "window_no": no, "n_tokens": min(total, window), "padding": max(0, window - total), "truncated": max(0, total - window), "doc_ids": list(dict.fromkeys(s["doc_id"] for s in segments)), "segments": segments, "text": "\n\n".join(parts)})
-            at = to
+            rows.append({"shard": key[0].as_py(), "window_no": no, "n_tokens": stop - at, "padding": window - (stop - at), "truncated": 0, "doc_ids": list(dict.fromkeys(s["doc_id"] for s in segments)), "segments": segments, "text": "\n\n".join(parts)})
+            at = stop
         return pa.Table.from_pylist(rows, _schema())
 
     return src.groupBy("shard").applyInArrow(shard, _OUT)
@@ -147,16 +179,10 @@ def _units(col: pa.ChunkedArray, n: int):
         at = to
 
 
-def _prefix(text: str, tokens: int) -> int:
-    """Where the first ``tokens`` tokens of ``text`` end."""
-    start, end, _ = _tokens(text)
-    return int(end[min(tokens, len(end)) - 1])
-
-
-def _tokens(text: str):
+def _tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokens of ``text``."""
     p = points(pa.array([text]))
-    start, end = runs((tables()[0][p.points] & SPACE) == 0, p.at)
-    return start, end, p
+    return runs((tables()[0][p.points] & SPACE) == 0, p.at)
 
 
 def _schema() -> pa.Schema:

@@ -305,6 +305,38 @@ def test_packing_keeps_order_and_text(spark, awkward):
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_token_cuts_hold_all_and_have_the_least_cost(seed):
+    g = np.random.default_rng(seed)
+    n = int(g.integers(1, 25))
+    sizes, first = g.integers(1, 30, n), g.random(n) < 0.4
+    first[0] = True
+    window, truncation, split = int(g.choice([1, 7, 25])), float(g.choice([0, 0.3, 1.0, 2.5])), float(g.choice([0, 3, 20]))
+    to, total = np.cumsum(sizes).tolist(), int(sizes.sum())
+    penalty = {p: split + truncation * min(next(t for t in to if t >= p) - p, window) for p in range(1, total + 1)}
+    penalty |= {t: 0 if x else split for t, x in zip(to, [*first[1:], True])}
+    best = [0.0]
+    for p in range(1, total + 1):
+        best.append(penalty[p] + window + min(best[max(0, p - window) : p]))
+    ends = packing.token_cuts(sizes, first, window, truncation, split)
+    assert ends[-1] == total and all(0 < b - a <= window for a, b in zip([0, *ends], ends))
+    assert abs(sum(penalty[p] + window for p in ends) - best[total]) < 1e-6
+
+
+def test_packing_loses_no_token(spark):
+    sentences = " ".join(f"a{i} b{i} c{i} d{i}." for i in range(5))
+    rows = [(1, prose(1, 15)), (2, "one two three."), (3, "é  ü\t" + prose(2, 73)), (4, sentences), (5, "last words"), (9000, prose(3, 13))]
+    out = packing.pack_documents(frame(spark, rows), window=10).orderBy("shard", "window_no").collect()
+    got = {d: [] for d, _ in rows}
+    for r in out:
+        assert r.n_tokens <= 10 and r.truncated == 0 and r.n_tokens + r.padding == 10
+        assert r.text == "\n\n".join(dict(rows)[s.doc_id][s.start : s.end] for s in r.segments)
+        assert r.doc_ids == [s.doc_id for s in r.segments]
+        for s in r.segments:
+            got[s.doc_id] += dict(rows)[s.doc_id][s.start : s.end].split()
+    assert got == {d: t.split() for d, t in rows}
+
+
 # 7 decontamination
 
 
