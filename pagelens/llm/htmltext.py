@@ -16,6 +16,7 @@ Results for special input:
 * a null page: null text; a page that is empty, or without elements: its text outside of tags; no rows for an empty
   table; null or repeated ids and repeated rows: one row for each; other columns are ignored;
 * unclosed, crossed or unknown tags, unterminated comments, bad entities: never an error;
+* tags and comments in scripts, styles and the like: not parsed; the first end tag of its own name ends the element;
 * no page with a source document (or no documents): all elements count as content.
 """
 
@@ -39,6 +40,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg iframe".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I | re.A) for t in _RAW}
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES = {t: frozenset(c.split()) for t, c in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "thead tbody tr td th"}.items()}
 _SCOPE = frozenset("ul ol dl table div section article main aside nav header footer body html td th".split())
@@ -64,23 +66,18 @@ class Tree:
 
 
 def parse(source: str) -> Tree:
-    t, stack, at, raw = Tree(), [], 0, None
+    t, stack, at = Tree(), [], 0
 
     def text(to: int) -> None:
-        if to > at and raw is None:
+        if to > at:
             s = source[at:to]
             if s.strip():
                 t.chunks.append((stack[-1] if stack else -1, html.unescape(s) if "&" in s else s))
             elif t.chunks:
                 t.chunks.append((stack[-1] if stack else -1, " "))
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         name = (m[2] or "").lower()
-        if raw is not None:
-            if m[1] and name == raw:
-                raw = None
-                at = m.end()
-            continue
         text(m.start())
         at = m.end()
         if not name:
@@ -100,7 +97,9 @@ def parse(source: str) -> Tree:
                 t.breaks.append(len(t.chunks))
             continue
         if name in _RAW:
-            raw = name if not m[3].endswith("/") else None
+            if not m[3].endswith("/"):  # nothing counts in it but its own end tag
+                end = _RAW_END[name].search(source, at)
+                at = end.end() if end else len(source)
             continue
         if name in _BLOCK:
             t.breaks.append(len(t.chunks))

@@ -502,6 +502,16 @@ def test_parser_survives_bad_markup():
     assert htmltext.extract_batch(["<ul><li>a<li>b</ul>"], None)[0][0] == "a\nb"
 
 
+@pytest.mark.parametrize(
+    "raw",
+    ["<script>for(i=0;i<n;i++){}</script>", "<script><!-- x </script>", "<SCRIPT>a<b</sCript >", "<style>a{content:'<b'}</style\n>", "<script>x='</scripts><p>no'</script>", "<script>if(a<b&&c>'d){}</script>", "<title>a <b</title>", "<script>s='<![CDATA['</script>"],
+)
+def test_only_its_own_end_tag_ends_a_raw_element(raw):
+    t = htmltext.parse(f"<p>before</p>{raw}<article><p>the article</p></article><script>y</script><p>after</p>")
+    assert [(t.tag[v], s) for v, s in t.chunks if s.strip()] == [("p", "before"), ("p", "the article"), ("p", "after")]
+    assert [s for _, s in htmltext.parse("<p>one</p><script>a<b </p> never closed").chunks] == ["one"]
+
+
 def test_extraction_finds_the_articles(spark):
     d = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{d}/pages.parquet")
