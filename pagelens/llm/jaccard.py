@@ -16,7 +16,8 @@ is at most BALL + r, and at most d(y, q) + 2r for the home q of y: these two win
 takes in besides its own, and no pair is lost. Regions, the far one included, are split again with new pivots until
 they are small, or no longer shrink; then they are compared directly, by the lists of documents of each run. Blocks of
 more than ``region`` documents are split by a distributed round first, and what stays larger is compared tile by tile,
-so no task holds more than two tiles.
+so no task holds more than two tiles. Before that round, the first of each set is found in the whole block, and only
+the firsts go on, so the result doesn't depend on ``region``.
 
 **Equal sets** are compared once: the first document (by id, row) of each set stands for it. The result has a row
 (first, copy, 1.0) for each copy, and a row for each pair of different sets within r; all pairs of copies follow.
@@ -31,6 +32,8 @@ Results for special input:
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -303,9 +306,18 @@ def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int |
     # A few numbers a document; beyond the limit both sides are shuffled.
     near = lambda df, rows: F.broadcast(df) if (rows or 0) * 64 <= broadcast_bytes else df
     place = blocks.select("r", F.col("block").alias("region"), F.lit(0).alias("q"), F.lit(0).alias("home"), F.lit(0).alias("chunk"), F.lit(0).alias("ci"), F.lit(0).alias("cj"))
+    copies = None
     if (largest or 0) > region:
-        big = sizes.filter(F.col("count") > region)
-        split = keep(_split(src, blocks.join(big, "block"), n, least, region, broadcast_bytes))
+        big = sizes.filter(F.col("count") > region).select("block")
+        marked, first = _firsts(src, blocks.join(big, "block"), n, broadcast_bytes)
+        reps = first.count()
+        copies = marked.join(near(first.select("key", F.col("row").alias("row_a"), F.col("doc").alias("doc_a")), reps), "key").filter(F.col("row") != F.col("row_a"))
+        copies = copies.select("row_a", F.col("row").alias("row_b"), "doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+        left = first.groupBy("block").count()
+        alone, still = left.filter(F.col("count") <= region).select("block"), left.filter(F.col("count") > region)
+        first = first.select("block", F.col("row").alias("r"))
+        whole = first.join(alone, "block").select("r", F.col("block").alias("region"), *[F.lit(0).alias(c) for c in ("q", "home", "chunk", "ci", "cj")])
+        split = keep(_split(src, first.join(still, "block"), n, least, region, broadcast_bytes).unionByName(whole))
         place = place.join(big.select(F.col("block").alias("region")), "region", "left_anti").unionByName(split)
         many += split.count()
     inside = src.join(near(place, many), F.col("row") == F.col("r")).select("region", "q", "home", "chunk", "ci", "cj", "row", "doc", "t")
@@ -334,7 +346,29 @@ def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int |
             out.append(_join_block(get("doc"), get("row"), t["grams"].to_pylist(), least, allowed))
         return pa.concat_tables(out)
 
-    return members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(4 * shuffle))).groupBy("task").applyInArrow(lambda k, t: join(k, t.drop_columns(["task"])), _PAIR)
+    pairs = members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(4 * shuffle))).groupBy("task").applyInArrow(lambda k, t: join(k, t.drop_columns(["task"])), _PAIR)
+    return pairs if copies is None else pairs.unionByName(copies)
+
+
+def _firsts(src: DataFrame, blocks: DataFrame, n: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(key, block, row, doc) of the rows of large blocks, and of the first of each set among them.
+
+    ``blocks`` has (block, r). The key is a digest of 32 bytes of the whole sorted set, so equal keys are equal sets.
+    """
+
+    def digests(batches):
+        for b in slices(batches, "t"):
+            h, t = gram_sets(b.column(3), n)
+            at = np.searchsorted(t, np.arange(b.num_rows + 1))
+            key = [blake2b(h[x:y].tobytes(), digest_size=32).digest() for x, y in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *b.columns[:3]], ["key", "block", "row", "doc"])
+
+    small = blocks.count() * 32 <= broadcast_bytes
+    inside = src.join(F.broadcast(blocks) if small else blocks, F.col("row") == F.col("r")).select("block", "row", "doc", "t")
+    marked = keep(inside.mapInArrow(digests, "key BINARY, block LONG, row LONG, doc LONG"))
+    order = F.struct(F.col("doc").isNull().alias("x"), "doc", "row", "block")
+    first = marked.groupBy("key").agg(F.min(order).alias("o")).select("key", "o.block", "o.row", "o.doc")
+    return marked, keep(first)
 
 
 def _split(src: DataFrame, blocks: DataFrame, n: int, least: float, region: int, broadcast_bytes: int) -> DataFrame:

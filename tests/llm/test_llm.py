@@ -157,6 +157,16 @@ def test_jaccard_pairs(spark, awkward, region, limit):
     assert jaccard.jaccard_pairs(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("region", "limit"), [(4000, 1 << 26), (5, 1 << 26), (5, 0)])
+def test_copies_in_large_blocks_have_one_first(spark, region, limit):
+    base, far = prose(70, 120).split(), prose(71, 120)
+    near = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(0, 120, 15)]
+    rows = [(200 - i, " ".join(base)) for i in range(10)] + [(300 + i, t) for i, t in enumerate(near * 3)]
+    rows += [(None, " ".join(base)), (None, near[0]), (191, " ".join(base))] + [(400 + i, far) for i in range(10)]
+    got = jaccard.jaccard_pairs(frame(spark, rows).coalesce(1), region=region, broadcast_bytes=limit).collect()
+    assert sorted(((r.doc_a, r.doc_b, round(r.jaccard, 6)) for r in got), key=str) == brute_pairs(rows)
+
+
 @pytest.mark.parametrize("at_once", [1000, 7])
 def test_components(spark, at_once):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (41, 40), (60, 61), (61, 62), (62, 60)]
