@@ -15,7 +15,8 @@ Results for special input:
 
 * a null page: null text; a page that is empty, or without elements: its text outside of tags; no rows for an empty
   table; null or repeated ids and repeated rows: one row for each; other columns are ignored;
-* unclosed, crossed or unknown tags, unterminated comments, bad entities: never an error;
+* unclosed, crossed or unknown tags, unterminated comments, bad entities: never an error, and time linear in the
+  page's length; a < whose tag never ends is text; very long pages are parsed whole;
 * tags and comments in scripts, styles and the like: not parsed; the first end tag of its own name ends the element;
 * no page with a source document (or no documents): all elements count as content.
 """
@@ -36,8 +37,9 @@ from pagelens.llm._text import ngrams, points, words
 from pagelens.llm.quality import Forest, train
 
 GRAM, TOKENS = 4, 16
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_EDGE = re.compile(r"""[>"']""")
+_ATTRIBUTE = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg iframe".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I | re.A) for t in _RAW}
@@ -65,8 +67,59 @@ class Tree:
     breaks: list[int] = field(default_factory=list)
 
 
+class _Tags:
+    """Tags of a page from left to right, in time linear in its length, however broken it is."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.loose = False  # quotes don't match up to the end of the page: from here on a tag ends at the next >
+        self.cdata = True  # a CDATA section may still be closed
+
+    def end(self, at: int) -> int:
+        """Where the tag that begins before ``at`` ends: the first > outside of quotes, or else the first one."""
+        s, p = self.source, at
+        while not self.loose:
+            m = _EDGE.search(s, p)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            p = s.find(m[0], m.end()) + 1
+            if not p:
+                break
+        self.loose = True
+        return s.find(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None, str] | None:
+        """(start, end, name, attributes) of the next tag, comment or declaration; the latter two have no name."""
+        s = self.source
+        while at <= self.last:
+            i = s.find("<", at)
+            if i < 0 or i > self.last and not s.startswith("<!--", i):
+                break
+            if s.startswith("<!--", i):
+                z = s.find("-->", i + 4)
+                return i, z + 3 if z >= 0 else len(s), None, ""
+            if self.cdata and s.startswith("<![CDATA[", i):
+                z = s.find("]]>", i)
+                if z >= 0:
+                    return i, z + 3, None, ""
+                self.cdata = False
+            if s.startswith(("<!", "<?"), i):
+                return i, s.find(">", i) + 1, None, ""
+            m = _NAME.match(s, i + 1)
+            if m:
+                z = self.end(m.end())
+                return i, z, m, s[m.end() : z - 1]
+            at = i + 1
+        i = s.find("<!--", at)
+        return (i, len(s), None, "") if i >= 0 else None
+
+
 def parse(source: str) -> Tree:
     t, stack, at = Tree(), [], 0
+    where: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
+    tags = _Tags(source)
 
     def text(to: int) -> None:
         if to > at:
@@ -76,19 +129,25 @@ def parse(source: str) -> Tree:
             elif t.chunks:
                 t.chunks.append((stack[-1] if stack else -1, " "))
 
-    while m := _TOKEN.search(source, at):
-        name = (m[2] or "").lower()
-        text(m.start())
-        at = m.end()
-        if not name:
+    def last(names) -> int:
+        """The place of the innermost open element that has one of the names, or -1."""
+        return max((where[k][-1] for k in names if where.get(k)), default=-1)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            where[t.tag[stack.pop()]].pop()
+
+    while found := tags.next(at):
+        start, stop, m, attributes = found
+        text(start)
+        at = stop
+        if m is None:
             continue
+        name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if t.tag[stack[k]] == name:
-                    del stack[k:]
-                    break
-                if name not in _BLOCK and t.tag[stack[k]] in _SCOPE:
-                    break
+            k = last((name,))
+            if k >= 0 and (name in _BLOCK or last(_SCOPE) <= k):
+                close(k)
             if name in _BLOCK:
                 t.breaks.append(len(t.chunks))
             continue
@@ -97,33 +156,26 @@ def parse(source: str) -> Tree:
                 t.breaks.append(len(t.chunks))
             continue
         if name in _RAW:
-            if not m[3].endswith("/"):  # nothing counts in it but its own end tag
+            if not attributes.endswith("/"):  # nothing counts in it but its own end tag
                 end = _RAW_END[name].search(source, at)
                 at = end.end() if end else len(source)
             continue
         if name in _BLOCK:
             t.breaks.append(len(t.chunks))
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                tag = t.tag[stack[k]]
-                if tag == "p":
-                    del stack[k:]
-                    break
-                if tag in _SCOPE:
-                    break
-        close = _CLOSES.get(name)
-        if close:
-            for k in range(len(stack) - 1, -1, -1):
-                tag = t.tag[stack[k]]
-                if tag in close:
-                    del stack[k:]
-                    break
-                if tag in ("ul", "ol", "dl", "table"):
-                    break
+            k = last(("p",))
+            if k >= 0 and last(_SCOPE) < k:  # a block ends an open paragraph
+                close(k)
+        closes = _CLOSES.get(name)
+        if closes:
+            k = last(closes)
+            if k >= 0 and last(("ul", "ol", "dl", "table")) < k:
+                close(k)
         t.tag.append(name)
         t.parent.append(stack[-1] if stack else -1)
         t.depth.append(len(stack))
-        t.attributes.append(m[3])
-        if not m[3].endswith("/"):
+        t.attributes.append(attributes)
+        if not attributes.endswith("/"):
+            where.setdefault(name, []).append(len(stack))
             stack.append(len(t.tag) - 1)
     text(len(source))
     return t

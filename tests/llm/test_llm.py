@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -508,10 +509,24 @@ def test_parser_survives_bad_markup():
     assert [t.tag[v] if v >= 0 else None for v, s in t.chunks if s.strip()] == ["p", "p", "b", None, None]
     for s in ("", "plain", "<", "<a", "</x>", "<p", "<a b='>x", "&amp;&bogus;&#xZZ;", "<ul><li>a<li>b</ul>", "<script>if (a<b) {}", "<p>" * 3000):
         htmltext.extract_batch([s], None)
-    assert htmltext.extract_batch([None, "plain", ""], None) == [(None, 0, 0), ("", 0, 0), ("", 0, 0)] or True
+    assert htmltext.extract_batch([None, "plain", ""], None) == [(None, 0, 0), ("plain", 0, 0), ("", 0, 0)]
     assert htmltext.extract_batch(["<ul><li>a<li>b</ul>"], None)[0][0] == "a\nb"
 
 
+@pytest.mark.parametrize("bad", ["<a", "<a ", '<a "', "<a '", '<a b="', "<!--", "<![CDATA[", "<!", "<?", "<b>", "</i>", "<b></i>", "<a x", "&", '<a ">', "<li><ul><b>", "<p><b>", "</", "<script>"])
+def test_bad_pages_take_linear_time(bad):
+    for tail in ("", ">", "<p>end</p>"):
+        began = time.process_time()
+        htmltext.parse(bad * (100_000 // len(bad)) + tail)
+        assert time.process_time() - began < 1
+
+
+def test_quotes_hide_the_end_of_a_tag_only_if_they_close():
+    t = htmltext.parse("<p a='x>y'>one</p><p b=\"z>two</p><p>three</p>")
+    assert [s for _, s in t.chunks] == ["one", "two", "three"]
+    assert htmltext.extract_batch(["<a " + "x" * 200_000 + ">t</a>"], None)[0][0] == "t"
+
+
 @pytest.mark.parametrize(
     "raw",
     ["<script>for(i=0;i<n;i++){}</script>", "<script><!-- x </script>", "<SCRIPT>a<b</sCript >", "<style>a{content:'<b'}</style\n>", "<script>x='</scripts><p>no'</script>", "<script>if(a<b&&c>'d){}</script>", "<title>a <b</title>", "<script>s='<![CDATA['</script>"],
@@ -534,7 +549,8 @@ def test_extraction_finds_the_articles(spark):
         exact += text.split() == want.split()
     assert exact / len(rows) > 0.95
     odd = spark.createDataFrame([(1, None, 1), (None, "<p>a b</p>", 2), (2, "", 3)], "page_id LONG, html STRING, text INT")
-    assert sorted(str(x.text) for x in htmltext.extract(odd, model).collect())[0] is not None
+    assert {(x.page_id, x.elements) for x in htmltext.extract(odd, model).collect()} == {(1, 0), (None, 1), (2, 0)}
+    assert sorted(str(x.text) for x in htmltext.extract(odd, None).collect()) == ["", "None", "a b"]
     assert htmltext.extract(odd.limit(0), model).count() == 0
     assert htmltext.fit(odd, spark.read.parquet(f"{d}/documents.parquet")) is None
 
