@@ -15,7 +15,8 @@ from dataclasses import dataclass, field
 SHY = "­"
 ALTERNATIVE = "⇿"
 LEVELS = ("page", "section", "block", "par", "line")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([^\s<>/!?]+)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([^\s<>/!?]+)((?:[^<>"']|"[^"]*"|'[^']*')*+|[^<>]*)>""", re.S)
+_OPEN = re.compile(r"<!--.*|<!\[CDATA\[(.*)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 _ENTITY = re.compile(r"&(#x[0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);")
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "shy": SHY, "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "zwnj": "‌", "zwj": "‍"}
@@ -46,13 +47,20 @@ class Event:
 
 def events(markup: str) -> Iterator[Event]:
     at = 0
-    for m in _TOKEN.finditer(markup):
+    # Behind the last > only a comment or a section that never ends can begin; with a > ahead, no tag is sought to the end in vain.
+    last = markup.rfind(">") + 1
+    for m in (*_TOKEN.finditer(markup, 0, last), *_OPEN.finditer(markup, last)) if last < len(markup) else _TOKEN.finditer(markup):
+        if m.start() < at:
+            continue
         if m.start() > at:
             yield Event("text", text=entities(markup[at : m.start()]), at=at, length=m.start() - at)
         at = m.end()
+        if at == last and m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
+            at = len(markup)
         if m[1] is not None:
-            yield Event("text", text=m[1], at=m.start(1), length=len(m[1]))
-        elif m[3]:
+            inside = m[1] if at == m.end() else markup[m.start(1) :]
+            yield Event("text", text=inside, at=m.start(1), length=len(inside))
+        elif m.re is _TOKEN and m[3]:
             name = m[3].rpartition(":")[2]
             if m[2]:
                 yield Event("end", name)

@@ -39,27 +39,31 @@ def sanitize(markup: str, fix: bool = False) -> str:
     stack: list[str] = []
     at, n, doctype = 0, len(markup), False
     clean = _mask_entities if fix else str
+    close, comment = -1, True  # the next >; whether a comment can still end
     while True:
         i = markup.find("<", at)
         if i < 0:
             out.append(clean(markup[at:]))
             break
         out.append(clean(markup[at:i]))
-        if markup.startswith("<!--", i):
+        if comment and markup.startswith("<!--", i):
             end = markup.find("-->", i + 4)
             if end >= 0:
                 out.append(markup[i : end + 3])
                 at = end + 3
                 continue
+            comment = False
         if markup.startswith("<![CDATA[", i):
             end = markup.find("]]>", i)
             end = n if end < 0 else end + 3
             out.append(markup[i:end])
             at = end
             continue
-        close = markup.find(">", i)
+        if close < i:
+            close = markup.find(">", i)
+            close = n if close < 0 else close
         again = markup.find("<", i + 1)
-        if close < 0 or (fix and 0 <= again < close):
+        if close == n or (fix and 0 <= again < close):
             out.append("_" if fix else "<")
             at = i + 1
             continue

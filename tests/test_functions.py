@@ -1,10 +1,12 @@
 """Markup repair, parsers, analysis, options, pointers: golden vectors."""
 
+import time
+
 import pytest
 
 from pagelens import options as O
 from pagelens.functions.analysis import porter
-from pagelens.functions.markup import boxes_to_text, detect, entities, parse, properties
+from pagelens.functions.markup import boxes_to_text, detect, entities, events, parse, properties
 from pagelens.functions.sanitize import sanitize
 from pagelens.sources import pointer as R
 
@@ -130,3 +132,22 @@ def test_options():
     assert O.HighlightOptions().limit_levels() == ("block", "section", "page") and O.HighlightOptions(limit_block="none").limit_levels() == ()
     assert O.fields("ocr_* title", ["title", "ocr_a", "ocr_b", "text"]) == ["ocr_a", "ocr_b", "title"]
     assert O.regular_fields(["title", "ocr_a"], ["ocr_a"]) == ["title"]
+
+
+@pytest.mark.parametrize("bad", ["<a", "<a ", '<a "', "<a '", '<a b="', "<!--", "<![CDATA[", "<!", "<?", "<b>", "</i>", "&", "<", "&#", "<a \">"])
+@pytest.mark.parametrize("tail", ["", ">", "<w x='1 1 1 1'>q</w>"])
+def test_bad_markup_takes_linear_time(bad, tail):
+    markup = bad * (100_000 // len(bad)) + tail
+    began = time.process_time()
+    list(events(markup))
+    sanitize(markup)
+    sanitize(markup, fix=True)
+    assert time.process_time() - began < 2
+
+
+@pytest.mark.parametrize(
+    ("markup", "texts"),
+    [("<a>x<!-- y > z", ["x"]), ("<a>x<!-- y z", ["x"]), ("<a>x<![CDATA[ y > z", ["x", " y > z"]), ("<a>x<![CDATA[ y z", ["x", " y z"]), ("<a>x</a> tail <b", ["x", " tail <b"]), ("<a>x<!-- c -->t", ["x", "t"])],
+)
+def test_what_never_ends_goes_on_to_the_end(markup, texts):
+    assert [e.text for e in events(markup) if e.kind == "text"] == texts
