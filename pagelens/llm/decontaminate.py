@@ -13,13 +13,16 @@ All phrases (runs of ``n`` words of a benchmark item; a whole item if it has ``l
 backward together, one word at a time; occurrences are located by walking to the next sample. Hits of a document
 that overlap or touch are merged to one removal span. Nothing is shuffled: documents stay in their partitions.
 
-The phrases of the benchmark are sent to every task in parts of at most ``broadcast_bytes``; each further part is a
-further pass over the same stream of documents, which carries the spans found so far.
+The table of distinct phrases, with the smallest item id of each, is made once, as arrays, and sent to every task in
+parts of at most ``broadcast_bytes``; each further part is a further pass over the same stream of documents, which
+carries the spans found so far. The parts don't change the result.
 
 Words are runs of letters and digits in lower case, so punctuation and case don't hide a passage. Results for
 special input:
 
 * a null or empty text: no spans; the row stays as it is. A null benchmark text: no phrases;
+* a benchmark item with a null id is searched like any other; where its phrases are found, ``items`` ends with a null;
+* very long texts are one shard, whole;
 * an item of fewer than ``least`` words: no phrase; no items at all, or no documents: nothing is found;
 * repeated items: equal phrases count for the smallest item id; repeated rows: each row has its own spans;
 * a document of which no word remains is removed by ``decontaminate``; other columns are kept there.
@@ -35,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, slices, small_batches
+from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, slices, small_batches
 from pagelens.llm._text import Words, points, spans_hash, words
 
+_NULL = np.iinfo(np.int64).max
 SPANS = "array<struct<s:int,e:int,ws:int,we:int,items:array<bigint>>>"
 
 
@@ -49,21 +53,40 @@ class Phrases:
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def phrases(texts: list[str], items: list[int], n: int, least: int) -> Phrases:
-    w = words(points(pa.array(texts, pa.string())))
-    seen: dict[tuple, int] = {}
-    for k, item in enumerate(items):
-        h = w.hash[w.first[k] : w.first[k + 1]].tolist()
-        if len(h) < least:
-            continue
-        for i in range(max(1, len(h) - n + 1)):
-            key = tuple(h[i : i + n])
-            seen[key] = min(seen.get(key, item), item)
-    vocabulary = np.unique(np.array([x for key in seen for x in key], np.uint64))
+def phrase_table(benchmark: DataFrame, n: int, least: int, item_col: str, text_col: str) -> DataFrame:
+    """(words, item): every phrase once, as packed word hashes, with the smallest id of the items that have it.
+
+    Null ids come last, so a phrase has the item null only if no item with an id has it.
+    """
+    bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("t IS NOT NULL")
+
+    def cut(batches):
+        for b in slices(batches, "t"):
+            w = words(points(b.column(1)))
+            raw, keys, items = w.hash.tobytes(), [], []
+            for k, item in enumerate(b.column(0).to_pylist()):
+                x, y = int(w.first[k]), int(w.first[k + 1])
+                if y - x >= least:
+                    own = {raw[8 * p : 8 * min(p + n, y)] for p in range(x, max(x, y - n) + 1)}
+                    keys += own
+                    items += [item] * len(own)
+            yield pa.RecordBatch.from_pydict({"words": pa.array(keys, pa.binary()), "item": pa.array(items, pa.int64())})
+
+    return bench.mapInArrow(cut, "words BINARY, item LONG").groupBy("words").agg(F.min("item").alias("item"))
+
+
+def phrases(keys: list[bytes], items: list[int | None]) -> Phrases:
+    """The rows of a phrase table as arrays; the id of a null item is the largest number."""
+    ids = np.array([_NULL if x is None else x for x in items], np.int64)
+    size = np.array([len(k) // 8 for k in keys], np.int64)
+    rows = {int(m): np.flatnonzero(size == m) for m in np.unique(size)}
+    hashes = {m: np.frombuffer(b"".join(keys[i] for i in r), np.uint64).reshape(len(r), m) for m, r in rows.items()}
+    vocabulary = np.unique(np.concatenate([np.unique(h) for h in hashes.values()])) if hashes else np.zeros(0, np.uint64)
     out = {}
-    for length in sorted({len(k) for k in seen}):
-        keys = sorted(k for k in seen if len(k) == length)
-        out[length] = (np.searchsorted(vocabulary, np.array(keys, np.uint64)) + 1, np.array([seen[k] for k in keys], np.int64))
+    for m, h in hashes.items():
+        symbols = (np.searchsorted(vocabulary, h) + 1).astype(np.int32)
+        order = np.lexsort(symbols.T[::-1])
+        out[m] = symbols[order], ids[rows[m]][order]
     return Phrases(vocabulary, out)
 
 
@@ -127,7 +150,7 @@ class FMIndex:
         """Backward search of all rows of ``pattern``: the range of suffixes that begin with each."""
         lo, hi = np.zeros(len(pattern), np.int64), np.full(len(pattern), self.n, np.int64)
         for k in range(pattern.shape[1] - 1, -1, -1):
-            c = pattern[:, k]
+            c = pattern[:, k].astype(np.int64)
             a, b = self.wavelet.rank(c, lo, hi)
             lo, hi = self.before[c] + a, self.before[c] + b
         return lo, np.maximum(lo, hi)
@@ -198,7 +221,7 @@ def _annotate(docs: DataFrame, text_col: str, spans: str, part, shard_words: int
     old = docs.columns.index(spans) if carried else None
 
     def run(batches):
-        p = phrases(*part.value)
+        p = part.value
 
         def shard(waiting):
             parts = []
@@ -221,8 +244,8 @@ def _annotate(docs: DataFrame, text_col: str, spans: str, part, shard_words: int
                     if out[i]:
                         f = np.append(f, [o["ws"] for o in out[i]])
                         e = np.append(e, [o["we"] for o in out[i]])
-                        its += [o["items"] for o in out[i]]
-                    out[i] = [{"s": int(w.start[w.first[i] + a] - pt.at[i]), "e": int(w.end[w.first[i] + z - 1] - pt.at[i]), "ws": a, "we": z, "items": its_} for a, z, its_ in merged(f, e, its)]
+                        its += [[_NULL if j is None else j for j in o["items"]] for o in out[i]]
+                    out[i] = [{"s": int(w.start[w.first[i] + a] - pt.at[i]), "e": int(w.end[w.first[i] + z - 1] - pt.at[i]), "ws": a, "we": z, "items": [None if j == _NULL else j for j in its_]} for a, z, its_ in merged(f, e, its)]
                 cols = [c for c, n in zip(b.columns, b.schema.names) if n != spans]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(out, kind)], [*[n for n in b.schema.names if n != spans], spans])
 
@@ -244,14 +267,14 @@ def _annotate(docs: DataFrame, text_col: str, spans: str, part, shard_words: int
 def with_spans(docs: DataFrame, benchmark: DataFrame, spans: str, n: int = 8, least: int = 5, shard_words: int = 500_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with a column ``spans`` of merged removal spans (characters s..e, words ws..we, item ids)."""
     small_batches(docs.sparkSession)
-    bench = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{item_text_col}`").cast("string").alias("t")).dropna()
-    size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    table = keep(phrase_table(benchmark, n, least, item_col, item_text_col))
+    size = table.agg(F.sum(F.octet_length("words") + 8)).first()[0] or 0
     parts = max(1, -(-int(size) // max(1, broadcast_bytes)))
     out = docs
     for k in range(parts):
-        # The items of one part; their size was counted above.
-        rows = (bench if parts == 1 else bench.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k)).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(([r[1] for r in rows], [r[0] for r in rows], n, least))
+        # The phrases of one part; their size was counted above, and as arrays they take no more.
+        rows = (table if parts == 1 else table.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)).toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast(phrases(rows["words"].to_pylist(), rows["item"].to_pylist()))
         out = _annotate(out, text_col, spans, sent, shard_words, k > 0)
     return out
 
