@@ -1,8 +1,7 @@
 """Substring dedup: prefix-partitioned suffix trees over words.
 
 A repeat is a run of at least ``length`` words that occurs at two places or more, in one document or in several.
-Its maximal extent in a document is the union of its windows of ``length`` words, so the question for every window is
-whether its node in the suffix tree, at depth ``length``, has a second leaf.
+A removal span is the union of the repeats of a document that overlap or touch.
 
 * **Suffixes.** Each window of ``length`` words has an anchor: the leftmost smallest of the hashes of its runs of
   ``prefix`` words. Equal windows have equal anchors at equal offsets, so a tree for each anchor holds all windows
@@ -14,11 +13,11 @@ whether its node in the suffix tree, at depth ``length``, has a second leaf.
   small groups are read by one task. The prefix of a group with more than ``cap`` suffixes is extended to the whole
   ``length`` words: such a group is one node of the tree, needs no words any more, and is aggregated by its
   (128-bit) key.
-* **Subtrees.** A group's words are ranked by prefix doubling (the nodes at depth 1, 2, 4, ..., ``length`` of the
-  tree of its suffixes). Nodes at depth ``length`` with two leaves or more are the deep internal nodes; the leaves
-  below give the windows, and runs of windows give the maximal repeats.
+* **Subtrees.** A group's suffixes are sorted by prefix doubling, and the longest common prefixes of neighbours are
+  the internal nodes of its tree. Those ``length`` words deep or more give the repeats: a leaf's deepest one is its
+  longest repeat, as far as its suffix reaches; where that ends, the suffix of the next anchor goes on.
 
-``find_repeats`` gives, for each document, the maximal runs of repeated words (``duplicate`` false) and those that
+``find_repeats`` gives, for each document, the runs of repeated words (``duplicate`` false) and those that
 remain if the first occurrence of every window stays (``duplicate`` true); order is that of (id, row, word).
 ``dedup_substrings`` cuts the latter.
 
@@ -75,21 +74,42 @@ def by_segment(h: np.ndarray, shift: int) -> tuple[np.ndarray, list[tuple[int, i
     return order, [(int(seg[a]), int(a), int(b)) for a, b in zip(at, np.append(at[1:], len(seg)))]
 
 
-def nodes(flat: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """The tree node, at depth ``length``, of the suffix that begins at each of ``start`` in ``flat``."""
-    n = len(flat)
-    rank = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while step * 2 <= length:
+def depths(text: np.ndarray, begin: np.ndarray, size: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, depth) of the suffixes of ``text`` at ``start``, in the tree of the paths text[begin:begin + size].
+
+    The suffixes are sorted by prefix doubling, and the longest common prefixes of neighbours come from the ranks of
+    all rounds. Runs of neighbours with a common prefix of ``length`` words or more hang below one deep internal node;
+    ``depth`` is that of the deepest such node above a suffix (0: there is none), which is the length of its longest repeat.
+    """
+    n, paths = len(text), len(begin)
+    flat = np.zeros(n + paths, np.int64)
+    shift = np.repeat(np.arange(paths), size)
+    flat[np.arange(n) + shift] = np.unique(text, return_inverse=True)[1] + paths
+    flat[begin + size + np.arange(paths)] = np.arange(paths)  # every path ends with a word of its own
+    start = start + shift[start]
+    ranks, step, n = [np.unique(flat, return_inverse=True)[1].astype(np.int32)], 1, len(flat)
+    while step < size.max(initial=0):
         second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:]
-        rank = np.unique(rank * n + second, return_inverse=True)[1].astype(np.int64)
+        second[: n - step] = ranks[-1][step:] + 1
+        ranks.append(np.unique(ranks[-1].astype(np.int64) * (n + 1) + second, return_inverse=True)[1].astype(np.int32))
         step *= 2
-    return np.unique(rank[start] * n + rank[start + length - step], return_inverse=True)[1]
+    order = np.argsort(ranks[-1][start], kind="stable")
+    a, b = start[order[:-1]].copy(), start[order[1:]].copy()
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = (np.maximum(a, b) < n) & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+        move = same.astype(np.int64) << k
+        common, a, b = common + move, a + move, b + move
+    deep = common >= length
+    node, depth = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    node[order] = np.cumsum(np.append(0, ~deep))
+    common = np.where(deep, common, 0)
+    depth[order] = np.maximum(np.append(0, common), np.append(common, 0))
+    return node, depth
 
 
 def leaves(anchor, doc, row, lo, count, flat, length: int):
-    """(doc, row, word, duplicate) of every leaf below a deep internal node of the groups' trees."""
+    """(doc, row, word, end of its longest repeat, duplicate) of every leaf below a deep internal node of the groups' trees."""
     size = count + length - 1
     end = np.cumsum(size)
     begin = end - size
@@ -105,33 +125,40 @@ def leaves(anchor, doc, row, lo, count, flat, length: int):
     many = count[live[rep]]
     total = np.concatenate([[0], np.cumsum(many)])
     offset = np.arange(total[-1]) - np.repeat(total[:-1], many)
-    node = nodes(text, np.repeat(at, many) + offset, length)
+    node, depth = depths(text, at, size[live[rep]], np.repeat(at, many) + offset, length)
+    # Several suffixes on one path repeat each other up to its end.
+    shared = np.bincount(path, minlength=len(rep)) > 1
+    depth = np.where(np.repeat(shared, many), np.repeat(size[live[rep]], many) - offset, depth)
     c = count[live]
     t = np.cumsum(c)
     j = np.arange(t[-1]) - np.repeat(t - c, c)
     leaf = node[np.repeat(total[path], c) + j]
+    reach = depth[np.repeat(total[path], c) + j]
     who = np.repeat(live, c)
-    many = np.bincount(leaf)[leaf] > 1
+    many = reach > 0
     leaf, who, word = leaf[many], who[many], lo[who[many]] + j[many]
+    end = word + reach[many]
     if not len(leaf):
         return None
     d, r = doc[who], row[who]
     order = np.lexsort((word, r, d, leaf))
     dup = np.empty(len(leaf), bool)
     dup[order] = ~np.append(True, leaf[order][1:] != leaf[order][:-1])
-    return d, r, word, dup
+    return d, r, word, end, dup
 
 
-def intervals(d, r, word, dup, length: int) -> pa.Table:
-    """Runs of leaves as (doc, row, duplicate, ws, we)."""
+def intervals(d, r, word, end, dup, length: int) -> pa.Table:
+    """Repeats of the leaves as (doc, row, duplicate, ws, we), put together where they overlap or touch."""
     out = []
     for flag in (False, True):
         use = np.flatnonzero(dup) if flag else np.arange(len(word))
         use = use[np.lexsort((word[use], r[use]))]
         x, y = r[use], word[use]
-        cut = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] > y[:-1] + length))) if len(use) else np.zeros(0, np.int64)
-        last = (np.append(cut[1:], len(use)) - 1)[: len(cut)]
-        out.append(pa.table({"doc": d[use[cut]], "row": x[cut], "duplicate": np.full(len(cut), flag), "ws": y[cut].astype(np.int32), "we": (y[last] + length).astype(np.int32)}))
+        # A later copy is one window for each leaf: its longest repeat may be with a copy that comes after it.
+        z = y + length if flag else end[use]
+        cut = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] > z[:-1]))) if len(use) else np.zeros(0, np.int64)
+        to = np.maximum.reduceat(z, cut) if len(cut) else z
+        out.append(pa.table({"doc": d[use[cut]], "row": x[cut], "duplicate": np.full(len(cut), flag), "ws": y[cut].astype(np.int32), "we": to.astype(np.int32)}))
     return pa.concat_tables(out)
 
 
@@ -214,7 +241,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
             for s, x, y in parts:
                 i = sel[x:y]
                 run = np.concatenate([low[lo[k] : lo[k] + count[k] + length - 1] for k in i])
-                for k, v in zip(out, (s, h[i], docs[i], rows[i], rel[i].astype(np.int32), count[i].astype(np.uint8), run)):
+                for k, v in zip(out, (s, h[i], docs[i], rows[i], rel[i].astype(np.int32), count[i].astype(np.int32), run)):
                     out[k].append(v if k == "segment" else v.tobytes())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "segment" else pa.binary()) for k, v in out.items()})
 
@@ -234,8 +261,8 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
 
     def subtree(key, table):
         get = lambda k, t: np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()])
-        found = leaves(get("anchor", np.uint64), get("docs", np.int64), get("rows", np.int64), get("lo", np.int32).astype(np.int64), get("count", np.uint8).astype(np.int64), get("words", np.uint32), length)
-        return intervals(*(found or (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)), length)
+        found = leaves(get("anchor", np.uint64), get("docs", np.int64), get("rows", np.int64), get("lo", np.int32).astype(np.int64), get("count", np.int32).astype(np.int64), get("words", np.uint32), length)
+        return intervals(*(found or (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)), length)
 
     trees = shipped.groupBy("segment").applyInArrow(subtree, _INTERVAL)
     if not any(r[0] for r in known.select(F.length("hot") > 0).distinct().collect()):

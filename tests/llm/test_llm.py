@@ -242,6 +242,33 @@ def test_repeats(spark, awkward, cap, limit):
     assert substrings.find_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("cap", "limit"), [(20_000, 1 << 26), (1, 0)])
+def test_long_repeats(spark, cap, limit):
+    p, q = prose(12, 1500), prose(13, 420)
+    rows = [(1, p), (2, p), (3, prose(14, 100) + " " + q + " " + p[:3000]), (4, q + " " + prose(15, 399)), (5, prose(15, 399))]
+    got = substrings.find_repeats(frame(spark, rows).coalesce(1), length=400, cap=cap, broadcast_bytes=limit).collect()
+    assert sorted(((r.doc_id, r.start_word, r.end_word, r.duplicate) for r in got), key=str) == brute_repeats(rows, 400)
+    assert (1, 0, 1500, False) in brute_repeats(rows, 400)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_depths_are_those_of_the_suffix_tree(seed):
+    g = np.random.default_rng(seed)
+    size = g.integers(6, 15, int(g.integers(1, 12)))
+    text = g.integers(0, 3, int(size.sum())).astype(np.uint32)
+    begin = np.cumsum(size) - size
+    length = 4
+    start = np.concatenate([b + np.arange(s - length + 1) for b, s in zip(begin, size)])
+    stop = np.concatenate([np.full(s - length + 1, b + s) for b, s in zip(begin, size)])
+    node, depth = substrings.depths(text, begin, size, start, length)
+    words_ = [tuple(text[a:z]) for a, z in zip(start, stop)]
+    common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    for i, x in enumerate(words_):
+        best = max((common(x, y) for j, y in enumerate(words_) if j != i), default=0)
+        assert depth[i] == (best if best >= length else 0)
+        assert [node[j] == node[i] for j in range(len(words_))] == [y[:length] == x[:length] for y in words_]
+
+
 def test_dedup_substrings_cuts_later_copies(spark):
     p = prose(7, 30)
     rows = [(1, "Start here, " + p + ". The end"), (2, "Other words; " + p + "! More")]
