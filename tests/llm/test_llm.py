@@ -279,23 +279,27 @@ def test_dedup_substrings_cuts_later_copies(spark):
 # 5 exact top-k
 
 
-def test_topk_against_a_full_sort(spark):
+@pytest.mark.parametrize("limit", [1 << 26, 900])
+@pytest.mark.parametrize("asked", [None, "vec_id % 5 = 0"])
+def test_topk_against_a_full_sort(spark, limit, asked):
     g = np.random.default_rng(5)
     v = g.normal(size=(90, 6))
     v[40:50] = v[0]
-    rows = [(int(i), x.tolist(), "z") for i, x in enumerate(v)] + [(200, [0.0] * 6, "z"), (201, None, "z"), (None, v[3].tolist(), "z"), (202, [1.0, float("nan")], "z"), (203, [], "z"), (204, [1.0, 2.0], "z"), (205, [2.0, 1.0], "z"), (7, v[8].tolist(), "z")]
+    rows = [(int(i), x.tolist(), "z") for i, x in enumerate(v)] + [(200, [0.0] * 6, "z"), (201, None, "z"), (None, v[3].tolist(), "z"), (202, [1.0, float("nan")], "z"), (203, [], "z"), (204, [1.0, 2.0], "z"), (205, [2.0, 1.0], "z"), (5, v[8].tolist(), "z"), (5, v[8].tolist(), "z")]
     df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>, q STRING")
     got = {}
-    for r in topk.exact_topk(df, k=4, tile=16, fan=2).collect():
+    for r in topk.exact_topk(df, None if asked is None else df.filter(asked), k=4, tile=16, fan=2, columns=5, broadcast_bytes=limit).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.neighbor_id, round(r.score, 6)))
     use = [(i, np.array(x, np.float32).astype(float)) for i, x, _ in rows if i is not None and x and np.isfinite(x).all()]
     unit = lambda x: x / np.linalg.norm(x) if np.linalg.norm(x) else x
+    want = {}
     for i, x in use:
-        if i == 7:
-            continue  # two rows have this id
-        best = sorted((-round(float(unit(x) @ unit(y)), 9), j) for j, y in use if j != i and len(x) == len(y))[:4]
-        assert sorted(got.get(i, [])) == [(k + 1, j, round(-s, 6) + 0.0) for k, (s, j) in enumerate(best)]
+        if asked is None or i % 5 == 0:
+            best = sorted((-round(float(unit(x) @ unit(y)), 9), j) for j, y in use if j != i and len(x) == len(y))[:4]
+            want.setdefault(i, []).extend((k + 1, j, round(-s, 6) + 0.0) for k, (s, j) in enumerate(best))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
     assert topk.exact_topk(df.limit(0)).count() == 0
+    assert topk.exact_topk(df, df.limit(0), broadcast_bytes=limit).count() == 0
 
 
 # 6 packing
