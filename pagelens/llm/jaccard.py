@@ -19,19 +19,30 @@ more than ``region`` documents are split by a distributed round first, and what
 so no task holds more than two tiles. Before that round, the first of each set is found in the whole block, and only
 the firsts go on, so the result doesn't depend on ``region``.
 
-**Equal sets** are compared once: the first document (by id, row) of each set stands for it. The result has a row
-(first, copy, 1.0) for each copy, and a row for each pair of different sets within r; all pairs of copies follow.
+**Equal sets** are compared once: the first document (by id, row) of each set stands for it.
+
+``classes`` gives a row for each document: the smallest id of its class (the documents it is connected with by
+links) and the number of its links, which are all other documents within r, copies included. Tasks count links and
+keep a spanning forest where they compare, so what they return has the size of their input, however many pairs there
+are. ``jaccard_pairs`` gives the links themselves, between the first documents of different sets, and each copy with
+its first.
 
 Results for special input:
 
-* a text of 1 to n - 1 words is the set of one run, of all its words; null, empty and wordless texts have no pairs;
-* a pair is ordered by (id, row), null ids last; rows with equal ids or equal rows are separate documents;
-* distance exactly r counts; other columns are ignored by ``jaccard_pairs`` and kept by ``keep_one``;
+* a text of 1 to n - 1 words is the set of one run, of all its words; null, empty and wordless texts have no links
+  and are a class of their own; very long texts are compared whole;
+* a pair is ordered by (id, row), null ids last; rows with equal ids or equal rows are separate documents; the class
+  of documents without any id is null;
+* distance exactly r counts; other columns are ignored by ``classes`` and ``jaccard_pairs`` and kept by ``keep_one``;
 * an empty table: no rows.
+
+The runs are counted in segments of the hash space, as many as the bytes of text ask for (at most 16,384, so beyond
+500 GB a segment grows with the data).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -64,63 +75,65 @@ def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(key)) if len(key) else at
 
 
+def segments_for(src: DataFrame, text: str, each: int, most: int = 1 << 14) -> int:
+    """A power of two, so that every segment has about ``each`` bytes of text; 16 at least."""
+    size = src.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(most, 1 << max(4, (-(-int(size) // each) - 1).bit_length()))
+
+
 def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
     """(a, b): rows that share a run in their prefixes, as stars around the smallest row of each run."""
     bits = segments.bit_length() - 1
     shift = np.uint64(64 - bits)
     empty = lambda: np.zeros(0, np.int64)
+    # The more segments, the more text is packed at once, so that their rows don't become too short.
+    piece = (2 << 20) if segments <= 256 else (8 << 20)
 
     def grams(batches):
-        for b in slices(batches, "t", 2 << 20):
+        for b in (x.slice(k, 60_000) for x in slices(batches, "t", piece) for k in range(0, x.num_rows, 60_000)):
             h, t = ngrams(words(points(b.column(1))), n)
             m = b.num_rows
             place = (h >> shift).astype(np.int64) * m + t
-            low = h.astype(np.uint32)
-            order = np.lexsort((low, place))
-            place, low = place[order], low[order]
-            if len(low):
-                new = np.append(True, (place[1:] != place[:-1]) | (low[1:] != low[:-1]))
-                place, low = place[new], low[new]
-            sizes = np.bincount(place % m, minlength=m).astype(np.uint32)
+            order = np.lexsort((h, place))
+            place, h = place[order], h[order]
+            if len(h):
+                new = np.append(True, (place[1:] != place[:-1]) | (h[1:] != h[:-1]))
+                place, h = place[new], h[new]
+            doc = place % m
             rows = b.column(0).to_numpy()
             # The sizes go along, in groups of their own; a batch is named by its first row.
-            out = {"segment": [-1 - int(rows[0]) % segments], "batch": [int(rows[0])], "counts": [sizes.tobytes()], "h": [rows.tobytes()]}
+            out = {"segment": [-1 - int(rows[0]) % segments], "batch": [int(rows[0])], "docs": [np.bincount(doc, minlength=m).astype(np.uint32).tobytes()], "h": [rows.tobytes()]}
             for x, y in zip(*bounds(place // m)):
                 out["segment"].append(int(place[x] // m))
                 out["batch"].append(int(rows[0]))
-                out["counts"].append(np.bincount(place[x:y] % m, minlength=m).astype(np.uint32).tobytes())
-                out["h"].append(low[x:y].tobytes())
+                out["docs"].append(doc[x:y].astype(np.uint16).tobytes())
+                out["h"].append(h[x:y].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict(out)
 
     def frequency(key, table):
         if key[0].as_py() < 0:
-            return table.select(["batch", "segment", "counts", "h"]).append_column("df", pa.array([b""] * table.num_rows, pa.binary()))
-        batch, counts = table["batch"].to_pylist(), [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
+            return table.select(["batch", "segment", "docs", "h"]).append_column("df", pa.array([b""] * table.num_rows, pa.binary()))
         parts = [np.frombuffer(x, np.uint32) for x in table["h"].to_pylist()]
-        seg = key[0].as_py()
-        out = {"batch": batch, "segment": [seg] * len(batch), "counts": [], "h": [], "df": []}
         _, inverse, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        df = np.minimum(many, 65535)[inverse]
+        df = np.minimum(many, 65535).astype(np.uint16)[inverse]
+        out = {"batch": table["batch"].to_pylist(), "segment": [key[0].as_py()] * table.num_rows, "docs": [], "h": [], "df": []}
         at = 0
-        for c, p in zip(counts, parts):
+        for docs, p in zip(table["docs"].to_pylist(), parts):
             d = df[at : at + len(p)]
             at += len(p)
-            doc = np.repeat(np.arange(len(c)), c)
             shared = d > 1
-            out["counts"].append(np.bincount(doc[shared], minlength=len(c)).astype(np.uint32).tobytes())
-            out["h"].append(p[shared].tobytes())
-            out["df"].append(d[shared].astype(np.uint16).tobytes())
-        return pa.table(out, schema=pa.schema([("batch", pa.int64()), ("segment", pa.int64()), ("counts", pa.binary()), ("h", pa.binary()), ("df", pa.binary())]))
+            for k, v in (("docs", np.frombuffer(docs, np.uint16)), ("h", p), ("df", d)):
+                out[k].append(v[shared].tobytes())
+        return pa.table(out, schema=pa.schema([("batch", pa.int64()), ("segment", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("df", pa.binary())]))
 
     def prefixes(key, table):
         sizes = rows = None
         docs, keys, dfs = [empty()], [empty()], [empty()]
-        for seg, c, h, d in zip(*(table[k].to_pylist() for k in ("segment", "counts", "h", "df"))):
-            c = np.frombuffer(c, np.uint32)
+        for seg, c, h, d in zip(*(table[k].to_pylist() for k in ("segment", "docs", "h", "df"))):
             if seg < 0:
-                sizes, rows = c.astype(np.int64), np.frombuffer(h, np.int64)
+                sizes, rows = np.frombuffer(c, np.uint32).astype(np.int64), np.frombuffer(h, np.int64)
                 continue
-            docs.append(np.repeat(np.arange(len(c)), c))
+            docs.append(np.frombuffer(c, np.uint16).astype(np.int64))
             keys.append((seg << 32) | np.frombuffer(h, np.uint32).astype(np.int64))
             dfs.append(np.frombuffer(d, np.uint16).astype(np.int64))
         doc, k, df = np.concatenate(docs), np.concatenate(keys), np.concatenate(dfs)
@@ -147,8 +160,8 @@ def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
         table = forest(pair[:, 0], pair[:, 1])
         return table.append_column("part", pa.array(np.full(table.num_rows, key[0].as_py() // 8, np.int64)))
 
-    packed = src.select("row", "t").mapInArrow(grams, "segment LONG, batch LONG, counts BINARY, h BINARY")
-    counted = packed.groupBy("segment").applyInArrow(frequency, "batch LONG, segment LONG, counts BINARY, h BINARY, df BINARY")
+    packed = src.select("row", "t").mapInArrow(grams, "segment LONG, batch LONG, docs BINARY, h BINARY")
+    counted = packed.groupBy("segment").applyInArrow(frequency, "batch LONG, segment LONG, docs BINARY, h BINARY, df BINARY")
     chosen = counted.groupBy("batch").applyInArrow(prefixes, "segment LONG, h BINARY, rows BINARY")
     # Forests of eight segments are put together before the components are sought among all.
     one = chosen.groupBy("segment").applyInArrow(stars, "a LONG, b LONG, part LONG")
@@ -233,10 +246,9 @@ def assign(d: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
     return home, d <= np.minimum(BALL + r, nearest + 2 * r)[:, None] + 1e-12
 
 
-def voronoi_join(sets: Sets, least: float, small: int = 128, pivots: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All (i, j, similarity) with i < j and similarity of at least ``least``."""
+def voronoi_join(sets: Sets, least: float, small: int = 128, pivots: int = 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """All (i, [j], [similarity]) with i != j and similarity of at least ``least``; each pair once."""
     r = 1 - least
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     # A region is (members, [(home of every member, number of the region)]): it reports a pair if the smaller home is its own.
     todo: list[tuple[np.ndarray, list]] = [(np.arange(len(sets.size)), [])]
     while todo:
@@ -261,93 +273,149 @@ def voronoi_join(sets: Sets, least: float, small: int = 128, pivots: int = 16) -
                 ok = np.minimum(h[x], h[y]) == q
                 j, y = j[ok], y[ok]
             if len(j):
-                out.append((np.full(len(j), i), j, s[j]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out))
+                yield i, j, s[j]
 
 
 _PAIR = "row_a LONG, row_b LONG, doc_a LONG, doc_b LONG, jaccard DOUBLE"
-_MEMBER = "region LONG, q INT, home INT, chunk INT, ci INT, cj INT, row LONG, doc LONG, grams BINARY"
-
-
-def _join_block(docs, rows, grams, least, allowed) -> pa.Table:
-    """Pairs of one region; ``allowed(i, j)`` tells which pairs of members it reports."""
-    order = np.lexsort((rows, docs))
-    seen: dict[bytes, int] = {}
-    first, copies = [], []
-    for i in order.tolist():
-        f = seen.setdefault(grams[i], i)
-        (first if f == i else copies).append(i if f == i else (f, i))
-    a, b, s = [np.array([c[0] for c in copies], np.int64)], [np.array([c[1] for c in copies], np.int64)], [np.ones(len(copies))]
-    if len(first) > 1:
-        first = np.array(first)
-        x, y, v = voronoi_join(Sets([np.frombuffer(grams[i], np.uint64) for i in first]), least)
-        a.append(first[x])
-        b.append(first[y])
-        s.append(v)
-    a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
-    swap = (docs[a] > docs[b]) | ((docs[a] == docs[b]) & (rows[a] > rows[b]))
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    use = allowed(a, b)
-    a, b, s = a[use], b[use], s[use]
-    null = lambda v: pa.array(v, mask=v == _NULL)
-    return pa.table({"row_a": rows[a], "row_b": rows[b], "doc_a": null(docs[a]), "doc_b": null(docs[b]), "jaccard": s})
-
-
-def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int | None, broadcast_bytes: int) -> DataFrame:
-    """Pairs of rows of ``src`` (row, doc, t)."""
-    spark = src.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments = segments or 1 << max(4, (shuffle - 1).bit_length())
+_LINK = "row LONG, doc LONG, links LONG, root LONG"
+_MEMBER = "region LONG, q INT, home INT, chunk INT, ci INT, cj INT, many LONG, row LONG, doc LONG, grams BINARY"
+_PLACE = ["q", "home", "chunk", "ci", "cj"]
+
+
+class _Region:
+    """The members of one region, or of one tile of it, with the first of each set."""
+
+    def __init__(self, t: pa.Table):
+        get = lambda k: t[k].to_numpy()
+        self.docs, self.rows, self.home, self.chunk = get("doc"), get("row"), get("home"), get("chunk")
+        self.q, self.ci, self.cj = (int(get(k)[0]) for k in ("q", "ci", "cj"))
+        grams, many = t["grams"].to_pylist(), get("many")
+        seen: dict[bytes, int] = {}
+        self.of = np.zeros(len(grams), np.int64)  # number of each member's set
+        for i in np.lexsort((self.rows, self.docs)).tolist():
+            self.of[i] = seen.setdefault(grams[i], len(seen))
+        order = np.lexsort((self.rows, self.docs))
+        self.first = order[np.unique(self.of[order], return_index=True)[1]]
+        self.many = np.bincount(self.of, many, len(seen)).astype(np.int64)
+        self.sets = [np.frombuffer(grams[i], np.uint64) for i in self.first]
+
+    def reports(self, a, b) -> np.ndarray:
+        """Which pairs of members are this region's, and no other's."""
+        h, c, d = self.home, np.minimum(self.chunk[a], self.chunk[b]), np.maximum(self.chunk[a], self.chunk[b])
+        return (np.minimum(h[a], h[b]) == self.q) & (c == self.ci) & (d == self.cj)
+
+    def near(self, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Links between different sets, by number of the set."""
+        if len(self.sets) > 1:
+            for i, j, s in voronoi_join(Sets(self.sets), least):
+                use = self.reports(self.first[i], self.first[j])
+                if use.any():
+                    yield i, j[use], s[use]
+
+    def pairs(self, least: float) -> Iterator[pa.RecordBatch]:
+        def batch(a, b, s):
+            d, r = self.docs, self.rows
+            swap = (d[a] > d[b]) | ((d[a] == d[b]) & (r[a] > r[b]))
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            return pa.RecordBatch.from_pydict({"row_a": r[a], "row_b": r[b], "doc_a": _null(d[a]), "doc_b": _null(d[b]), "jaccard": s})
+
+        copy = np.flatnonzero(self.first[self.of] != np.arange(len(self.of)))
+        copy = copy[self.reports(self.first[self.of[copy]], copy)]
+        yield batch(self.first[self.of[copy]], copy, np.ones(len(copy)))
+        for i, j, s in self.near(least):
+            yield batch(np.full(len(j), self.first[i]), self.first[j], s)
+
+    def links(self, least: float) -> pa.RecordBatch:
+        count = np.where(self.reports(self.first, self.first), self.many - 1, 0)
+        label = np.arange(len(self.first))
+        for i, j, _ in self.near(least):
+            count[i] += self.many[j].sum()
+            count[j] += self.many[i]
+            other = j[label[j] != label[i]]
+            if len(other):
+                met = np.unique(np.append(label[other], label[i]))
+                label[np.isin(label, met)] = met[0]
+        return pa.RecordBatch.from_pydict({"row": self.rows, "doc": _null(self.docs), "links": count[self.of], "root": self.rows[self.first[label[self.of]]]})
+
+
+def _null(v: np.ndarray) -> pa.Array:
+    return pa.array(v, mask=v == _NULL)
+
+
+def _regions(table: pa.Table) -> Iterator[_Region]:
+    table = table.sort_by("region").combine_chunks()
+    for x, y in zip(*bounds(table["region"].to_numpy())):
+        yield _Region(table.slice(x, y - x))
+
+
+def _members(src: DataFrame, n: int, least: float, region: int, segments: int | None, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``src`` (row, doc, t) that may have links, by task; and (row_a, row_b, doc_a, doc_b) of copies that stay out of them."""
+    shuffle = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments or segments_for(src, "t", 32 << 20)
     blocks = components(edges(src, n, least, segments)).select(F.col("node").alias("r"), F.col("root").alias("block"))
     sizes = blocks.groupBy("block").count()
     many, largest = sizes.agg(F.sum("count"), F.max("count")).first()
     # A few numbers a document; beyond the limit both sides are shuffled.
     near = lambda df, rows: F.broadcast(df) if (rows or 0) * 64 <= broadcast_bytes else df
-    place = blocks.select("r", F.col("block").alias("region"), F.lit(0).alias("q"), F.lit(0).alias("home"), F.lit(0).alias("chunk"), F.lit(0).alias("ci"), F.lit(0).alias("cj"))
-    copies = None
+    whole = lambda df, many: df.select("r", F.col("block").alias("region"), *[F.lit(0).alias(c) for c in _PLACE], many.cast("long").alias("many"))
+    place, copies = whole(blocks, F.lit(1)), None
     if (largest or 0) > region:
         big = sizes.filter(F.col("count") > region).select("block")
         marked, first = _firsts(src, blocks.join(big, "block"), n, broadcast_bytes)
         reps = first.count()
         copies = marked.join(near(first.select("key", F.col("row").alias("row_a"), F.col("doc").alias("doc_a")), reps), "key").filter(F.col("row") != F.col("row_a"))
-        copies = copies.select("row_a", F.col("row").alias("row_b"), "doc_a", F.col("doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+        copies = copies.select("row_a", F.col("row").alias("row_b"), "doc_a", F.col("doc").alias("doc_b"))
         left = first.groupBy("block").count()
         alone, still = left.filter(F.col("count") <= region).select("block"), left.filter(F.col("count") > region)
-        first = first.select("block", F.col("row").alias("r"))
-        whole = first.join(alone, "block").select("r", F.col("block").alias("region"), *[F.lit(0).alias(c) for c in ("q", "home", "chunk", "ci", "cj")])
-        split = keep(_split(src, first.join(still, "block"), n, least, region, broadcast_bytes).unionByName(whole))
+        first = first.select("block", F.col("row").alias("r"), "many")
+        split = _split(src, first.join(still, "block").drop("many"), n, least, region, broadcast_bytes).join(first.select("r", "many"), "r")
+        split = keep(split.select("r", "region", *_PLACE, "many").unionByName(whole(first.join(alone, "block"), F.col("many"))))
         place = place.join(big.select(F.col("block").alias("region")), "region", "left_anti").unionByName(split)
         many += split.count()
-    inside = src.join(near(place, many), F.col("row") == F.col("r")).select("region", "q", "home", "chunk", "ci", "cj", "row", "doc", "t")
+    inside = src.join(near(place, many), F.col("row") == F.col("r")).select("region", *_PLACE, "many", "row", "doc", "t")
 
     def sets(batches):
         for b in slices(batches, "t"):
-            h, t = gram_sets(b.column(8), n)
+            h, t = gram_sets(b.column(9), n)
             at = np.searchsorted(t, np.arange(b.num_rows + 1))
-            docs = pa.array([_NULL if x is None else x for x in b.column(7).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:7], docs, pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], [*b.schema.names[:8], "grams"])
+            docs = pa.array([_NULL if x is None else x for x in b.column(8).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], docs, pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())], [*b.schema.names[:9], "grams"])
 
     members = inside.mapInArrow(sets, _MEMBER)
+    return members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(4 * shuffle))), copies
 
-    def join(key, table):
-        out = []
-        table = table.sort_by("region").combine_chunks()
-        at, to = bounds(table["region"].to_numpy())
-        for x, y in zip(at, to):
-            t = table.slice(x, y - x)
-            get = lambda k: t[k].to_numpy()  # noqa: B023, E731
-            q, home, chunk, ci, cj = get("q")[0], get("home"), get("chunk"), get("ci")[0], get("cj")[0]
 
-            def allowed(a, b, q=q, home=home, chunk=chunk, ci=ci, cj=cj):
-                return (np.minimum(home[a], home[b]) == q) & (np.minimum(chunk[a], chunk[b]) == ci) & (np.maximum(chunk[a], chunk[b]) == cj)
+def row_pairs(src: DataFrame, n: int, least: float, region: int, segments: int | None, broadcast_bytes: int) -> DataFrame:
+    """Pairs of rows of ``src`` (row, doc, t)."""
+    members, copies = _members(src, n, least, region, segments, broadcast_bytes)
+
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _regions(pa.Table.from_batches(list(batches))):
+            yield from r.pairs(least)
 
-            out.append(_join_block(get("doc"), get("row"), t["grams"].to_pylist(), least, allowed))
-        return pa.concat_tables(out)
+    pairs = members.groupBy("task").applyInArrow(join, _PAIR)
+    return pairs if copies is None else pairs.unionByName(copies.withColumn("jaccard", F.lit(1.0)))
 
-    pairs = members.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(4 * shuffle))).groupBy("task").applyInArrow(lambda k, t: join(k, t.drop_columns(["task"])), _PAIR)
-    return pairs if copies is None else pairs.unionByName(copies)
+
+def row_classes(src: DataFrame, n: int, least: float, region: int, segments: int | None, broadcast_bytes: int) -> DataFrame:
+    """(r, links, first_row, class): of the rows of ``src`` (row, doc, t) that have links."""
+    members, copies = _members(src, n, least, region, segments, broadcast_bytes)
+
+    def join(key, table):
+        return pa.Table.from_batches([r.links(least) for r in _regions(table)])
+
+    found = keep(members.groupBy("task").applyInArrow(join, _LINK))
+    edge = found.filter(F.col("row") != F.col("root")).select(F.col("root").alias("a"), F.col("row").alias("b"))
+    links = found.groupBy("row").agg(F.first("doc").alias("doc"), F.sum("links").alias("links"))
+    if copies is not None:
+        edge = edge.unionByName(copies.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
+        own = links.select(F.col("row").alias("row_a"), "links")
+        links = links.unionByName(copies.join(own, "row_a").select(F.col("row_b").alias("row"), F.col("doc_b").alias("doc"), "links"))
+    groups = components(edge)
+    named = keep(links.filter("links > 0").join(groups, F.col("row") == F.col("node")).select("row", "doc", "links", "root"))
+    order = F.struct(F.col("doc").isNull().alias("x"), "doc", "row")
+    first = named.groupBy("root").agg(F.min(order).alias("o"))
+    return named.join(first, "root").select(F.col("row").alias("r"), "links", F.col("o.row").alias("first_row"), F.col("o.doc").alias("class"))
 
 
 def _firsts(src: DataFrame, blocks: DataFrame, n: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -367,51 +435,87 @@ def _firsts(src: DataFrame, blocks: DataFrame, n: int, broadcast_bytes: int) ->
     inside = src.join(F.broadcast(blocks) if small else blocks, F.col("row") == F.col("r")).select("block", "row", "doc", "t")
     marked = keep(inside.mapInArrow(digests, "key BINARY, block LONG, row LONG, doc LONG"))
     order = F.struct(F.col("doc").isNull().alias("x"), "doc", "row", "block")
-    first = marked.groupBy("key").agg(F.min(order).alias("o")).select("key", "o.block", "o.row", "o.doc")
+    first = marked.groupBy("key").agg(F.min(order).alias("o"), F.count("*").alias("many")).select("key", "many", "o.block", "o.row", "o.doc")
     return marked, keep(first)
 
 
 def _split(src: DataFrame, blocks: DataFrame, n: int, least: float, region: int, broadcast_bytes: int) -> DataFrame:
     """Where the rows of large blocks go: Voronoi regions, and pairs of tiles for regions that stay large.
 
-    ``blocks`` has (block, r, count). The pivots' sets are sent to all tasks if they have at most
-    ``broadcast_bytes``; else every document counts as far, and tiles do all the work.
+    ``blocks`` has (block, r, count). The pivots' texts are sent to all tasks if they have at most half of
+    ``broadcast_bytes``; else they are shuffled to cells of some thousand members of their block, before those.
     """
     w = Window.partitionBy("block").orderBy(F.xxhash64("r"), "r")
-    chosen = blocks.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= F.least(F.lit(32), 4 * F.ceil(F.col("count") / region))).select("block", "r")
+    chosen = blocks.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= F.least(F.lit(32), 4 * F.ceil(F.col("count") / region))).select("block", "r", "count")
     chosen = keep(chosen)
     few = F.broadcast(chosen) if chosen.count() * 32 <= broadcast_bytes else chosen
-    texts = src.join(few, F.col("row") == F.col("r")).select("block", "row", "t")
-    pivots: dict[int, list[np.ndarray]] = {}
+    texts = src.join(few, F.col("row") == F.col("r")).select("block", "count", "row", "t")
+    small = (blocks.count() or 0) * 32 <= broadcast_bytes
+    inside = src.join(F.broadcast(blocks) if small else blocks, F.col("row") == F.col("r")).select("block", "count", "row", "t")
+
+    def assigned(block: int, rows: list[int], col: pa.Array, ps: list[np.ndarray], out: dict) -> None:
+        h, t = gram_sets(col, n)
+        at = np.searchsorted(t, np.arange(len(col) + 1))
+        sizes = np.array([len(p) for p in ps], np.int64)
+        for i, row in enumerate(rows):
+            x = h[at[i] : at[i + 1]]
+            both = np.array([np.isin(p, x, assume_unique=True).sum() for p in ps], np.int64)
+            home, near = assign((1 - both / np.maximum(1, len(x) + sizes - both))[None, :], 1 - least)
+            for q in sorted({*np.flatnonzero(near[0]).tolist(), int(home[0])}):
+                for k, v in zip(out, (row, int(mix(np.array([block * 64 + q], np.int64).view(np.uint64)).view(np.int64)[0]), q, int(home[0]))):
+                    out[k].append(v)
+
+    def batch(out: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k in ("r", "region") else pa.int32()) for k, v in out.items()})
+
+    def fresh_rows() -> dict:
+        return {"r": [], "region": [], "q": [], "home": []}
+
     if (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= broadcast_bytes // 2:
-        for block, row, t in sorted(texts.collect(), key=lambda x: x[1]):
+        pivots: dict[int, list[np.ndarray]] = {}
+        for block, row, t in sorted(texts.select("block", "row", "t").collect(), key=lambda x: x[1]):
             pivots.setdefault(block, []).append(gram_sets(pa.array([t]), n)[0])
-    sent = src.sparkSession.sparkContext.broadcast(pivots)
-
-    def regions(batches):
-        for b in slices(batches, "t"):
-            h, t = gram_sets(b.column(2), n)
-            at = np.searchsorted(t, np.arange(b.num_rows + 1))
-            out = {"r": [], "region": [], "q": [], "home": []}
-            for i, (block, row) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                x, ps = h[at[i] : at[i + 1]], sent.value.get(block, [])
-                both = np.array([np.isin(p, x, assume_unique=True).sum() for p in ps], np.int64)
-                d = 1 - both / np.maximum(1, len(x) + np.array([len(p) for p in ps], np.int64) - both)
-                home, inside = assign(d[None, :], 1 - least)
-                numbers = set(np.flatnonzero(inside[0]).tolist()) | {int(home[0])}
-                for q in sorted(numbers):
-                    for k, v in zip(out, (row, int(mix(np.array([block * 64 + q], np.int64).view(np.uint64)).view(np.int64)[0]), q, int(home[0]))):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"r": pa.array(out["r"], pa.int64()), "region": pa.array(out["region"], pa.int64()), "q": pa.array(out["q"], pa.int32()), "home": pa.array(out["home"], pa.int32())})
-
-    side = blocks.select("block", "r")
-    small = (blocks.count() or 0) * 32 <= broadcast_bytes
-    inside = src.join(F.broadcast(side) if small else side, F.col("row") == F.col("r")).select("block", "row", "t")
-    placed = keep(inside.mapInArrow(regions, "r LONG, region LONG, q INT, home INT"))
+        sent = src.sparkSession.sparkContext.broadcast(pivots)
+
+        def regions(batches):
+            for b in slices(batches, "t"):
+                out = fresh_rows()
+                block = b.column(0).to_numpy()
+                order = np.argsort(block, kind="stable")
+                for x, y in zip(*bounds(block[order])):
+                    at = pa.array(order[x:y])
+                    assigned(int(block[order[x]]), b.column(1).take(at).to_pylist(), b.column(2).take(at), sent.value.get(int(block[order[x]]), []), out)
+                yield batch(out)
+
+        placed = inside.select("block", "row", "t").mapInArrow(regions, "r LONG, region LONG, q INT, home INT")
+    else:
+        salts = F.ceil(F.col("count") / region).cast("int")
+        left = texts.select("block", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), "row", "t")
+        right = inside.select("block", F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "row", "t")
+        cells = left.unionByName(right).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", F.when(F.col("kind") == 0, F.col("row")))
+
+        def stream(batches):
+            cell, ps = None, []
+            for b in slices(batches, "t"):
+                out, key = fresh_rows(), list(zip(*(b.column(i).to_pylist() for i in range(3))))
+                x = 0
+                while x < len(key):
+                    y = next((i for i in range(x, len(key)) if key[i] != key[x]), len(key))
+                    if key[x][:2] != cell:
+                        cell, ps = key[x][:2], []
+                    if key[x][2] == 0:
+                        ps += [gram_sets(b.column(4).slice(i, 1), n)[0] for i in range(x, y)]
+                    else:
+                        assigned(cell[0], b.column(3).slice(x, y - x).to_pylist(), b.column(4).slice(x, y - x), ps, out)
+                    x = y
+                yield batch(out)
+
+        placed = cells.mapInArrow(stream, "r LONG, region LONG, q INT, home INT")
+    placed = keep(placed)
     tiles = placed.groupBy("region").agg(F.ceil(F.count("*") / region).cast("int").alias("c"))
     x = placed.join(tiles, "region").withColumn("chunk", F.pmod(F.xxhash64("r"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     x = x.withColumn("ci", F.least("chunk", "o").cast("int")).withColumn("cj", F.greatest("chunk", "o").cast("int"))
-    return x.select("r", F.xxhash64("region", "ci", "cj").alias("region"), "q", "home", "chunk", "ci", "cj")
+    return x.select("r", F.xxhash64("region", "ci", "cj").alias("region"), *_PLACE)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -420,39 +524,46 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def jaccard_pairs(docs: DataFrame, n: int = 3, least: float = 0.6, region: int = 4000, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_a, doc_b, jaccard)."""
+    """(doc_a, doc_b, jaccard): the links between first documents, and each copy with its first."""
     return row_pairs(_source(docs, id_col, text_col), n, least, region, segments, broadcast_bytes).select("doc_a", "doc_b", "jaccard")
 
 
+def classes(docs: DataFrame, n: int = 3, least: float = 0.6, region: int = 4000, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, class_id, links): one row for each row of ``docs``."""
+    src = _source(docs, id_col, text_col)
+    found = row_classes(src, n, least, region, segments, broadcast_bytes)
+    joined = src.select("row", "doc").join(found, F.col("row") == F.col("r"), "left")
+    return joined.select(F.col("doc").alias("doc_id"), F.when(F.col("r").isNull(), F.col("doc")).otherwise(F.col("class")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def keep_one(docs: DataFrame, n: int = 3, least: float = 0.6, region: int = 4000, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` without the documents that are connected, by pairs, with one before them in the order of (id, row)."""
+    """``docs`` without the documents whose class has one before them in the order of (id, row)."""
     row, r = fresh(docs, "row", "r")
     whole = with_row_id(docs, row)
     src = whole.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    pairs = keep(row_pairs(src, n, least, region, segments, broadcast_bytes))
-    groups = components(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
-    ids = pairs.select(F.col("row_a").alias("node"), F.col("doc_a").alias("doc")).unionByName(pairs.select(F.col("row_b").alias("node"), F.col("doc_b").alias("doc"))).distinct()
-    named = groups.join(ids, "node")
-    order = F.struct(F.col("doc").isNull().alias("x"), "doc", "node")
-    first = named.groupBy("root").agg(F.min(order).alias("o"))
-    gone = named.join(first, "root").filter(F.col("node") != F.col("o.node")).select(F.col("node").alias(r))
+    gone = row_classes(src, n, least, region, segments, broadcast_bytes).filter(F.col("r") != F.col("first_row")).select(F.col("r").alias(r))
     return whole.join(gone, F.col(row) == F.col(r), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, g FROM (
   SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(0, len(w) - 2), lambda p: array_to_string(w[p + 1:p + 3], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
   FROM w WHERE len(w) > 0)),
 s AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS s, count(*) AS n FROM g GROUP BY doc_id),
-f AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS first FROM s),
+f AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY s) AS first FROM s),
 r AS (SELECT g.doc_id, g.g, f.n FROM g JOIN f USING (doc_id) WHERE f.first = doc_id),
 p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
-      FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(shared / (na + nb - shared), 6) AS jaccard FROM p WHERE shared / (na + nb - shared) >= 0.6 - 1e-12
-UNION ALL SELECT first, doc_id, 1.0 FROM f WHERE first < doc_id
+      FROM r a JOIN r b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM p WHERE shared / (na + nb - shared) >= 0.6 - 1e-12),
+c(a, b) AS (SELECT DISTINCT first, first FROM f UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+k AS (SELECT a, min(b) AS class_id FROM c GROUP BY a),
+m AS (SELECT first, count(*) AS many FROM f GROUP BY first),
+l AS (SELECT e.a, CAST(sum(m.many) AS BIGINT) AS links FROM e JOIN m ON m.first = e.b GROUP BY e.a)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, CAST(coalesce(m.many - 1, 0) + coalesce(l.links, 0) AS BIGINT) AS links
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN k ON k.a = f.first LEFT JOIN m ON m.first = f.first LEFT JOIN l ON l.a = f.first
 """
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("jaccard", F.round("jaccard", 6))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -142,6 +142,46 @@ def brute_pairs(rows, n=3, least=0.6):
     return sorted(out, key=str)
 
 
+def brute_classes(rows, n=3, least=0.6):
+    sets = []
+    for d, t in rows:
+        w = toks(t)
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset())
+    size = len(rows)
+    near = [{j for j in range(size) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least - 1e-12} for i in range(size)]
+    out = []
+    for i in range(size):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        out.append((rows[i][0], min(ids, default=None), len(near[i])))
+    return sorted(out, key=str)
+
+
+def near_copies():
+    g = np.random.default_rng(3)
+    rows = []
+    for f in range(4):
+        base = prose(50 + f, 120).split()
+        for k in range(9):
+            x = list(base)
+            for _ in range(k):
+                x[g.integers(0, len(x))] = "edit%d" % g.integers(0, 1000)
+            rows += [(100 * f + k + 100, " ".join(x))] * (1 + k % 3)
+    return rows + [(None, rows[5][1]), (None, prose(90, 30)), (None, prose(90, 30))]
+
+
+@pytest.mark.parametrize(("region", "limit", "segments"), [(4000, 1 << 26, None), (5, 1 << 26, 1 << 12), (5, 0, None), (2, 0, 32)])
+def test_jaccard_classes(spark, awkward, region, limit, segments):
+    rows = [*awkward, *near_copies()]
+    got = jaccard.classes(frame(spark, rows).coalesce(1), region=region, broadcast_bytes=limit, segments=segments).collect()
+    assert sorted(((r.doc_id, r.class_id, r.links) for r in got), key=str) == brute_classes(rows)
+    assert jaccard.classes(frame(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize(("region", "limit"), [(4000, 1 << 26), (5, 1 << 26), (5, 0)])
 def test_jaccard_pairs(spark, awkward, region, limit):
     rows = list(awkward)
@@ -187,7 +227,8 @@ def test_voronoi_regions_lose_no_pair():
             k = g.integers(0, 50)
             x[g.integers(0, len(x), k)] = g.integers(0, 3000, k)
             sets.append(np.unique(x))
-    i, j, _ = jaccard.voronoi_join(jaccard.Sets(sets), 0.6, small=12, pivots=5)
+    found = list(jaccard.voronoi_join(jaccard.Sets(sets), 0.6, small=12, pivots=5))
+    i, j = np.concatenate([np.full(len(j), i) for i, j, _ in found]), np.concatenate([j for _, j, _ in found])
     plain = [set(s.tolist()) for s in sets]
     want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(plain[a] & plain[b]) / len(plain[a] | plain[b]) >= 0.6 - 1e-12}
     assert len(i) == len(want) and {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want
