@@ -28,11 +28,15 @@ def small_batches(spark: SparkSession, rows: str = "1000") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on one machine only (tests), one of our own where it is unset."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagelens-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="pagelens-")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,6 +54,12 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def segments_for(src: DataFrame, text: str, each: int, most: int) -> int:
+    """A power of two, so that every segment of the hash space has about ``each`` bytes of text; 16 at least."""
+    size = src.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(most, 1 << max(4, (-(-int(size) // each) - 1).bit_length()))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores in front until no column of ``df`` has that name."""
     taken, out = {c.lower() for c in df.columns}, []

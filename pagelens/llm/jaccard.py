@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, slices, with_row_id
+from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, segments_for, slices, with_row_id
 from pagelens.llm._text import mix, ngrams, points, words
 
 _NULL = np.iinfo(np.int64).max
@@ -75,12 +75,6 @@ def bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(key)) if len(key) else at
 
 
-def segments_for(src: DataFrame, text: str, each: int, most: int = 1 << 14) -> int:
-    """A power of two, so that every segment has about ``each`` bytes of text; 16 at least."""
-    size = src.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return min(most, 1 << max(4, (-(-int(size) // each) - 1).bit_length()))
-
-
 def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
     """(a, b): rows that share a run in their prefixes, as stars around the smallest row of each run."""
     bits = segments.bit_length() - 1
@@ -351,7 +345,7 @@ def _regions(table: pa.Table) -> Iterator[_Region]:
 def _members(src: DataFrame, n: int, least: float, region: int, segments: int | None, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ``src`` (row, doc, t) that may have links, by task; and (row_a, row_b, doc_a, doc_b) of copies that stay out of them."""
     shuffle = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    segments = segments or segments_for(src, "t", 32 << 20)
+    segments = segments or segments_for(src, "t", 32 << 20, 1 << 14)
     blocks = components(edges(src, n, least, segments)).select(F.col("node").alias("r"), F.col("root").alias("block"))
     sizes = blocks.groupBy("block").count()
     many, largest = sizes.agg(F.sum("count"), F.max("count")).first()
