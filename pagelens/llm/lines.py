@@ -2,7 +2,8 @@
 
 1. Every task hashes the lines of its rows. The 64-bit hashes of a task go, packed, to the segment that their
    upper bits name. A segment keeps two Bloom filters: a hash that finds itself in the *once* filter enters the
-   *twice* filter. Segments are independent, so the filters grow in number with the data, not in size.
+   *twice* filter. Segments are independent, and there is one for every 64 MB of text, so the
+   filters grow in number with the data, not in size.
 2. The twice filters together hold repeated lines only. If they have at most ``broadcast_bytes``, every task
    gets them and tests its lines in place. Beyond that size the hashes travel instead: packed (hash, row, line)
    triples go to their segment, are tested there, and only the addresses of suspects return.
@@ -16,18 +17,21 @@ Lines are what line feeds separate; they are equal if all their characters are.
 * equal ids, or equal rows: separate rows, in the order of the table; the first row keeps the line;
 * a repeat within one document: the first of its lines stays;
 * a document that loses all its lines has the text '' (or goes, with ``drop_emptied``);
+* very long lines and texts are compared whole;
 * other columns are kept, whatever their names; an empty table: no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, slices, with_row_id
+from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, segments_for, slices, with_row_id
 from pagelens.llm._text import mix
 
 _BITS, _HASHES = 16, 4
@@ -60,6 +64,9 @@ class Bloom:
             out &= self.bit[p]
         return out
 
+    def packed(self) -> bytes:
+        return np.packbits(self.bit, bitorder="little").tobytes()
+
 
 def split(text: str | None, min_chars: int) -> tuple[list[str], list[int]]:
     """The lines that may be removed, and their numbers."""
@@ -98,18 +105,17 @@ def _filters(src: DataFrame, text: str, shift: int, min_chars: int) -> DataFrame
         if size:
             yield flush()
 
-    def build(key, table):
-        rows = [(np.frombuffer(h, np.uint64), np.frombuffer(a, np.uint64)) for h, a in zip(table["h"].to_pylist(), table["again"].to_pylist())]
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.frombuffer(h, np.uint64), np.frombuffer(a, np.uint64)) for b in batches for h, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
         once, twice = Bloom(sum(len(h) for h, _ in rows)), []
         for h, again in rows:
             twice += [h[once.has(h)], again]
             once.add(h)
         found = np.unique(np.concatenate(twice))
-        if not len(found):
-            return pa.Table.from_pydict({"segment": pa.array([], pa.int64()), "m": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
-        second = Bloom(len(found))
-        second.add(found)
-        return pa.Table.from_pydict({"segment": [key[0].as_py()], "m": [second.m], "bits": [np.packbits(second.bit, bitorder="little").tobytes()]})
+        if len(found):
+            second = Bloom(len(found))
+            second.add(found)
+            yield pa.RecordBatch.from_pydict({"segment": [key[0].as_py()], "m": [second.m], "bits": [second.packed()]})
 
     packed = src.select(text).mapInArrow(collect, "segment LONG, h BINARY, again BINARY")
     return packed.groupBy("segment").applyInArrow(build, "segment LONG, m LONG, bits BINARY")
@@ -190,11 +196,9 @@ def suspects(src: DataFrame, row: str, doc: str, text: str, min_chars: int, segm
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, drop_emptied: bool = False, removed_col: str | None = None, segments: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without repeated lines; ``removed_col`` adds the number of lines that a row lost."""
     row, gone, r, d, t = fresh(docs, "row", "gone", "r", "d", "t")
-    if segments is None:
-        want = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        segments = 1 << max(4, (want - 1).bit_length())
     src = with_row_id(docs, row)
     plain = src.select(F.col(f"`{id_col}`").cast("long").alias(d), F.col(row), F.col(f"`{text_col}`").cast("string").alias(t))
+    segments = segments or segments_for(plain, t, 64 << 20, 1 << 20)
     lines = keep(suspects(plain, row, d, t, min_chars, segments, broadcast_bytes))
     order = F.struct(F.col("doc").isNull().alias("a"), "doc", "row", "line")
     first = lines.groupBy("content").agg(F.min(order).alias("o"), F.count("*").alias("n")).filter("n > 1")
