@@ -21,7 +21,9 @@ A removal span is the union of the repeats of a document that overlap or touch.
 remain if the first occurrence of every window stays (``duplicate`` true); order is that of (id, row, word).
 ``dedup_substrings`` cuts the latter.
 
-Words are runs of letters and digits in lower case. Results for special input: a null, empty or short text has no
+The number of segments of the hash space, in which anchors are counted and trees are grown, follows the bytes of text.
+
+Words are runs of letters and digits in lower case. Results for special input: very long texts are cut nowhere; a null, empty or short text has no
 repeats; null ids come last; rows with equal ids and equal rows are separate documents, in the order of the table; a
 passage that repeats within one document counts, also where it overlaps itself; other columns are kept by
 ``dedup_substrings`` and ignored by ``find_repeats``; an empty table gives no rows.
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, slices, store, with_row_id
+from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, segments_for, slices, store, with_row_id
 from pagelens.llm._text import _WORD_BASE, mix, points, spans_hash, words
 from pagelens.llm.lines import Bloom, _tester
 
@@ -194,7 +196,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         twice = u[n > 1]
         f = Bloom(len(twice))
         f.add(twice)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "m": pa.array([f.m], pa.int64()), "bits": pa.array([np.packbits(f.bit, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([u[n > cap].tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "m": pa.array([f.m], pa.int64()), "bits": pa.array([f.packed()], pa.binary()), "hot": pa.array([u[n > cap].tobytes()], pa.binary())})
 
     def addresses(key, table):
         _, _, i, n = counted(table)
@@ -278,7 +280,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
 def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, prefix: int, segments: int | None, cap: int, broadcast_bytes: int) -> DataFrame:
     """(doc, row, duplicate, ws, we), put together where they overlap or touch; ``docs`` has a column ``row``."""
     if segments is None:
-        segments = 1 << max(4, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        segments = segments_for(docs, "t", 16 << 20, 1 << 20)
     parts = _intervals(docs, length, prefix, segments, cap, broadcast_bytes)
     w = Window.partitionBy("row", "duplicate").orderBy("ws", "we")
     new = F.coalesce(F.max("we").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("ws"), F.lit(True))
