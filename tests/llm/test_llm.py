@@ -373,21 +373,74 @@ def test_cuts_have_the_least_cost(seed):
     assert at == n and abs(cost - brute_cuts(sizes.tolist(), first.tolist(), 25, truncation, split)) < 1e-9
 
 
-def test_packing_keeps_order_and_text(spark, awkward):
+def brute_windows(rows, window, truncation=1.0, split=8.0):
+    """Windows of all rows as one shard: lists of (id, tokens), from the least-cost cuts found by a full search."""
+    flat, sizes, whole = [], [], []
+    for d, t in rows:
+        units = [u.split() for u in re.findall(r"\S.*?(?:[.!?](?=\s)|(?=\n)|\Z)", t or "", re.S)]
+        units = [u for u in units if u]
+        flat += [(d, w) for u in units for w in u]
+        sizes += [len(u) for u in units]
+        whole += [k == len(units) - 1 for k in range(len(units))]
+    to = np.cumsum(sizes).tolist()
+    cost, back = [0.0], [0]
+    for p in range(1, len(flat) + 1):
+        unit = next(k for k, t in enumerate(to) if t >= p)
+        rest = to[unit] - p
+        own = window + ((0 if whole[unit] else split) if rest == 0 else split + truncation * min(rest, window))
+        best = min(range(p - 1, max(0, p - window) - 1, -1), key=lambda q: cost[q])
+        cost.append(cost[best] + own)
+        back.append(best)
+    out, p = [], len(flat)
+    while p:
+        out.append(flat[back[p] : p])
+        p = back[p]
+    return cost[-1], out[::-1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_against_a_full_search(spark, seed):
+    g = np.random.default_rng(seed)
+    rows = []
+    for i in g.permutation(12).tolist():
+        words_ = prose(int(g.integers(1000)), int(g.integers(1, 60))).split()
+        rows.append((i * 1_000_003 - 5, " ".join(w + ("." if g.random() < 0.2 else "") for w in words_)))
+    out = packing.pack_documents(frame(spark, rows), window=16).orderBy("shard", "window_no").collect()
+    cost, want = brute_windows(sorted(rows), 16)
+    got = []
+    for r in out:
+        got.append([(s.doc_id, w) for s in r.segments for w in dict(rows)[s.doc_id][s.start : s.end].split()])
+    assert [x for w in got for x in w] == [x for w in want for x in w] and got == want
+
+
+def test_packing_of_awkward_documents(spark, awkward):
     rows = [*awkward, (50, "One two three. Four five! Six\nseven eight nine ten. Eleven"), (9000, "far away")]
-    out = packing.pack_documents(frame(spark, rows), window=10, shard_docs=4096).collect()
+    out = packing.pack_documents(frame(spark, rows), window=10, shard_docs=3, part_bytes=2000).collect()
     texts = {}
     for d, t in rows:
         texts.setdefault(d, set()).add(t)
     for r in out:
         assert r.n_tokens + r.padding == 10 and r.n_tokens == sum(s.tokens for s in r.segments) == len(r.text.split())
-        assert r.text == "\n\n".join(p for s in r.segments for p in [next(t[s.start : s.end] for t in texts[s.doc_id] if t and len(t[s.start : s.end].split()) == s.tokens)]) or len(texts[r.segments[0].doc_id]) > 1
-    total = sum(len((t or "").split()) for _, t in rows)
-    assert sum(r.n_tokens + r.truncated for r in out) == total
-    assert {r.shard for r in out} == {0, 2, None}
+        options = [[t[s.start : s.end] for t in texts[s.doc_id] if t and len(t[s.start : s.end].split()) == s.tokens] for s in r.segments]
+        assert any(r.text == "\n\n".join(x) for x in itertools.product(*options))
+    assert sum(r.n_tokens + r.truncated for r in out) == sum(len((t or "").split()) for _, t in rows)
+    assert len({r.shard for r in out}) > 1
     assert packing.pack_documents(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["consecutive", "hashed", "equal", "null"])
+def test_ids_do_not_change_how_well_windows_fill(spark, ids):
+    docs = spark.range(600).select({"consecutive": F.col("id"), "hashed": F.xxhash64("id"), "equal": F.lit(7).cast("long"), "null": F.lit(None).cast("long")}[ids].alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20) + F.col("id") % 9), lambda x: F.concat(F.lit("w"), x.cast("string")))).alias("text"))
+    out = packing.pack_documents(docs, window=64, shard_docs=100).collect()
+    total = sum(20 + i % 9 for i in range(600))
+    assert sum(r.n_tokens for r in out) == total and len({r.shard for r in out}) == 6
+    assert len(out) <= 1.08 * total / 64 + 6
+    per = [sum(1 for r in out if r.shard == k) for k in range(6)]
+    assert max(per) < 2.5 * min(per)
+    again = packing.pack_documents(docs, window=64, shard_docs=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_token_cuts_hold_all_and_have_the_least_cost(seed):
     g = np.random.default_rng(seed)
