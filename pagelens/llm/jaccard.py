@@ -37,7 +37,7 @@ Results for special input:
 * an empty table: no rows.
 
 The runs are counted in segments of the hash space, as many as the bytes of text ask for (at most 16,384, so beyond
-500 GB a segment grows with the data).
+130 GB a segment grows with the data).
 """
 
 from __future__ import annotations
@@ -345,7 +345,7 @@ def _regions(table: pa.Table) -> Iterator[_Region]:
 def _members(src: DataFrame, n: int, least: float, region: int, segments: int | None, broadcast_bytes: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ``src`` (row, doc, t) that may have links, by task; and (row_a, row_b, doc_a, doc_b) of copies that stay out of them."""
     shuffle = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    segments = segments or segments_for(src, "t", 32 << 20, 1 << 14)
+    segments = segments or segments_for(src, "t", 8 << 20, 1 << 14)
     blocks = components(edges(src, n, least, segments)).select(F.col("node").alias("r"), F.col("root").alias("block"))
     sizes = blocks.groupBy("block").count()
     many, largest = sizes.agg(F.sum("count"), F.max("count")).first()

@@ -2,7 +2,7 @@
 
 1. Every task hashes the lines of its rows. The 64-bit hashes of a task go, packed, to the segment that their
    upper bits name. A segment keeps two Bloom filters: a hash that finds itself in the *once* filter enters the
-   *twice* filter. Segments are independent, and there is one for every 64 MB of text, so the
+   *twice* filter. Segments are independent, and there is one for every 8 MB of text (at most 262,144), so the
    filters grow in number with the data, not in size.
 2. The twice filters together hold repeated lines only. If they have at most ``broadcast_bytes``, every task
    gets them and tests its lines in place. Beyond that size the hashes travel instead: packed (hash, row, line)
@@ -198,7 +198,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, gone, r, d, t = fresh(docs, "row", "gone", "r", "d", "t")
     src = with_row_id(docs, row)
     plain = src.select(F.col(f"`{id_col}`").cast("long").alias(d), F.col(row), F.col(f"`{text_col}`").cast("string").alias(t))
-    segments = segments or segments_for(plain, t, 64 << 20, 1 << 20)
+    segments = segments or segments_for(plain, t, 8 << 20, 1 << 18)
     lines = keep(suspects(plain, row, d, t, min_chars, segments, broadcast_bytes))
     order = F.struct(F.col("doc").isNull().alias("a"), "doc", "row", "line")
     first = lines.groupBy("content").agg(F.min(order).alias("o"), F.count("*").alias("n")).filter("n > 1")

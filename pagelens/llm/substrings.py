@@ -280,7 +280,7 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
 def _spans(docs: DataFrame, id_col: str, text_col: str, length: int, prefix: int, segments: int | None, cap: int, broadcast_bytes: int) -> DataFrame:
     """(doc, row, duplicate, ws, we), put together where they overlap or touch; ``docs`` has a column ``row``."""
     if segments is None:
-        segments = segments_for(docs, "t", 16 << 20, 1 << 20)
+        segments = segments_for(docs, "t", 8 << 20, 1 << 20)
     parts = _intervals(docs, length, prefix, segments, cap, broadcast_bytes)
     w = Window.partitionBy("row", "duplicate").orderBy("ws", "we")
     new = F.coalesce(F.max("we").over(w.rowsBetween(Window.unboundedPreceding, -1)) < F.col("ws"), F.lit(True))
