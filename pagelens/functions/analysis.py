@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+@dataclass(frozen=True)
+class Analysis:
+    """What happens to tokens, when they are indexed and when a query is read."""
+
+    stop_words: tuple[str, ...] = ()
+    stemmed: bool = False
+
+    def terms(self, tokens: Iterable[str]) -> list[str | None]:
+        """Tokens of a query as the index has them; None where a stop word leaves a gap."""
+        return [None if t in self.stop_words else porter(t) if self.stemmed else t for t in tokens]
+
+
 TOKEN = r"[\p{L}\p{N}]+"
 STOP_WORDS = ("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with").split()
 MAX_TOKEN = 255

@@ -86,7 +86,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup",
 
 def boxes(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup", features: list[str] | None = None, **kw) -> DataFrame:
     """One row per word; ``features`` chooses groups of columns."""
-    flat = parsed(docs, id_col, markup_col, **kw).select("doc_id", F.inline("boxes"))
+    flat = parsed(docs, id_col, markup_col, **kw).select("doc_id", "format", F.inline("boxes"))
     if features is None:
         return flat
     return flat.select("doc_id", "box_seq", "line_seq", "par_seq", "block_seq", "section_seq", *[c for f in features for c in FEATURES[f]])

@@ -5,61 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.operators.index import SEQ
 from pagelens.options import HighlightOptions
 
-SEQ = {"word": "box_seq", "line": "line_seq", "paragraph": "par_seq", "block": "block_seq", "section": "section_seq", "page": "page_idx"}
 
-
-def _seq(level: str, columns: list[str]) -> str | None:
-    return SEQ[level] if SEQ[level] in columns else None
-
-
-def units(boxes: DataFrame, level: str) -> DataFrame:
-    """(doc_id, unit, u_start, u_end, u_first, u_last): extent of each unit of a level, in offsets and boxes; a unit ends where the next begins."""
-    w = Window.partitionBy("doc_id").orderBy("unit")
-    u = boxes.groupBy("doc_id", F.col(SEQ[level]).alias("unit")).agg(F.min("text_off").alias("u_start"), F.max(F.col("text_off") + F.col("src_len") + 1).alias("last"), F.min("box_seq").alias("u_first"), F.max("box_seq").alias("u_last"))
-    return u.select("doc_id", "unit", "u_start", F.coalesce(F.lead("u_start").over(w), F.col("last")).alias("u_end"), "u_first", "u_last")
-
-
-def preceding(boxes: DataFrame, level: str, offsets: DataFrame) -> DataFrame:
+def preceding(units: DataFrame, level: str, offsets: DataFrame) -> DataFrame:
     """As-of lookup: for (doc_id, off) the start of the unit at or before it, and the start of the next."""
-    u = units(boxes, level)
-    joined = offsets.join(u, "doc_id", "left").filter(F.col("unit").isNull() | ((F.col("u_start") <= F.col("off")) & (F.col("off") < F.col("u_end"))))
-    return joined.select(*offsets.columns, "u_start", "u_end")
-
-
-def _limit(columns: list[str], options: HighlightOptions, first_only: bool) -> str | None:
-    """The limiting level: the chosen one if the format has it, else the nearest above it."""
-    return next((k for k in options.limit_levels(first_only) if _seq(k, columns)), None)
-
-
-def bounded(matches: DataFrame, boxes: DataFrame, options: HighlightOptions, first_limit_only: bool = False) -> DataFrame:
-    """``matches`` with p_start, p_end (offsets) and p_first, p_last (boxes): context around each, within its limit block."""
-    cols = boxes.columns
-    context = _seq(options.context_block, cols) or SEQ["page"]
-    limit = _limit(cols, options, first_limit_only)
-    n = options.context_size
-    extra = [F.col(SEQ[limit]).alias("lim")] if limit else [F.lit(0).alias("lim")]
-    ord_ = boxes.select("doc_id", "box_seq", F.col(context).alias("ctx"), *extra, "page_id") if "page_id" in cols else boxes.select("doc_id", "box_seq", F.col(context).alias("ctx"), *extra, F.lit(None).cast("string").alias("page_id"))
-    edges = ord_.groupBy("doc_id", "lim").agg(F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-    at = ord_.join(edges, ["doc_id", "lim"])
-    m = matches.join(at.select("doc_id", F.col("box_seq").alias("start_box"), F.greatest(F.col("ctx") - n, F.col("lo")).alias("a"), "page_id"), ["doc_id", "start_box"])
+    u = units.filter(F.col("level") == level).select("doc_id", F.col("starts").alias("_s"), F.col("ends").alias("_e"))
+    at = F.size(F.filter("_s", lambda s: s <= F.col("off"))) - 1
+    joined = offsets.join(u, "doc_id", "left").withColumn("_at", at)
+    inside = (F.col("_at") >= 0) & (F.col("off") < F.get("_e", F.col("_at")))
+    found = joined.filter(F.col("_s").isNull() | inside)
+    return found.select(*offsets.columns, F.get("_s", F.col("_at")).alias("u_start"), F.get("_e", F.col("_at")).alias("u_end"))
+
+
+def bounded(matches: DataFrame, units: DataFrame, options: HighlightOptions) -> DataFrame:
+    """``matches`` with tf, content, p_start, p_end (offsets) and p_first, p_last (boxes): context around each, within its limit.
+
+    A limit is the chosen level and all levels above it, in formats that say so the chosen level alone; a level that a
+    document doesn't have limits nothing. The matches of a document meet the units of its layout, one row, in one join on
+    the document; the rest is local to it. ``tf`` counts a term in the document before pages are filtered; matches that
+    go beyond the content are left out.
+    """
+    base, n = options.context_block, options.context_size
+    u = units.filter(F.col("level") == base).drop("level")
+    counted = matches.withColumn("tf", F.count("*").over(Window.partitionBy("doc_id", "term")))
     if options.page_id is not None:
-        m = m.filter(F.col("page_id") == options.page_id)  # before any window, so that other pages cost nothing
-    m = m.join(at.select("doc_id", F.col("box_seq").alias("end_box"), F.least(F.col("ctx") + n, F.col("hi")).alias("z")), ["doc_id", "end_box"])
-    level = next(k for k, v in SEQ.items() if v == context)
-    u = units(boxes, level)
-    m = m.join(u.select("doc_id", F.col("unit").alias("a"), F.col("u_start").alias("p_start"), F.col("u_first").alias("p_first")), ["doc_id", "a"])
-    m = m.join(u.select("doc_id", F.col("unit").alias("z"), F.col("u_end").alias("p_end"), F.col("u_last").alias("p_last")), ["doc_id", "z"])
-    return m.select(*matches.columns, "p_start", "p_end", "p_first", "p_last")
+        # Before anything is built, so that other pages cost nothing.
+        pages = units.filter(F.col("level") == "page").select("doc_id", F.explode(F.arrays_zip("ids", "page_ids")).alias("p")).filter(F.col("p.page_ids") == options.page_id)
+        counted = counted.join(pages.select("doc_id", F.col("p.ids").alias("_page")), "doc_id").filter(F.col("start_at.page_idx") == F.col("_page")).drop("_page")
+    cols = [c for c in counted.columns if c != "doc_id"]
+    each = counted.groupBy("doc_id").agg(F.collect_list(F.struct(*cols)).alias("_ms")).join(u, "doc_id")
+    ids, last = F.col("ids"), F.size("ids") - 1
+    first_id = F.get("ids", F.lit(0))
+    even = F.get("ids", last) - first_id == last  # ordinals without gaps are places in the arrays
+
+    def below(x: Column) -> Column:
+        """How many units have a smaller ordinal."""
+        return F.when(even, F.greatest(F.lit(0), F.least(last + 1, x - first_id))).otherwise(F.size(F.filter(ids, lambda i: i < x)))
+
+    def limits(m: Column, levels: tuple[str, ...]) -> tuple[Column, Column]:
+        lo, hi = [F.lit(0)], [last]
+        for level in levels:
+            if level == base or level == "word":
+                lo.append(below(m["start_at"][SEQ[base]]))
+                hi.append(below(m["end_at"][SEQ[base]]))
+                continue
+            inside = F.col(f"in_{level}")
+            a, z = F.array_position(inside, m["start_at"][SEQ[level]]), F.array_position(F.reverse(inside), m["end_at"][SEQ[level]])
+            lo.append(F.when(a > 0, a.cast("int") - 1).otherwise(below(m["start_at"][SEQ[base]])))
+            hi.append(F.when(z > 0, last + 1 - z.cast("int")).otherwise(below(m["end_at"][SEQ[base]])))
+        return (F.greatest(*lo) if len(lo) > 1 else lo[0]), (F.least(*hi) if len(hi) > 1 else hi[0])
+
+    def context(m: Column) -> Column:
+        every, chosen = limits(m, options.limit_levels()), limits(m, options.limit_levels(True))
+        lo, hi = (F.when(F.col("first_only"), c).otherwise(e) for c, e in zip(chosen, every))
+        a = F.greatest(below(m["start_at"][SEQ[base]] - n), lo)
+        z = F.least(below(m["end_at"][SEQ[base]] + n + 1) - 1, hi)
+        return F.struct(*[m[c].alias(c) for c in cols], F.get("starts", a).alias("p_start"), F.least(F.get("ends", z), F.col("content")).alias("p_end"), F.get("firsts", a).alias("p_first"), F.get("lasts", z).alias("p_last"))
+
+    out = each.select("doc_id", "content", F.explode(F.transform("_ms", context)).alias("m")).select("doc_id", "m.*", "content")
+    return out.filter((F.col("start_off") < F.col("content")) & (F.col("end_off") <= F.col("content")))
+
+
+_ORDER = ("start_off", "end_off", "term")
 
 
 def numbered(bounded: DataFrame) -> DataFrame:
-    """Gaps and islands: a match begins a new passage iff its bounds begin at or after the end of all before it."""
-    w = Window.partitionBy("doc_id").orderBy("start_off", "end_off", "term")
-    before = F.max("p_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("p_start") >= before).cast("int"), F.lit(1))
-    return bounded.withColumn("new", new).withColumn("passage_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new")
+    """Gaps and islands: a match begins a new passage iff its bounds begin at or after the end of the one before it."""
+    w = Window.partitionBy("doc_id").orderBy(*_ORDER)
+    new = F.coalesce((F.col("p_start") >= F.lag("p_end").over(w)).cast("int"), F.lit(1))
+    return bounded.withColumn("new", new).withColumn("passage_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
 
 
 def totals(numbered: DataFrame, options: HighlightOptions) -> DataFrame:
@@ -68,10 +84,19 @@ def totals(numbered: DataFrame, options: HighlightOptions) -> DataFrame:
     return numbered.groupBy("doc_id").agg((F.least(F.max("passage_no"), F.lit(options.passage_limit)) + F.count_if(over)).cast("int").alias("num_total"))
 
 
+def _built(numbered: DataFrame, options: HighlightOptions) -> DataFrame:
+    """Matches that passages are built from: those up to the limit, and the first one behind it.
+
+    The limit is looked at before the passage in progress counts, so there is one more, which ends with its first match.
+    """
+    return numbered.filter((F.col("passage_no") <= options.passage_limit) | ((F.col("passage_no") == options.passage_limit + 1) & (F.col("new") == 1)))
+
+
 def passages(numbered: DataFrame, options: HighlightOptions) -> DataFrame:
-    """(doc_id, passage_no, p_start, p_end, p_first, p_last, n_matches)."""
-    use = numbered.filter(F.col("passage_no") <= options.passage_limit)
-    return use.groupBy("doc_id", "passage_no").agg(F.min("p_start").alias("p_start"), F.max("p_end").alias("p_end"), F.min("p_first").alias("p_first"), F.max("p_last").alias("p_last"), F.count("*").alias("n_matches"))
+    """(doc_id, passage_no, p_start, p_end, p_first, p_last, n_matches): a passage ends where its last match does."""
+    last = F.max(F.struct(*_ORDER, "p_end", "p_last")).alias("z")
+    p = _built(numbered, options).groupBy("doc_id", "passage_no").agg(F.min(F.struct(*_ORDER, "p_start", "p_first")).alias("a"), last, F.count("*").alias("n_matches"))
+    return p.select("doc_id", "passage_no", "a.p_start", "z.p_end", "a.p_first", "z.p_last", "n_matches")
 
 
 def score(freq: Column, doc_freq: Column, content: Column, length: Column, o: HighlightOptions) -> Column:
@@ -81,18 +106,19 @@ def score(freq: Column, doc_freq: Column, content: Column, length: Column, o: Hi
     return weight * freq / (freq + o.k1 * ((1 - o.b) + o.b * length / o.pivot))
 
 
-def scored(numbered: DataFrame, boxes: DataFrame, options: HighlightOptions) -> DataFrame:
+def scored(numbered: DataFrame, options: HighlightOptions) -> DataFrame:
     """Passages with a score; ``norm`` of the options decides how the start counts."""
-    p = passages(numbered, options)
-    content = boxes.groupBy("doc_id").agg(F.max(F.col("text_off") + F.col("src_len") + 1).alias("content"))
-    tf = numbered.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    f = numbered.filter(F.col("passage_no") <= options.passage_limit).groupBy("doc_id", "passage_no", "term").agg(F.count("*").alias("f"))
-    x = f.join(tf, ["doc_id", "term"]).join(p, ["doc_id", "passage_no"]).join(content, "doc_id")
-    raw = x.groupBy("doc_id", "passage_no").agg(F.sum(score(F.col("f"), F.col("tf"), F.col("content"), F.col("p_end") - F.col("p_start"), options)).alias("raw"))
+    w = Window.partitionBy("doc_id", "passage_no")
+    built = _built(numbered, options).groupBy("doc_id", "passage_no", "term").agg(F.count("*").alias("f"), F.first("tf").alias("tf"), F.first("content").alias("content"), F.min(F.struct(*_ORDER, "p_start", "p_first")).alias("a"), F.max(F.struct(*_ORDER, "p_end", "p_last")).alias("z"))
+    built = built.withColumn("a", F.min("a").over(w)).withColumn("z", F.max("z").over(w))
+    p = built.groupBy("doc_id", "passage_no").agg(
+        F.first("a.p_start").alias("p_start"), F.first("z.p_end").alias("p_end"), F.first("a.p_first").alias("p_first"), F.first("z.p_last").alias("p_last"), F.sum("f").alias("n_matches"),
+        F.sum(score(F.col("f"), F.col("tf"), F.col("content"), F.col("z.p_end") - F.col("a.p_start"), options)).alias("raw"),
+    )
     norm = F.lit(1.0)
     if options.norm == "reference":
         norm = 1 + 1 / F.log(F.lit(options.pivot) + F.col("p_start")) if options.boost_early else F.col("p_start").cast("double")
-    return p.join(raw, ["doc_id", "passage_no"]).withColumn("score", F.col("raw") * norm).drop("raw")
+    return p.withColumn("score", F.col("raw") * norm).drop("raw")
 
 
 def best(scored: DataFrame, options: HighlightOptions) -> DataFrame:

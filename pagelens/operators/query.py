@@ -1,7 +1,9 @@
 """The query language: terms, fields, phrases, proximity, wildcards, fuzzy terms, boolean operators, boosts.
 
-A query is parsed to a tree; ``documents`` evaluates it to a set of documents and ``matches`` to the spans that its
-terms and phrases match. Every leaf filters postings by terms first, so phrase joins see only postings of their words.
+A query is parsed to a tree; ``analysed`` puts its words through the analysis of the index, ``documents`` evaluates it
+to a set of documents, ``scores`` to their relevance and ``matches`` to the spans that its terms and phrases match.
+Every leaf filters postings by terms first, so phrase joins see only postings of their words, and all joins of phrases
+are on (document, position). Wildcards and fuzzy terms are looked up in the dictionary of terms, if there is one.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.analysis import TOKEN
+from pagelens.functions.analysis import TOKEN, Analysis
+from pagelens.operators.index import document_lengths, place
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,11 @@ class Phrase:
     slop: int = 0
     field: str | None = None
     boost: float = 1.0
+    gaps: tuple[int, ...] = ()  # place of each term in the phrase, if stop words left gaps
+
+    @property
+    def places(self) -> tuple[int, ...]:
+        return self.gaps or tuple(range(len(self.terms)))
 
 
 @dataclass(frozen=True)
@@ -119,10 +127,43 @@ def leaves(q) -> list:
     return [q]
 
 
+def analysed(q, analysis: Analysis):
+    """The query in the terms of an index: stemmed, without stop words, whose places in phrases stay empty."""
+    if isinstance(q, Bool):
+        parts = tuple(x for x in (analysed(p, analysis) for p in q.parts) if x is not None)
+        return Bool(q.kind, parts) if parts or not q.parts else None
+    if isinstance(q, Term):
+        if q.wildcard or q.fuzzy is not None:
+            return q
+        (t,) = analysis.terms([q.text])
+        return None if t is None else replace(q, text=t)
+    kept = [(k, t) for k, t in zip(q.places, analysis.terms(q.terms)) if t is not None]
+    if len(kept) < 2:
+        return Term(kept[0][1], q.field, q.boost) if kept else None
+    return replace(q, terms=tuple(t for _, t in kept), gaps=tuple(k - kept[0][0] for k, _ in kept))
+
+
 def wildcard_pattern(text: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in text) + "$"
 
 
+def fuzzy_condition(c: Column, text: str, most: int) -> Column:
+    """Terms within ``most`` (at most 2) edits; two neighbours that change places are one edit, and aren't edited again."""
+    near = lambda x, t, d: F.levenshtein(x, F.lit(t), d) >= 0
+    swap = lambda i: text[i + 1] + text[i]
+    places = [i for i in range(len(text) - 1) if text[i] != text[i + 1]]
+    cond = near(c, text, most)
+    if most == 1 and places:
+        cond = cond | c.isin([text[:i] + swap(i) + text[i + 2 :] for i in places])
+    if most > 1:
+        for i in places:  # one change of places, and one other edit before or behind it
+            front, back = text[:i] + swap(i), swap(i) + text[i + 2 :]
+            cond = cond | (c.endswith(back) & near(F.left(c, F.length(c) - len(back)), text[:i], 1)) | (c.startswith(front) & near(F.substring(c, len(front) + 1, 2**31 - 1), text[i + 2 :], 1))
+        twice = [text[:i] + swap(i) + text[i + 2 : j] + swap(j) + text[j + 2 :] for i in places for j in places if j > i + 1]
+        cond = cond | c.isin(twice) if twice else cond
+    return (F.abs(F.length(c) - len(text)) <= most) & cond
+
+
 def term_condition(t: Term, column: Column | None = None) -> Column:
     """Which terms of the index a term of the query stands for; a bare ``*`` stands for none."""
     c = F.col("term") if column is None else column
@@ -133,12 +174,25 @@ def term_condition(t: Term, column: Column | None = None) -> Column:
         cond = c.rlike(wildcard_pattern(t.text))
         return c.startswith(prefix) & cond if prefix else cond
     if t.fuzzy is not None:
-        d = F.levenshtein(c, F.lit(t.text), t.fuzzy)
-        return (F.abs(F.length(c) - len(t.text)) <= t.fuzzy) & (d >= 0)
+        return fuzzy_condition(c, t.text, t.fuzzy) if t.fuzzy else c == t.text
     return c == t.text
 
 
-_SPAN = ("doc_id", "start_off", "end_off", "start_box", "end_box", "term")
+#: So many terms of the dictionary become literals, which reach the scan of the postings; more are joined.
+LITERALS = 1000
+
+
+def with_term(p: DataFrame, t: Term, terms: DataFrame | None = None) -> DataFrame:
+    """The postings of the terms that ``t`` stands for; ``terms`` is the dictionary."""
+    cond = term_condition(t)
+    if terms is None or not (t.wildcard or t.fuzzy):
+        return p.filter(cond)
+    found = terms.filter(cond).select("term")
+    few = [r[0] for r in found.limit(LITERALS + 1).collect()]
+    return p.filter(F.col("term").isin(few)) if len(few) <= LITERALS else p.join(found, "term", "left_semi")
+
+
+_SPAN = ("doc_id", "start_off", "end_off", "start_box", "end_box", "start_at", "end_at", "term")
 
 
 def _field(p: DataFrame, field: str | None, default: str | None) -> DataFrame:
@@ -146,62 +200,72 @@ def _field(p: DataFrame, field: str | None, default: str | None) -> DataFrame:
     return p.filter(F.col("field") == name) if name and "field" in p.columns else p
 
 
-def _term_spans(p: DataFrame, t: Term) -> DataFrame:
-    hit = p.filter(term_condition(t))
-    return hit.select("doc_id", "pos", F.col("pos").alias("last"), "start_off", "end_off", F.col("box_seq").alias("start_box"), F.col("box_seq").alias("end_box"), "term")
+def _placed(p: DataFrame) -> DataFrame:
+    return p if "place" in p.columns else p.withColumn("place", place(p.columns))
+
+
+def _term_spans(p: DataFrame, t: Term, terms: DataFrame | None = None) -> DataFrame:
+    hit = with_term(_placed(p), t, terms)
+    return hit.select("doc_id", "pos", F.col("pos").alias("last"), "start_off", "end_off", F.col("box_seq").alias("start_box"), F.col("box_seq").alias("end_box"), F.col("place").alias("start_at"), F.col("place").alias("end_at"), "term")
 
 
-def phrase_spans(p: DataFrame, terms: tuple[str, ...], slop: int = 0) -> DataFrame:
-    """Spans of a phrase: positions less their place in the phrase differ by at most ``slop``."""
-    out = None
-    for i, t in enumerate(terms):
-        one = p.filter(F.col("term") == t).select("doc_id", *(F.col(c).alias(f"{c}_{i}") for c in ("pos", "start_off", "end_off", "box_seq")))
+def phrase_spans(p: DataFrame, terms: tuple[str, ...], slop: int = 0, places: tuple[int, ...] | None = None) -> DataFrame:
+    """Spans of a phrase: positions less their place in the phrase differ by at most ``slop``.
+
+    A word joins the first one on (document, position); with slop the first one's position stands for all positions that
+    the word may have.
+    """
+    p, out, places = _placed(p), None, places or tuple(range(len(terms)))
+    for i, (t, k) in enumerate(zip(terms, places)):
+        one = p.filter(F.col("term") == t).select("doc_id", *(F.col(c).alias(f"{c}_{i}") for c in ("pos", "start_off", "end_off", "place")))
         if out is None:
             out = one
             continue
         if slop == 0:
-            out = out.join(one.withColumn("pos_0", F.col(f"pos_{i}") - i), ["doc_id", "pos_0"])
+            out = out.join(one.withColumn("pos_0", F.col(f"pos_{i}") - (k - places[0])), ["doc_id", "pos_0"])
         else:
-            near = F.col(f"pos_{i}").between(F.col("pos_0") + i - slop, F.col("pos_0") + i + slop)
+            at = F.col("pos_0") + (k - places[0])
             differs = reduce(lambda a, b: a & b, (F.col(f"pos_{i}") != F.col(f"pos_{j}") for j in range(i)))
-            out = out.join(one, "doc_id").filter(near & differs)
+            out = out.withColumn(f"pos_{i}", F.explode(F.sequence(at - slop, at + slop))).join(one, ["doc_id", f"pos_{i}"]).filter(differs)
     n = len(terms)
     cols = lambda c: [F.col(f"{c}_{i}") for i in range(n)]
     if slop:
-        moved = [F.col(f"pos_{i}") - i for i in range(n)]
+        moved = [F.col(f"pos_{i}") - k for i, k in enumerate(places)]
         out = out.filter(F.greatest(*moved) - F.least(*moved) <= slop)
-    return out.select("doc_id", F.least(*cols("pos")).alias("pos"), F.greatest(*cols("pos")).alias("last"), F.least(*cols("start_off")).alias("start_off"), F.greatest(*cols("end_off")).alias("end_off"), F.least(*cols("box_seq")).alias("start_box"), F.greatest(*cols("box_seq")).alias("end_box"), F.lit(" ".join(terms)).alias("term"))
+    first, last = F.least(*cols("place")), F.greatest(*cols("place"))
+    return out.select("doc_id", F.least(*cols("pos")).alias("pos"), F.greatest(*cols("pos")).alias("last"), F.least(*cols("start_off")).alias("start_off"), F.greatest(*cols("end_off")).alias("end_off"), first["box_seq"].alias("start_box"), last["box_seq"].alias("end_box"), first.alias("start_at"), last.alias("end_at"), F.lit(" ".join(terms)).alias("term"))
 
 
-def spans(p: DataFrame, q, default_field: str | None = None) -> DataFrame:
+def spans(p: DataFrame, q, default_field: str | None = None, terms: DataFrame | None = None) -> DataFrame:
     p = _field(p, q.field, default_field)
-    return phrase_spans(p, q.terms, q.slop) if isinstance(q, Phrase) and len(q.terms) > 1 else _term_spans(p, q if isinstance(q, Term) else Term(q.terms[0]))
+    return phrase_spans(p, q.terms, q.slop, q.places) if isinstance(q, Phrase) and len(q.terms) > 1 else _term_spans(p, q if isinstance(q, Term) else Term(q.terms[0]), terms)
 
 
-def documents(p: DataFrame, q, default_field: str | None = None) -> DataFrame:
+def documents(p: DataFrame, q, default_field: str | None = None, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id) of the documents that a query matches."""
     if not isinstance(q, Bool):
-        return spans(p, q, default_field).select("doc_id").distinct()
+        return spans(p, q, default_field, terms).select("doc_id").distinct()
     if q.kind == "not":
-        return p.select("doc_id").distinct().join(documents(p, q.parts[0], default_field), "doc_id", "left_anti")
+        return p.select("doc_id").distinct().join(documents(p, q.parts[0], default_field, terms), "doc_id", "left_anti")
     if not q.parts:
         return p.select("doc_id").filter(F.lit(False))
     if q.kind in ("or", "must"):
-        return reduce(DataFrame.unionByName, (documents(p, x, default_field) for x in q.parts)).distinct()
+        return reduce(DataFrame.unionByName, (documents(p, x, default_field, terms) for x in q.parts)).distinct()
     yes = [x for x in q.parts if not (isinstance(x, Bool) and x.kind == "not")]
-    out = reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), (documents(p, x, default_field) for x in yes)) if yes else p.select("doc_id").distinct()
+    out = reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), (documents(p, x, default_field, terms) for x in yes)) if yes else p.select("doc_id").distinct()
     for x in q.parts:
         if isinstance(x, Bool) and x.kind == "not":
-            out = out.join(documents(p, x.parts[0], default_field), "doc_id", "left_anti")
+            out = out.join(documents(p, x.parts[0], default_field, terms), "doc_id", "left_anti")
     return out
 
 
-def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame | None = None, weight_matches: bool = False, strict_phrases: bool = True, multi_term: bool = True) -> DataFrame:
-    """Spans to highlight: (doc_id, start_off, end_off, start_box, end_box, term).
+def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame | None = None, weight_matches: bool = False, strict_phrases: bool = True, multi_term: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """Spans to highlight: (doc_id, start_off, end_off, start_box, end_box, start_at, end_at, term).
 
     A phrase gives one span per word, or one for the whole phrase with ``weight_matches``; without
     ``strict_phrases`` its words match everywhere. Without ``multi_term`` wildcards and fuzzy terms give none.
     """
+    p = _placed(p)
     if within is not None:
         p = p.join(within.select("doc_id"), "doc_id", "left_semi")
     out = []
@@ -209,7 +273,7 @@ def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame
         if isinstance(leaf, Term):
             if (leaf.wildcard or leaf.fuzzy is not None) and not multi_term:
                 continue
-            out.append(spans(p, leaf, default_field).select(*_SPAN))
+            out.append(spans(p, leaf, default_field, terms).select(*_SPAN))
             continue
         if not strict_phrases:
             out += [spans(p, Term(t, leaf.field), default_field).select(*_SPAN) for t in leaf.terms]
@@ -219,23 +283,61 @@ def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame
             out.append(whole.select(*_SPAN))
         else:
             words = _field(p, leaf.field, default_field).filter(F.col("term").isin(list(leaf.terms)))
-            inside = words.join(whole.select("doc_id", F.col("pos").alias("lo"), F.col("last").alias("hi")).distinct(), "doc_id").filter(F.col("pos").between(F.col("lo"), F.col("hi")))
-            out.append(inside.select("doc_id", "start_off", "end_off", F.col("box_seq").alias("start_box"), F.col("box_seq").alias("end_box"), "term"))
+            # A hit is as many positions as it is long, so the words inside it are an equi-join.
+            covered = whole.select("doc_id", F.explode(F.sequence("pos", "last")).alias("pos")).distinct()
+            inside = words.join(covered, ["doc_id", "pos"])
+            out.append(inside.select("doc_id", "start_off", "end_off", F.col("box_seq").alias("start_box"), F.col("box_seq").alias("end_box"), F.col("place").alias("start_at"), F.col("place").alias("end_at"), "term"))
     if not out:
         return _term_spans(p, Term("")).select(*_SPAN)
-    return reduce(DataFrame.unionByName, out).distinct()
+    return out[0].distinct() if len(out) == 1 else reduce(DataFrame.unionByName, out).distinct()
+
 
+def bm25(p: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score): relevance of each document for the terms; ``lengths`` (doc_id, n_tokens) as the index has them."""
+    counted = p.filter(F.col("term").isin(terms)).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
+    return _bm25(counted.withColumn("boost", F.lit(1.0)), p, k1, b, lengths)
 
-def bm25(p: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score): relevance of each document for the terms."""
-    lengths = p.groupBy("doc_id").agg(F.count("*").alias("len"))
-    total = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    tf = p.filter(F.col("term").isin(terms)).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+
+def _bm25(counted: DataFrame, p: DataFrame, k1: float, b: float, lengths: DataFrame | None) -> DataFrame:
+    """(doc_id, score) from (doc_id, term, f, boost)."""
+    lengths = document_lengths(p) if lengths is None else lengths
+    total = lengths.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"))
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
     # One row of totals, and one row per query term.
-    x = tf.join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(total))
+    x = counted.join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return x.groupBy("doc_id").agg(F.sum(idf * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("score"))
+    return x.groupBy("doc_id").agg(F.sum(F.col("boost") * idf * F.col("f") / (F.col("f") + k1 * (1 - b + b * F.col("n_tokens") / F.col("mean")))).alias("score"))
+
+
+def boosted(q, fields: dict[str, float]):
+    """A query for several fields at once: every leaf without a field stands for all of them, each with its boost."""
+    if isinstance(q, Bool):
+        return Bool(q.kind, tuple(boosted(p, fields) for p in q.parts))
+    if q.field is not None:
+        return q
+    each = tuple(replace(q, field=f, boost=q.boost * b) for f, b in fields.items())
+    return each[0] if len(each) == 1 else Bool("or", each)
+
+
+def scores(p: DataFrame, q, default_field: str | None = None, k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) of the documents that a query matches: BM25 of its leaves, each times its boost.
+
+    A phrase counts as one term, as often as it occurs; a wildcard or fuzzy term counts constantly 1 times its boost.
+    With ``lengths`` by (doc_id, field) each field has its own lengths.
+    """
+    found = documents(p, q, default_field, terms)
+    flat, constant = [], []
+    for i, leaf in enumerate(leaves(q)):
+        hits = spans(p, leaf, default_field, terms).select("doc_id")
+        if isinstance(leaf, Term) and (leaf.wildcard or leaf.fuzzy is not None):
+            constant.append(hits.distinct().withColumn("score", F.lit(float(leaf.boost))))
+        else:
+            flat.append(hits.groupBy("doc_id").agg(F.count("*").alias("f")).select("doc_id", F.lit(f"{i}").alias("term"), "f", F.lit(float(leaf.boost)).alias("boost")))
+    parts = [*constant, *([_bm25(reduce(DataFrame.unionByName, flat), p, k1, b, lengths)] if flat else [])]
+    if not parts:
+        return found.withColumn("score", F.lit(0.0))
+    summed = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sum("score").alias("score"))
+    return found.join(summed, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def fielded(q, field: str):
@@ -243,4 +345,4 @@ def fielded(q, field: str):
     return Bool(q.kind, tuple(fielded(p, field) for p in q.parts)) if isinstance(q, Bool) else replace(q, field=field)
 
 
-__all__ = ["TOKEN", "Bool", "Phrase", "Term", "bm25", "documents", "fielded", "leaves", "matches", "parse", "phrase_spans", "spans", "term_condition"]
+__all__ = ["TOKEN", "Bool", "Phrase", "Term", "analysed", "bm25", "boosted", "documents", "fielded", "leaves", "matches", "parse", "phrase_spans", "scores", "spans", "term_condition"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.options import HighlightOptions
@@ -46,13 +48,41 @@ def merge_fragments(value: Column, fragments: Column, pre: str = "<em>", post: s
 
 
 def annotations(texts: DataFrame, highlights: DataFrame, regions: DataFrame, unit_factor: float | None = None, options: HighlightOptions | None = None) -> DataFrame:
-    """(doc_id, rank, span_id, line, page_id, xywh, before, match, after): one annotation for each absolute highlight."""
+    """(doc_id, rank, span_id, line, page_id, xywh, chars, before, match, after): one annotation for each absolute highlight.
+
+    The n-th span of a snippet is its n-th tagged text; what is before and after it has no tags.
+    """
     o = options or HighlightOptions()
     k = unit_factor or 1.0
-    x = highlights.join(regions.select("doc_id", "rank", "region", "page_id"), ["doc_id", "rank", "region"]).join(texts.select("doc_id", "rank", F.col("text").alias("snippet")), ["doc_id", "rank"])
+    number = highlights.select("doc_id", "rank", "span_id").distinct().withColumn("hit", F.row_number().over(Window.partitionBy("doc_id", "rank").orderBy("span_id")))
+    x = highlights.withColumnRenamed("text", "chars").join(number, ["doc_id", "rank", "span_id"]).join(regions.select("doc_id", "rank", "region", "page_id"), ["doc_id", "rank", "region"]).join(texts.select("doc_id", "rank", F.col("text").alias("snippet")), ["doc_id", "rank"])
     n = lambda c: F.floor(c * k).cast("int")
-    parts = F.split("snippet", f"{o.tag_pre}|{o.tag_post}")
-    return x.select("doc_id", "rank", "span_id", "line", "page_id", F.concat_ws(",", n(F.col("ulx")), n(F.col("uly")), n(F.col("lrx") - F.col("ulx")), n(F.col("lry") - F.col("uly"))).alias("xywh"), F.get(parts, 0).alias("before"), F.get(parts, 1).alias("match"), F.get(parts, 2).alias("after"))
+    # Pieces that end with an opening tag: the first is before all hits, and piece i begins with hit i.
+    pieces = F.split("snippet", re.escape(o.tag_pre))
+    plain = lambda c: F.replace(c, F.lit(o.tag_post), F.lit(""))
+    own = F.get(pieces, F.col("hit"))
+    cut = F.instr(own, o.tag_post)
+    match = F.when(cut > 0, F.substring(own, F.lit(1), cut - 1)).otherwise(own)
+    rest = F.when(cut > 0, F.substring(own, cut + len(o.tag_post), F.length(own))).otherwise(F.lit(""))
+    before = plain(F.array_join(F.slice(pieces, 1, F.col("hit")), ""))
+    after = plain(F.concat(rest, F.array_join(F.slice(pieces, F.col("hit") + 2, F.greatest(F.size(pieces) - F.col("hit") - 1, F.lit(0))), "")))
+    xywh = F.concat_ws(",", n(F.col("ulx")), n(F.col("uly")), n(F.col("lrx") - F.col("ulx")), n(F.col("lry") - F.col("uly")))
+    return x.select("doc_id", "rank", "span_id", "line", "page_id", xywh.alias("xywh"), "chars", before.alias("before"), match.alias("match"), after.alias("after"))
+
+
+def manifests(boxes: DataFrame, base: str = "https://example.org", metadata: DataFrame | None = None) -> DataFrame:
+    """(doc_id, manifest): JSON with the pages of each document in order, and its metadata.
+
+    A page has the size that the markup gives it, or else that of its words. ``metadata`` is (doc_id, metadata: map).
+    """
+    size = lambda c, d: F.coalesce(F.max(c), F.max(d).cast("int")) if c in boxes.columns else F.max(d).cast("int")
+    pages = boxes.groupBy("doc_id", "page_idx").agg(F.first("page_id").alias("page_id"), size("page_width", "lrx").alias("width"), size("page_height", "lry").alias("height"))
+    canvas = F.struct(F.format_string(f"{base}/%s/canvas/%s", F.col("doc_id").cast("string"), F.col("page_id")).alias("id"), F.col("page_id").alias("label"), "width", "height")
+    listed = pages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", canvas.alias("c")))), lambda x: x["c"]).alias("canvases"))
+    more = []
+    if metadata is not None:
+        listed, more = listed.join(metadata.select("doc_id", "metadata"), "doc_id", "left"), ["metadata"]
+    return listed.select("doc_id", F.to_json(F.struct(F.format_string(f"{base}/%s/manifest", F.col("doc_id").cast("string")).alias("id"), *more, "canvases")).alias("manifest"))
 
 
 def manifests(boxes: DataFrame, base: str = "https://example.org") -> DataFrame:
@@ -63,8 +93,15 @@ def manifests(boxes: DataFrame, base: str = "https://example.org") -> DataFrame:
     return listed.select("doc_id", F.to_json(F.struct(F.format_string(f"{base}/%s/manifest", F.col("doc_id").cast("string")).alias("id"), "canvases")).alias("manifest"))
 
 
-def to_miniocr(boxes: DataFrame) -> DataFrame:
-    """(doc_id, markup): boxes of any format written as MiniOCR, in document order."""
+def to_miniocr(boxes: DataFrame, relative: bool = False) -> DataFrame:
+    """(doc_id, markup): boxes of any format written as MiniOCR, in document order.
+
+    ``relative`` writes coordinates as shares of the page's size, for formats whose unit isn't the pixel; pages without
+    a size keep theirs.
+    """
+    if relative:
+        share = lambda c, size: F.coalesce((F.round(F.col(c) / F.col(size), 4)).cast("float"), F.col(c)).alias(c)
+        boxes = boxes.withColumns({c: share(c, "page_width" if c.endswith("x") else "page_height") for c in ("ulx", "uly", "lrx", "lry")})
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     word = F.concat(F.lit('<w x="'), F.concat_ws(" ", coordinate(F.col("ulx")), coordinate(F.col("uly")), coordinate(F.col("lrx") - F.col("ulx")), coordinate(F.col("lry") - F.col("uly"))), F.lit('">'), esc(F.col("text")), F.lit("</w>"), esc(F.coalesce("trailing", F.lit(""))))
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c.alias("s")))), lambda x: x["s"]), "")

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.operators.passages import score
 from pagelens.options import HighlightOptions
 
 
 def spans(matches: DataFrame) -> DataFrame:
-    """(doc_id, span_id, s, e): matches that overlap or touch, put together."""
+    """(doc_id, span_id, s, e, first, last): matches that overlap or touch, put together; first and last are boxes."""
     w = Window.partitionBy("doc_id").orderBy("start_off", "end_off")
     before = F.max("end_off").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("start_off") > before).cast("int"), F.lit(1))
-    x = matches.select("doc_id", "start_off", "end_off").distinct().withColumn("new", new).withColumn("span_id", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return x.groupBy("doc_id", "span_id").agg(F.min("start_off").alias("s"), F.max("end_off").alias("e"))
+    x = matches.select("doc_id", "start_off", "end_off", "start_box", "end_box").withColumn("new", new).withColumn("span_id", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return x.groupBy("doc_id", "span_id").agg(F.min("start_off").alias("s"), F.max("end_off").alias("e"), F.min("start_box").alias("first"), F.max("end_box").alias("last"))
 
 
 def words(passages: DataFrame, boxes: DataFrame, spans: DataFrame, options: HighlightOptions) -> DataFrame:
@@ -22,26 +25,28 @@ def words(passages: DataFrame, boxes: DataFrame, spans: DataFrame, options: High
 
     ``marked`` is the text with tags: a tag opens in the word where a span begins and closes where it ends; with
     ``align_spans`` at the edges of the words. A span that ends in the first part of a hyphenated word goes on to the
-    second part, and a passage that ends there takes the second part in.
+    second part, and a passage that ends there takes the second part in. Spans know their boxes and meet the words of
+    the passages on (document, box).
     """
     cols = boxes.columns
     hyphen = "hyphen_start" in cols
-    b = boxes
+    bounds = passages.select("doc_id", "rank", "score", "p_start", "p_end", "p_first", "p_last")
+    inside = bounds.join(boxes, "doc_id").filter(F.col("box_seq").between(F.col("p_first"), F.col("p_last") + (1 if hyphen else 0)))
+    order = Window.partitionBy("doc_id", "rank").orderBy("box_seq")
     if hyphen:
-        w = Window.partitionBy("doc_id").orderBy("box_seq")
-        b = b.withColumn("prev_start", F.lag("hyphen_start").over(w) & (F.col("hyphen_start") == F.lit(False)))
+        inside = inside.withColumn("prev_start", F.coalesce(F.lag("hyphen_start").over(order) & (F.col("hyphen_start") == F.lit(False)), F.lit(False)))
+        inside = inside.filter((F.col("box_seq") <= F.col("p_last")) | F.col("prev_start"))
     else:
-        b = b.withColumn("hyphen_start", F.lit(None).cast("boolean")).withColumn("dehyphenated", F.lit(None).cast("string")).withColumn("prev_start", F.lit(False))
+        inside = inside.withColumn("hyphen_start", F.lit(None).cast("boolean")).withColumn("dehyphenated", F.lit(None).cast("string")).withColumn("prev_start", F.lit(False))
     end = F.col("text_off") + F.col("src_len")
     # The offsets of a hyphenated word count its joined form from the first part on.
     joined = F.coalesce(F.col("hyphen_start"), F.lit(False)) & (F.col("e") <= F.col("text_off") + F.octet_length("dehyphenated"))
-    hits = b.select("doc_id", "box_seq", "text_off", "hyphen_start", "dehyphenated", end.alias("end")).join(spans, "doc_id").filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("text_off")))
+    each = spans.select("doc_id", "span_id", "s", "e", F.explode(F.sequence("first", "last")).alias("box_seq"))
+    hits = inside.select("doc_id", "rank", "box_seq", "text_off", "hyphen_start", "dehyphenated", end.alias("end")).join(each, ["doc_id", "box_seq"]).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("text_off")))
     # Tags go in from the right, so earlier places stay valid.
     lo, hi = F.greatest(F.col("s"), F.col("text_off")) - F.col("text_off"), F.least(F.col("e"), F.col("end")) - F.col("text_off")
-    tags = hits.groupBy("doc_id", "box_seq").agg(F.array_sort(F.collect_list(F.struct((-lo).alias("k"), lo.alias("lo"), hi.alias("hi"), (F.col("s") >= F.col("text_off")).alias("opens"), ((F.col("e") <= F.col("end")) | F.coalesce(joined, F.lit(False))).alias("closes"), "span_id"))).alias("tags"))
-    bounds = passages.select("doc_id", "rank", "score", "p_start", "p_end", "p_first", "p_last")
-    inside = bounds.join(b, "doc_id").filter(F.col("box_seq").between(F.col("p_first"), F.col("p_last")) | (F.col("prev_start") & (F.col("box_seq") == F.col("p_last") + 1)))
-    x = inside.join(tags, ["doc_id", "box_seq"], "left")
+    tags = hits.groupBy("doc_id", "rank", "box_seq").agg(F.array_sort(F.collect_list(F.struct((-lo).alias("k"), lo.alias("lo"), hi.alias("hi"), (F.col("s") >= F.col("text_off")).alias("opens"), ((F.col("e") <= F.col("end")) | F.coalesce(joined, F.lit(False))).alias("closes"), "span_id"))).alias("tags"))
+    x = inside.join(tags, ["doc_id", "rank", "box_seq"], "left")
     pre, post = F.lit(options.tag_pre), F.lit(options.tag_post)
     if options.align_spans:
         first, last = F.element_at("tags", -1), F.element_at("tags", 1)
@@ -57,7 +62,6 @@ def words(passages: DataFrame, boxes: DataFrame, spans: DataFrame, options: High
         x = x.withColumn("marked", marked).drop("_raw")
     if options.align_spans:
         x = x.withColumn("marked", marked)
-    order = Window.partitionBy("doc_id", "rank").orderBy("box_seq")
     x = x.withColumn("span_id", F.element_at("tags", 1)["span_id"])
     return x.withColumn("span_id", F.coalesce("span_id", F.when(F.col("prev_start"), F.lag("span_id").over(order)))).drop("tags")
 
@@ -153,10 +157,24 @@ def merged_lines(highlights: DataFrame, regions: DataFrame) -> DataFrame:
     return folded.select("doc_id", "rank", "span_id", F.posexplode("ls").alias("line", "l")).select("doc_id", "rank", "span_id", "line", "l.region", "l.ulx", "l.uly", "l.lrx", "l.lry", "l.text")
 
 
-def sentences(docs: DataFrame, terms: list[str], text_col: str = "text", id_col: str = "doc_id", options: HighlightOptions | None = None) -> DataFrame:
-    """Plain text: (doc_id, sentence_no, text) of the sentences with a term, its occurrences tagged."""
+def sentences(docs: DataFrame, terms: list[str], text_col: str = "text", id_col: str = "doc_id", options: HighlightOptions | None = None, scored: bool = False) -> DataFrame:
+    """Plain text: (doc_id, sentence_no, text) of the sentences with a term, its occurrences tagged.
+
+    With ``scored`` they go through the same scores as passages of a layout, and (doc_id, rank, score, text) are the
+    best of each document, every sentence a passage. No terms: no sentences.
+    """
     o = options or HighlightOptions()
     parts = F.filter(F.split(F.col(text_col), r"[.!?]+"), lambda s: F.trim(s) != "")
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("sentence_no", "s"))
-    word = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
-    return each.filter(F.lower("s").rlike(word)).select("doc_id", "sentence_no", F.trim(F.regexp_replace("s", f"(?iu){word}", f"{o.tag_pre}$1{o.tag_post}")).alias("text"))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_col).alias("content"), F.posexplode(parts).alias("sentence_no", "s"))
+    word = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, sorted(terms, key=len, reverse=True))) or '(?!)'})(?![\p{{L}}\p{{N}}])"
+    pre, post = (t.replace("\\", "\\\\").replace("$", "\\$") for t in (o.tag_pre, o.tag_post))
+    hit = each.filter(F.lower("s").rlike(word)).withColumn("text", F.trim(F.regexp_replace("s", f"(?iu){word}", f"{pre}$1{post}")))
+    if not scored:
+        return hit.select("doc_id", "sentence_no", "text")
+    one = hit.select("doc_id", "sentence_no", "content", F.octet_length("s").alias("size"), F.explode(F.regexp_extract_all(F.lower("s"), F.lit(word), 1)).alias("term"))
+    f = one.groupBy("doc_id", "sentence_no", "term").agg(F.count("*").alias("f"), F.first("size").alias("size"), F.first("content").alias("content"))
+    f = f.withColumn("tf", F.sum("f").over(Window.partitionBy("doc_id", "term")))
+    s = f.groupBy("doc_id", "sentence_no").agg(F.sum(score(F.col("f"), F.col("tf"), F.col("content"), F.col("size"), o)).alias("score"))
+    w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "sentence_no")
+    best = s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= o.snippets)
+    return best.join(hit, ["doc_id", "sentence_no"]).select("doc_id", "rank", "score", "text")

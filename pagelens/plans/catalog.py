@@ -54,15 +54,17 @@ def passage_sql(unit: int = 8, limit: int | None = 40, n: int = 2, cap: int = 10
 b AS (SELECT m.*, ws.off AS p_start, coalesce(we.off, c.content) AS p_end
       FROM (SELECT *, greatest(sb // {unit} - {n}, {lo}) AS a, least(eb // {unit} + {n}, {hi}) AS z FROM m) m
       JOIN w ws ON ws.doc_id = m.doc_id AND ws.i = a * {unit} LEFT JOIN w we ON we.doc_id = m.doc_id AND we.i = (z + 1) * {unit} JOIN c ON c.doc_id = m.doc_id),
-b2 AS (SELECT *, max(p_end) OVER (PARTITION BY doc_id ORDER BY s, e, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b),
-n AS (SELECT *, CAST(sum(CASE WHEN prev IS NULL OR p_start >= prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e, term) AS INTEGER) AS passage_no FROM b2),
-pa AS (SELECT doc_id, passage_no, min(p_start) AS p_start, max(p_end) AS p_end, count(*) AS n_matches FROM n WHERE passage_no <= {cap} GROUP BY 1, 2),
+b2 AS (SELECT *, lag(p_end) OVER (PARTITION BY doc_id ORDER BY s, e, term) AS prev FROM b),
+n0 AS (SELECT *, CASE WHEN prev IS NULL OR p_start >= prev THEN 1 ELSE 0 END AS new FROM b2),
+n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY s, e, term) AS INTEGER) AS passage_no FROM n0),
+nb AS (SELECT * FROM n WHERE passage_no <= {cap} OR (passage_no = {cap} + 1 AND new = 1)),
+pa AS (SELECT doc_id, passage_no, min(p_start) AS p_start, max_by(p_end, s) AS p_end, count(*) AS n_matches FROM nb GROUP BY 1, 2),
 """
 
 
 SCORE = """
 tf AS (SELECT doc_id, term, count(*) AS tf FROM n GROUP BY 1, 2),
-f AS (SELECT doc_id, passage_no, term, count(*) AS f FROM n GROUP BY 1, 2, 3),
+f AS (SELECT doc_id, passage_no, term, count(*) AS f FROM nb GROUP BY 1, 2, 3),
 sc AS (SELECT pa.doc_id, passage_no, p_start, p_end, n_matches, sum(2.2 * ln(1 + (1 + content / 87.0 + 0.5) / (tf + 0.5)) * f / (f + 1.2 * (0.25 + 0.75 * (p_end - p_start) / 87.0))) AS score
        FROM f JOIN tf USING (doc_id, term) JOIN pa USING (doc_id, passage_no) JOIN c USING (doc_id) GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p_start DESC) AS rank FROM sc),
@@ -254,7 +256,7 @@ def term_postings(spark, d):
 
 @query("postings_full", f"WITH {T} z AS (SELECT 1) SELECT doc_id, term, pos, s AS start_off, e AS end_off, CAST(i AS INTEGER) AS box_seq FROM p")
 def postings_full(spark, d):
-    return postings(spark, d).drop("is_alt")
+    return postings(spark, d).drop("is_alt", "place")
 
 
 @query("document_lengths", f"WITH {T} z AS (SELECT 1) SELECT doc_id, count(*) AS n_tokens FROM p GROUP BY doc_id")
@@ -421,10 +423,14 @@ def doc_bm25_topk(spark, d):
 
 # Passages
 
+def _units(b, options):
+    return I.units(b, *dict.fromkeys((options.context_block, *(["page"] if options.page_id else []))))
+
+
 def _numbered(spark, d, options: HighlightOptions, text: str = "on"):
     b = boxes(spark, d)
     m = Q.matches(I.postings(b), Q.parse(text), weight_matches=options.weight_matches)
-    return b, P.numbered(P.bounded(m, b, options))
+    return b, P.numbered(P.bounded(m, _units(b, options), options))
 
 
 def _passages(spark, d, options: HighlightOptions, text: str = "on"):
@@ -456,28 +462,28 @@ def passages_numtotal(spark, d):
 @query("passages_scored_topk", f"WITH {T} {M1} {passage_sql()} {SCORE} z AS (SELECT 1) SELECT doc_id, CAST(rank AS INTEGER) AS rank, p_start, p_end, round(score, 6) AS score FROM rk WHERE rank <= 2")
 def passages_scored_topk(spark, d):
     b, n = _numbered(spark, d, NONE)
-    return P.best(P.scored(n, b, NONE), NONE).select("doc_id", "rank", "p_start", "p_end", F.round("score", 6).alias("score"))
+    return P.best(P.scored(n, NONE), NONE).select("doc_id", "rank", "p_start", "p_end", F.round("score", 6).alias("score"))
 
 
 @query("passages_start_norm", f"WITH {T} {M1} {passage_sql()} {SCORE} y AS (SELECT *, score * p_start AS ns FROM sc), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ns DESC, p_start DESC) AS r FROM y) SELECT doc_id, p_start, round(ns, 3) AS score FROM k WHERE r = 1")
 def passages_start_norm(spark, d):
     o = HighlightOptions()
     b, n = _numbered(spark, d, o)
-    return P.best(P.scored(n, b, o), o).select("doc_id", "p_start", F.round("score", 3).alias("score"))
+    return P.best(P.scored(n, o), o).select("doc_id", "p_start", F.round("score", 3).alias("score"))
 
 
 @query("passages_unscored", f"WITH {T} {M1} {passage_sql()} z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p_start) AS k FROM pa) SELECT doc_id, p_start, p_end FROM z WHERE k <= 2")
 def passages_unscored(spark, d):
     o = HighlightOptions(score_passages=False, snippets=2, norm="none")
     b, n = _numbered(spark, d, o)
-    return P.best(P.scored(n, b, o), o).select("doc_id", "p_start", "p_end")
+    return P.best(P.scored(n, o), o).select("doc_id", "p_start", "p_end")
 
 
 @query("break_lookup", f"WITH {W} z AS (SELECT 1), q AS (SELECT doc_id, content // 2 AS off FROM c), l AS (SELECT doc_id, line, min(off) AS s FROM w GROUP BY 1, 2), k AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY line) AS nx FROM l) SELECT q.doc_id, q.off, s AS u_start, coalesce(nx, content) AS u_end FROM q JOIN c USING (doc_id) JOIN k ON k.doc_id = q.doc_id AND s <= q.off AND (nx IS NULL OR q.off < nx)")
 def break_lookup(spark, d):
     b = boxes(spark, d)
     half = b.groupBy("doc_id").agg(F.floor(F.max(F.col("text_off") + F.col("src_len") + 1) / 2).cast("long").alias("off"))
-    return P.preceding(b, "line", half)
+    return P.preceding(I.units(b, "line"), "line", half)
 
 
 # Snippets
@@ -494,7 +500,7 @@ _OPT = HighlightOptions(snippets=2, norm="none")
 def _snippet_words(spark, d, options: HighlightOptions = _OPT, text: str = "on"):
     b = boxes(spark, d)
     m = Q.matches(I.postings(b), Q.parse(text), weight_matches=options.weight_matches)
-    best = P.best(P.scored(P.numbered(P.bounded(m, b, options)), b, options), options)
+    best = P.best(P.scored(P.numbered(P.bounded(m, _units(b, options), options)), options), options)
     return S.words(best, b, S.spans(m), options)
 
 
@@ -578,8 +584,8 @@ def responses(spark, d):
     o = HighlightOptions(snippets=2, norm="none")
     b = boxes(spark, d)
     m = Q.matches(I.postings(b), Q.parse("with"))
-    n = P.numbered(P.bounded(m, b, o))
-    w = S.words(P.best(P.scored(n, b, o), o), b, S.spans(m), o)
+    n = P.numbered(P.bounded(m, _units(b, o), o))
+    w = S.words(P.best(P.scored(n, o), o), b, S.spans(m), o)
     r = S.regions(w, o)
     return K.responses(S.texts(w), r, S.merged_lines(S.highlights(w, r, o), r), P.totals(n, o), options=o)
 
@@ -694,7 +700,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     top = Q.bm25(p, ["the"]).orderBy(F.col("score").desc(), "doc_id").limit(3).select("doc_id")
     few = b.join(top, "doc_id", "left_semi")
     m = Q.matches(I.postings(few), Q.parse("the"))
-    w = S.words(P.best(P.scored(P.numbered(P.bounded(m, few, o)), few, o), o), few, S.spans(m), o)
+    w = S.words(P.best(P.scored(P.numbered(P.bounded(m, _units(few, o), o)), o), o), few, S.spans(m), o)
     r = S.regions(w, o)
     h = S.highlights(w, r, o).groupBy("doc_id", "rank").agg(F.array_sort(F.collect_list(F.struct("box_seq", "region", "ulx", "uly", "lrx", "lry", "text"))).alias("highlights"))
     rs = r.groupBy("doc_id", "rank").agg(F.array_sort(F.collect_list(F.struct("region", "page_id", "ulx", "uly", "lrx", "lry", "text"))).alias("regions"))

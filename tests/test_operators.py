@@ -30,7 +30,7 @@ def search(spark, markup, text, options=None, **kw):
     o = options or HighlightOptions(snippets=5, norm="none")
     b = B.boxes(spark.createDataFrame([(1, markup)], "doc_id LONG, markup STRING"))
     m = Q.matches(I.postings(b), Q.parse(text), weight_matches=o.weight_matches, **kw)
-    w = S.words(P.best(P.scored(P.numbered(P.bounded(m, b, o)), b, o), o), b, S.spans(m), o).cache()
+    w = S.words(P.best(P.scored(P.numbered(P.bounded(m, I.units(b), o)), o), o), b, S.spans(m), o).cache()
     r = S.regions(w, o)
     return [x.text for x in S.texts(w).orderBy("rank").collect()], r.orderBy("rank", "region").collect(), S.merged_lines(S.highlights(w, r, o), r).orderBy("rank", "span_id", "line").collect()
 
