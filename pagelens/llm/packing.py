@@ -203,7 +203,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, truncation: float = 1.0,
 
     # Only numbers go to Python here, and only if there is more than one shard.
     ordered = src.withColumn("shard", shard_of(*key) if len(sent.value) else F.lit(0).cast("long"))
-    ordered = ordered.repartition("shard").sortWithinPartitions("shard", F.col("id").isNull(), "id", "h", "row").select("shard", "id", "text")
+    ordered = ordered.repartitionById(len(sent.value) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("id").isNull(), "id", "h", "row").select("shard", "id", "text")
 
     def run(batches):
         now, no, ids, texts, size = None, 0, [], [], 0
