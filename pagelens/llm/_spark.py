@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +60,35 @@ def segments_for(src: DataFrame, text: str, each: int, most: int) -> int:
     return min(most, 1 << max(4, (-(-int(size) // each) - 1).bit_length()))
 
 
+def each_segment(df: DataFrame, segments: int, run: Callable[[int, pa.Table], pa.Table], schema: str, most: int = 20_000) -> DataFrame:
+    """``run`` for all rows of each segment (a column of ``df``), in partitions of one segment each up to ``most`` of them.
+
+    Beyond that a partition reads several, one after the other. Numbers below 0 are segments of their own.
+    """
+    n = min(segments, most)
+    df = df.repartitionById(n, F.pmod(F.col("segment"), F.lit(n)).cast("int"))
+    if segments > n:
+        df = df.sortWithinPartitions("segment")
+    at = df.columns.index("segment")
+
+    def parts(batches):
+        waiting: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            seg = b.column(at).to_numpy()
+            for k in dict.fromkeys(seg.tolist()):
+                if segments > n and k not in waiting and waiting:
+                    yield from flush(waiting)
+                waiting.setdefault(k, []).append(b if (seg == k).all() else b.filter(pa.array(seg == k)))
+        yield from flush(waiting)
+
+    def flush(waiting):
+        while waiting:
+            k, own = waiting.popitem()
+            yield from run(k, pa.Table.from_batches(own)).to_batches()
+
+    return df.mapInArrow(parts, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores in front until no column of ``df`` has that name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, segments_for, slices, with_row_id
+from pagelens.llm._spark import BROADCAST_BYTES, each_segment, fresh, keep, segments_for, slices, with_row_id
 from pagelens.llm._text import mix, ngrams, points, words
 
 _NULL = np.iinfo(np.int64).max
@@ -104,13 +104,13 @@ def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
                 out["h"].append(h[x:y].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict(out)
 
-    def frequency(key, table):
-        if key[0].as_py() < 0:
+    def frequency(segment, table):
+        if segment < 0:
             return table.select(["batch", "segment", "docs", "h"]).append_column("df", pa.array([b""] * table.num_rows, pa.binary()))
         parts = [np.frombuffer(x, np.uint32) for x in table["h"].to_pylist()]
         _, inverse, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         df = np.minimum(many, 65535).astype(np.uint16)[inverse]
-        out = {"batch": table["batch"].to_pylist(), "segment": [key[0].as_py()] * table.num_rows, "docs": [], "h": [], "df": []}
+        out = {"batch": table["batch"].to_pylist(), "segment": [segment] * table.num_rows, "docs": [], "h": [], "df": []}
         at = 0
         for docs, p in zip(table["docs"].to_pylist(), parts):
             d = df[at : at + len(p)]
@@ -143,7 +143,7 @@ def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
         at, to = bounds(k >> 32)
         return pa.table({"segment": pa.array([int(k[a] >> 32) for a in at], pa.int64()), "h": pa.array([(k[a:z] & 0xFFFFFFFF).astype(np.uint32).tobytes() for a, z in zip(at, to)], pa.binary()), "rows": pa.array([row[a:z].tobytes() for a, z in zip(at, to)], pa.binary())})
 
-    def stars(key, table):
+    def stars(segment, table):
         h = np.concatenate([np.frombuffer(x, np.uint32) for x in table["h"].to_pylist()])
         row = np.concatenate([np.frombuffer(x, np.int64) for x in table["rows"].to_pylist()])
         order = np.lexsort((row, h))
@@ -152,13 +152,13 @@ def edges(src: DataFrame, n: int, least: float, segments: int) -> DataFrame:
         pair = np.stack([np.repeat(row[at], to - at), row], 1)
         pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
         table = forest(pair[:, 0], pair[:, 1])
-        return table.append_column("part", pa.array(np.full(table.num_rows, key[0].as_py() // 8, np.int64)))
+        return table.append_column("part", pa.array(np.full(table.num_rows, segment // 8, np.int64)))
 
     packed = src.select("row", "t").mapInArrow(grams, "segment LONG, batch LONG, docs BINARY, h BINARY")
-    counted = packed.groupBy("segment").applyInArrow(frequency, "batch LONG, segment LONG, docs BINARY, h BINARY, df BINARY")
+    counted = each_segment(packed, segments, frequency, "batch LONG, segment LONG, docs BINARY, h BINARY, df BINARY")
     chosen = counted.groupBy("batch").applyInArrow(prefixes, "segment LONG, h BINARY, rows BINARY")
     # Forests of eight segments are put together before the components are sought among all.
-    one = chosen.groupBy("segment").applyInArrow(stars, "a LONG, b LONG, part LONG")
+    one = each_segment(chosen, segments, stars, "a LONG, b LONG, part LONG")
     return one.groupBy("part").applyInArrow(lambda key, table: forest(table["a"].to_numpy(), table["b"].to_numpy()), "a LONG, b LONG")
 
 

@@ -23,15 +23,13 @@ Lines are what line feeds separate; they are equal if all their characters are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, segments_for, slices, with_row_id
+from pagelens.llm._spark import BROADCAST_BYTES, each_segment, fresh, keep, segments_for, slices, with_row_id
 from pagelens.llm._text import mix
 
 _BITS, _HASHES = 16, 4
@@ -105,20 +103,20 @@ def _filters(src: DataFrame, text: str, shift: int, min_chars: int) -> DataFrame
         if size:
             yield flush()
 
-    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(h, np.uint64), np.frombuffer(a, np.uint64)) for b in batches for h, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    def build(segment, table):
+        rows = [(np.frombuffer(h, np.uint64), np.frombuffer(a, np.uint64)) for h, a in zip(table["h"].to_pylist(), table["again"].to_pylist())]
         once, twice = Bloom(sum(len(h) for h, _ in rows)), []
         for h, again in rows:
             twice += [h[once.has(h)], again]
             once.add(h)
         found = np.unique(np.concatenate(twice))
-        if len(found):
-            second = Bloom(len(found))
-            second.add(found)
-            yield pa.RecordBatch.from_pydict({"segment": [key[0].as_py()], "m": [second.m], "bits": [second.packed()]})
+        second = Bloom(len(found))
+        second.add(found)
+        keep = slice(0, int(len(found) > 0))
+        return pa.table({"segment": pa.array([segment][keep], pa.int64()), "m": pa.array([second.m][keep], pa.int64()), "bits": pa.array([second.packed()][keep], pa.binary())})
 
     packed = src.select(text).mapInArrow(collect, "segment LONG, h BINARY, again BINARY")
-    return packed.groupBy("segment").applyInArrow(build, "segment LONG, m LONG, bits BINARY")
+    return each_segment(packed, 1 << (64 - shift), build, "segment LONG, m LONG, bits BINARY")
 
 
 def _tester(rows: list[tuple[int, int, bytes]], segments: int, shift: int):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm._spark import BROADCAST_BYTES, fresh, keep, segments_for, slices, store, with_row_id
+from pagelens.llm._spark import BROADCAST_BYTES, each_segment, fresh, keep, segments_for, slices, store, with_row_id
 from pagelens.llm._text import _WORD_BASE, mix, points, spans_hash, words
 from pagelens.llm.lines import Bloom, _tester
 
@@ -191,14 +191,14 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in table["h"].to_pylist()])
         return h, *np.unique(h, return_inverse=True, return_counts=True)
 
-    def filters(key, table):
+    def filters(segment, table):
         _, u, _, n = counted(table)
         twice = u[n > 1]
         f = Bloom(len(twice))
         f.add(twice)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "m": pa.array([f.m], pa.int64()), "bits": pa.array([f.packed()], pa.binary()), "hot": pa.array([u[n > cap].tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([segment], pa.int64()), "m": pa.array([f.m], pa.int64()), "bits": pa.array([f.packed()], pa.binary()), "hot": pa.array([u[n > cap].tobytes()], pa.binary())})
 
-    def addresses(key, table):
+    def addresses(segment, table):
         _, _, i, n = counted(table)
         n = n[i]
         rows = np.concatenate([np.frombuffer(x, np.int64) for x in table["rows"].to_pylist()])
@@ -206,14 +206,14 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
         return pa.table({"r": rows[n > 1], "place": at[n > 1], "hot": n[n > 1] > cap})
 
     packed = src.mapInArrow(places, "segment LONG, h BINARY, rows BINARY, places BINARY")
-    known = keep(packed.select("segment", "h").groupBy("segment").applyInArrow(filters, "segment LONG, m LONG, bits BINARY, hot BINARY"))
+    known = keep(each_segment(packed.select("segment", "h"), segments, filters, "segment LONG, m LONG, bits BINARY, hot BINARY"))
     size = known.agg(F.sum(F.length("bits") + F.length("hot"))).first()[0] or 0
     if size <= broadcast_bytes:
         sent = spark.sparkContext.broadcast([tuple(r) for r in known.collect()])
         joined = src
     else:
         sent = None
-        found = packed.groupBy("segment").applyInArrow(addresses, "r LONG, place INT, hot BOOLEAN").groupBy("r").agg(F.collect_list(F.struct("place", "hot")).alias("found"))
+        found = each_segment(packed, segments, addresses, "r LONG, place INT, hot BOOLEAN").groupBy("r").agg(F.collect_list(F.struct("place", "hot")).alias("found"))
         joined = src.join(found, F.col("row") == F.col("r")).select("doc", "row", "t", "found")
 
     def chosen(batches):
@@ -261,12 +261,12 @@ def _intervals(src: DataFrame, length: int, prefix: int, segments: int, cap: int
 
     shipped = joined.mapInArrow(suffixes, "segment LONG, " + ", ".join(f"{k} BINARY" for k in columns))
 
-    def subtree(key, table):
+    def subtree(segment, table):
         get = lambda k, t: np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()])
         found = leaves(get("anchor", np.uint64), get("docs", np.int64), get("rows", np.int64), get("lo", np.int32).astype(np.int64), get("count", np.int32).astype(np.int64), get("words", np.uint32), length)
         return intervals(*(found or (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)), length)
 
-    trees = shipped.groupBy("segment").applyInArrow(subtree, _INTERVAL)
+    trees = each_segment(shipped, segments, subtree, _INTERVAL)
     if not any(r[0] for r in known.select(F.length("hot") > 0).distinct().collect()):
         return trees
     # The keys of hot groups are rows of five numbers, written once for the two uses below.

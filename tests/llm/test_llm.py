@@ -119,6 +119,15 @@ def test_line_dedup(spark, awkward, limit):
     assert {r.t for r in kept.collect()} == {i for i, (r, (_, t)) in enumerate(zip(rows, brute_lines(rows))) if t == r[1] or t.strip()}
 
 
+@pytest.mark.parametrize("most", [3, 100])
+def test_each_segment_gets_all_its_rows_at_once(spark, most):
+    from pagelens.llm._spark import each_segment
+
+    df = spark.range(500, numPartitions=7).select((F.col("id") % 10 - 2).alias("segment"), "id")
+    got = each_segment(df, 8, lambda k, t: pa.table({"k": [k], "n": [t.num_rows], "s": [sum(t["id"].to_pylist())]}), "k LONG, n LONG, s LONG", most).collect()
+    assert sorted(map(tuple, got)) == [(k, 50, sum(i for i in range(500) if i % 10 - 2 == k)) for k in range(-2, 8)]
+
+
 # 3 n-gram Jaccard join
 
 
@@ -174,7 +183,7 @@ def near_copies():
     return rows + [(None, rows[5][1]), (None, prose(90, 30)), (None, prose(90, 30))]
 
 
-@pytest.mark.parametrize(("region", "limit", "segments"), [(4000, 1 << 26, None), (5, 1 << 26, 1 << 12), (5, 0, None), (2, 0, 32)])
+@pytest.mark.parametrize(("region", "limit", "segments"), [(4000, 1 << 26, None), (5, 1 << 26, 64), (5, 0, None), (2, 0, 32)])
 def test_jaccard_classes(spark, awkward, region, limit, segments):
     rows = [*awkward, *near_copies()]
     got = jaccard.classes(frame(spark, rows).coalesce(1), region=region, broadcast_bytes=limit, segments=segments).collect()
