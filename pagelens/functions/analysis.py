@@ -18,6 +18,22 @@ class Analysis:
     stop_words: tuple[str, ...] = ()
     stemmed: bool = False
 
+    @classmethod
+    def chain(cls, *steps: str) -> Analysis:
+        """The analysis that a chain of named steps describes.
+
+        Steps: ``ocr`` (the markup of the field), ``standard`` or ``whitespace`` (a tokenizer), ``alternatives``,
+        ``lowercase``, ``stop`` and ``porter``. Alternatives must follow a tokenizer that follows the markup.
+        """
+        known = {"ocr", "standard", "whitespace", "alternatives", "lowercase", "stop", "porter"}
+        bad = [x for x in steps if x not in known]
+        tokenizers = [i for i, x in enumerate(steps) if x in ("standard", "whitespace")]
+        if bad or len(tokenizers) != 1:
+            raise ValueError(f"unknown steps: {bad}" if bad else "a chain has one tokenizer")
+        if "alternatives" in steps and (steps.index("alternatives") != tokenizers[0] + 1 or steps[: tokenizers[0]] != ("ocr",)):
+            raise ValueError("alternatives must directly follow a tokenizer that reads the markup")
+        return cls(tuple(STOP_WORDS) if "stop" in steps else (), "porter" in steps)
+
     def terms(self, tokens: Iterable[str]) -> list[str | None]:
         """Tokens of a query as the index has them; None where a stop word leaves a gap."""
         return [None if t in self.stop_words else porter(t) if self.stemmed else t for t in tokens]

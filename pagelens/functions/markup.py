@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 SHY = "­"
@@ -359,7 +359,7 @@ class MiniOcr(_Handler):
 
 @dataclass(frozen=True)
 class Format:
-    """A markup format: a new one is added to FORMATS, before or after the others in the order of detection."""
+    """A markup format; ``register`` adds one. Its handler turns events into boxes."""
 
     name: str
     test: re.Pattern
@@ -374,15 +374,22 @@ FORMATS = [
 ]
 
 
-def detect(sample: str) -> str | None:
+def register(new: Format, before: str | None = None) -> None:
+    """Add a format, in place of one of the same name; it is tried before the format ``before``, or last."""
+    rest = [f for f in FORMATS if f.name != new.name]
+    at = next((i for i, f in enumerate(rest) if f.name == before), len(rest))
+    FORMATS[:] = [*rest[:at], new, *rest[at:]]
+
+
+def detect(sample: str, formats: Sequence[Format] | None = None) -> str | None:
     """The first format whose test finds something in the first 2,048 characters."""
-    return next((f.name for f in FORMATS if f.test.search(sample[:2048])), None)
+    return next((f.name for f in formats or FORMATS if f.test.search(sample[:2048])), None)
 
 
-def parse(markup: str, format_name: str | None = None) -> tuple[list[Box], list[Page]]:
+def parse(markup: str, format_name: str | None = None, formats: Sequence[Format] | None = None) -> tuple[list[Box], list[Page]]:
     """Boxes and pages; boxes without text or without any coordinate are left out. Unknown formats have none."""
-    name = format_name or detect(markup)
-    spec = next((f for f in FORMATS if f.name == name), None)
+    name = format_name or detect(markup, formats)
+    spec = next((f for f in formats or FORMATS if f.name == name), None)
     if spec is None:
         return [], []
     h = spec.handler(markup)

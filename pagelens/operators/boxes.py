@@ -35,9 +35,9 @@ _BOX = (
 )
 
 
-def _rows(text: str, fix: bool) -> tuple[str | None, list[dict]]:
-    name = M.detect(text)
-    boxes, pages = M.parse(sanitize(text, fix), name)
+def _rows(text: str, fix: bool, formats: tuple[M.Format, ...]) -> tuple[str | None, list[dict]]:
+    name = M.detect(text, formats)
+    boxes, pages = M.parse(sanitize(text, fix), name, formats)
     out = []
     for i, b in enumerate(boxes):
         p = pages[b.page_idx] if 0 <= b.page_idx < len(pages) else M.Page(None)
@@ -56,7 +56,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup",
 
     ``time_allowed_ms`` bounds the work of a task: documents it doesn't get to have the error ``time``.
     """
-    kind = docs.schema[id_col].dataType
+    kind, formats = docs.schema[id_col].dataType, tuple(M.FORMATS)  # tasks know formats that were registered
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("format", T.StringType()), T.StructField("boxes", T._parse_datatype_string(f"ARRAY<{_BOX}>")), T.StructField("error", T.StringType())])
 
     def run(batches):
@@ -72,7 +72,7 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup",
                     elif text is not None:
                         try:
                             text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
-                            name, rows = _rows(text, fix)
+                            name, rows = _rows(text, fix, formats)
                             error = "unknown format" if name is None and text.strip() else None
                         except Exception as e:  # noqa: BLE001  (one bad document must not fail the others)
                             error = f"{type(e).__name__}: {e}"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions import analysis as A
+from pagelens.functions import markup as M
 
 #: Column of the ordinal of each level, from the finest to the coarsest.
 SEQ = {"word": "box_seq", "line": "line_seq", "paragraph": "par_seq", "block": "block_seq", "section": "section_seq", "page": "page_idx"}
@@ -75,7 +76,7 @@ def units(boxes: DataFrame, *levels: str) -> DataFrame:
     out = None
     end = F.col("text_off") + F.col("src_len") + 1
     page = F.col("page_id") if "page_id" in cols else F.lit(None).cast("string")
-    only = F.col("format").isin(*_FIRST_ONLY) if "format" in cols else F.lit(False)
+    only = F.col("format").isin([f.name for f in M.FORMATS if f.first_limit_only]) if "format" in cols else F.lit(False)
     for level in levels or [k for k, c in SEQ.items() if k != "word" and c in cols]:
         name = SEQ[level]
         src = boxes.select("doc_id", place(cols).alias("p"), F.col("text_off").alias("s"), end.alias("e"), F.coalesce(only, F.lit(False)).alias("o"), page.alias("g"))
@@ -92,10 +93,6 @@ def units(boxes: DataFrame, *levels: str) -> DataFrame:
     return out
 
 
-#: Formats of which only the chosen limit counts, not the levels above it.
-_FIRST_ONLY = ("alto", "miniocr")
-
-
 @dataclass(frozen=True)
 class Index:
     """What ``build`` wrote."""

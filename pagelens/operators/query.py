@@ -121,6 +121,10 @@ def parse(text: str, default: str = "or"):
     return any_of()
 
 
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
 def leaves(q) -> list:
     if isinstance(q, Bool):
         return [] if q.kind == "not" else [x for p in q.parts for x in leaves(p)]
@@ -345,4 +349,4 @@ def fielded(q, field: str):
     return Bool(q.kind, tuple(fielded(p, field) for p in q.parts)) if isinstance(q, Bool) else replace(q, field=field)
 
 
-__all__ = ["TOKEN", "Bool", "Phrase", "Term", "analysed", "bm25", "boosted", "documents", "fielded", "leaves", "matches", "parse", "phrase_spans", "scores", "spans", "term_condition"]
+__all__ = ["TOKEN", "Bool", "Phrase", "Term", "analysed", "bm25", "boosted", "documents", "fielded", "leaves", "matches", "parse", "phrase_spans", "replace", "scores", "spans", "term_condition", "words"]
