@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from pagelens.functions import markup as M
 from pagelens.functions.sanitize import sanitize
 
+#: Bytes of markup that a task works on at a time; a longer document is a piece of its own.
+PIECE = 4 << 20
 FEATURES = {
     "TEXT": ["text", "trailing", "hyphen_start", "dehyphenated"],
     "OFFSETS": ["text_off", "src_len", "dehyphenated_off"],
@@ -35,20 +38,26 @@ _BOX = (
 )
 
 
-def _rows(text: str, fix: bool, formats: tuple[M.Format, ...]) -> tuple[str | None, list[dict]]:
+_PAGE = M.Page(None)
+
+
+def _columns(text: str, fix: bool, formats: tuple[M.Format, ...], out: list[list]) -> tuple[str | None, int]:
+    """Append the words of a document to the columns ``out``; (format, number of words)."""
     name = M.detect(text, formats)
     boxes, pages = M.parse(sanitize(text, fix), name, formats)
-    out = []
-    for i, b in enumerate(boxes):
-        p = pages[b.page_idx] if 0 <= b.page_idx < len(pages) else M.Page(None)
-        page, section, block, par, line = b.seq
-        out.append({
-            "box_seq": i, "text": b.text, "text_off": b.text_off, "src_len": b.src_len, "trailing": b.trailing, "ulx": b.ulx, "uly": b.uly, "lrx": b.lrx, "lry": b.lry,
-            "confidence": b.confidence, "page_idx": b.page_idx, "page_id": p.id, "page_width": p.width, "page_height": p.height, "line_seq": line, "par_seq": par,
-            "block_seq": block, "section_seq": section, "alternatives": [{"text": t, "off": o} for t, o in b.alternatives],
-            "hyphen_start": b.hyphen_start, "dehyphenated": b.dehyphenated, "dehyphenated_off": b.dehyphenated_off,
-        })
-    return name, out
+    of = [pages[b.page_idx] if 0 <= b.page_idx < len(pages) else _PAGE for b in boxes]
+    seq = [b.seq for b in boxes]
+    values = (
+        range(len(boxes)), [b.text for b in boxes], [b.text_off for b in boxes], [b.src_len for b in boxes], [b.trailing for b in boxes],
+        [b.ulx for b in boxes], [b.uly for b in boxes], [b.lrx for b in boxes], [b.lry for b in boxes], [b.confidence for b in boxes],
+        [b.page_idx for b in boxes], [p.id for p in of], [p.width for p in of], [p.height for p in of],
+        [s[4] for s in seq], [s[3] for s in seq], [s[2] for s in seq], [s[1] for s in seq],
+        [[{"text": t, "off": o} for t, o in b.alternatives] if b.alternatives else () for b in boxes],
+        [b.hyphen_start for b in boxes], [b.dehyphenated for b in boxes], [b.dehyphenated_off for b in boxes],
+    )
+    for column, v in zip(out, values):
+        column.extend(v)
+    return name, len(boxes)
 
 
 def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup", fix: bool = False, time_allowed_ms: int | None = None) -> DataFrame:
@@ -56,30 +65,38 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup",
 
     ``time_allowed_ms`` bounds the work of a task: documents it doesn't get to have the error ``time``.
     """
-    kind, formats = docs.schema[id_col].dataType, tuple(M.FORMATS)  # tasks know formats that were registered
+    kind, known = docs.schema[id_col].dataType, tuple(M.FORMATS)  # tasks know formats that were registered
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("format", T.StringType()), T.StructField("boxes", T._parse_datatype_string(f"ARRAY<{_BOX}>")), T.StructField("error", T.StringType())])
 
     def run(batches):
         began = time.monotonic()
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                formats, boxes, errors = [], [], []
-                for text in part.column(1).to_pylist():
-                    name, rows, error = None, [], None
-                    if time_allowed_ms is not None and (time.monotonic() - began) * 1000 >= time_allowed_ms:
-                        error = "time"
-                    elif text is not None:
-                        try:
-                            text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
-                            name, rows = _rows(text, fix, formats)
-                            error = "unknown format" if name is None and text.strip() else None
-                        except Exception as e:  # noqa: BLE001  (one bad document must not fail the others)
-                            error = f"{type(e).__name__}: {e}"
-                    formats.append(name)
-                    boxes.append(rows)
-                    errors.append(error)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(formats, pa.string()), pa.array(boxes, pa.list_(_ARROW)), pa.array(errors, pa.string())], ["doc_id", "format", "boxes", "error"])
+            # Some megabytes of markup at a time: what is built from them stays small, however long documents are.
+            size, k = 0, 0
+            for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                size += n
+                if size >= PIECE or i == b.num_rows - 1:
+                    yield piece(b.slice(k, i + 1 - k), began)
+                    size, k = 0, i + 1
+
+    def piece(part, began):
+        names, errors, out, at = [], [], [[] for _ in _ARROW], [0]
+        for text in part.column(1).to_pylist():
+            name, n, error = None, 0, None
+            if time_allowed_ms is not None and (time.monotonic() - began) * 1000 >= time_allowed_ms:
+                error = "time"
+            elif text is not None:
+                try:
+                    text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
+                    name, n = _columns(text, fix, known, out)
+                    error = "unknown format" if name is None and text.strip() else None
+                except Exception as e:  # noqa: BLE001  (one bad document must not fail the others)
+                    error = f"{type(e).__name__}: {e}"
+            names.append(name)
+            errors.append(error)
+            at.append(at[-1] + n)
+        words = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(out, _ARROW)], fields=list(_ARROW))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), pa.array(errors, pa.string())], ["doc_id", "format", "boxes", "error"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(markup_col).alias("markup")).mapInArrow(run, schema)
 

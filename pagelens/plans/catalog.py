@@ -136,11 +136,6 @@ def plain_text(spark, d):
     return B.text_of(B.boxes(L.miniocr(docs(spark, d))))
 
 
-@query("convert_to_miniocr", rf"SELECT doc_id, trim(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), ' ')) AS text FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 0")
-def convert_to_miniocr(spark, d):
-    return B.text_of(B.boxes(K.to_miniocr(B.boxes(L.alto(docs(spark, d))))))
-
-
 @query("page_extents", f"WITH {BOXES} SELECT doc_id, page_id, min(ulx) AS ulx, min(uly) AS uly, max(lrx) AS lrx, max(lry) AS lry, count(*) AS n_words FROM x GROUP BY 1, 2")
 def page_extents(spark, d):
     return boxes(spark, d).groupBy("doc_id", "page_id").agg(F.min("ulx").alias("ulx"), F.min("uly").alias("uly"), F.max("lrx").alias("lrx"), F.max("lry").alias("lry"), F.count("*").alias("n_words"))
@@ -186,39 +181,6 @@ def pointer_parse(spark, d):
     return x.select("doc_id", "i", "target", "is_ascii", F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"))
 
 
-@query("pointer_regions")
-def pointer_regions(spark, d):
-    """Two files per document, the text and its mirror image, cut to regions and put together."""
-    x = table(spark, d, "documents").select("doc_id", "text")
-    each = x.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.concat(F.lit(t), F.col("doc_id").cast("string")).alias("target"), F.lit(False).alias("is_ascii"), F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(z).cast("long").alias("end")) for a, z in rs]).alias("regions")) for i, t, rs in ((0, "a", ((0, 4), (10, None))), (1, "b", ((2, 20),)))])).alias("p")).select("doc_id", "p.*")
-    files = x.select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "utf-8").alias("content")).unionByName(x.select(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.reverse("text"), "utf-8").alias("content")))
-    files = files.select("path", F.octet_length("content").cast("long").alias("length"), "content")
-    return R.assemble(each, files).select("doc_id", F.sha2("content", 256).alias("hash"), F.octet_length("content").alias("n_bytes"), "error")
-
-
-@query("utf8_offsets", "SELECT doc_id, n, CAST(strlen(substring(text, 1, n)) AS INTEGER) AS byte_off FROM documents, (SELECT unnest([1, 10, 100, 1000]) AS n)")
-def utf8_offsets(spark, d):
-    x = docs(spark, d).withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 10, 100, 1000)])))
-    return x.select("doc_id", "n", F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("n"))).alias("byte_off"))
-
-
-@query("utf8_range_read")
-def utf8_range_read(spark, d):
-    x = docs(spark, d).select("doc_id", F.encode("text", "utf-8").alias("raw"))
-    return x.select("doc_id", R.utf8_range(F.col("raw"), 7, 100).alias("text"))
-
-
-@query("bom_skip", "SELECT doc_id, text FROM documents")
-def bom_skip(spark, d):
-    x = docs(spark, d).select("doc_id", F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("text", "utf-8")).alias("raw"))
-    return x.select("doc_id", F.decode(F.when(F.substring("raw", 1, 3) == F.lit(b"\xef\xbb\xbf"), F.substring("raw", 4, 2**31 - 1)).otherwise(F.col("raw")), "utf-8").alias("text"))
-
-
-@query("html_strip_br", "SELECT page_id, replace(html, '<br>', '    ') AS html FROM pages")
-def html_strip_br(spark, d):
-    return table(spark, d, "pages").select("page_id", F.replace("html", F.lit("<br>"), F.lit("    ")).alias("html"))
-
-
 @query("sanitize_pages")
 def sanitize_pages(spark, d):
     @F.pandas_udf(T_STRING)
@@ -228,12 +190,6 @@ def sanitize_pages(spark, d):
     return table(spark, d, "pages").select("page_id", fixed("html").alias("html"))
 
 
-@query("dc_metadata", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
- regexp_extract(url, '^https?://([^/]+)', 1) AS host, len(regexp_extract_all(html, '<meta ([^>]*)>', 1)) AS n_meta FROM pages""")
-def dc_metadata(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.size(F.regexp_extract_all("html", F.lit("<meta ([^>]*)>"))).cast("long").alias("n_meta"))
-
-
 @query("upsert_latest", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
 def upsert_latest(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
@@ -284,15 +240,6 @@ def tokenizers(spark, d):
     return docs(spark, d).select("doc_id", F.size(A.tokens("text")).cast("long").alias("n_standard"), F.size(A.whitespace_tokens("text")).cast("long").alias("n_whitespace"))
 
 
-@query("alternatives_same_pos", f"WITH {T} z AS (SELECT 1) SELECT doc_id, term, pos, FALSE AS is_alt FROM p UNION ALL SELECT doc_id, reverse(term), pos, TRUE FROM p WHERE i % 7 = 0 AND pos = (SELECT min(q.pos) FROM p q WHERE q.doc_id = p.doc_id AND q.i = p.i) AND i IN (SELECT i FROM t0 WHERE t0.doc_id = p.doc_id AND t0.i = p.i AND len(ts) = 1 AND gs[1] = '' AND gs[2] = '')")
-def alternatives_same_pos(spark, d):
-    """Every seventh word that is one token has its mirror image as a second reading."""
-    b = boxes(spark, d)
-    one = (F.col("box_seq") % 7 == 0) & F.lower("text").rlike(f"^{TOKEN}$")
-    alt = F.when(one, F.array(F.struct(F.reverse(F.lower("text")).alias("text"), F.col("text_off").alias("off")))).otherwise(F.array().cast("array<struct<text:string,off:bigint>>"))
-    return I.postings(b.withColumn("alternatives", alt)).select("doc_id", "term", "pos", "is_alt")
-
-
 _HYPH = W + r"h AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS nxt, regexp_matches(word, '^[\p{L}]+$') AND i % 16 = 7 AND regexp_matches(lead(word) OVER (PARTITION BY doc_id ORDER BY i), '^[\p{L}]+$') AS st FROM w),"
 
 
@@ -351,16 +298,6 @@ def q_field(spark, d):
     return Q.documents(p, Q.parse("text:the AND role:user")).select("doc_id.conv_id", "doc_id.turn")
 
 
-@query("q_multifield_boost", f"""
-WITH x AS (SELECT conv_id, turn, 'text' AS f, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS t FROM conversations UNION ALL SELECT conv_id, turn, 'role', unnest(regexp_extract_all(lower(role), '{TOKEN}')) FROM conversations),
-s AS (SELECT conv_id, turn, f, count(*) AS n FROM x WHERE t IN ('the', 'user') GROUP BY ALL)
-SELECT conv_id, turn, CAST(sum(n * CASE WHEN f = 'role' THEN 20 ELSE 0.3 END) AS DOUBLE) AS score FROM s GROUP BY ALL""")
-def q_multifield_boost(spark, d):
-    c = table(spark, d, "conversations")
-    n = lambda f: F.size(F.filter(A.tokens(f), lambda t: t.isin("the", "user")))
-    return c.select("conv_id", "turn", n("text").alias("a"), n("role").alias("b")).filter("a + b > 0").groupBy("conv_id", "turn").agg((F.sum("a") * 0.3 + F.sum("b") * 20.0).alias("score")).withColumn("score", F.round("score", 9))
-
-
 def _spans_query(name: str, text: str, sql: str, **kw):
     @query(name, f"WITH {T} {sql}")
     def run(spark, d):
@@ -377,8 +314,8 @@ _spans_query("q_prefix", "thon*", "z AS (SELECT 1) SELECT doc_id, s AS start_off
 _spans_query("q_infix", "*edth*", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE term LIKE '%edth%'")
 _spans_query("q_suffix", "*tionly", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE term LIKE '%tionly'")
 _spans_query("q_qmark", "th?n", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE term LIKE 'th_n'")
-_spans_query("q_fuzzy", "with~1", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE levenshtein(term, 'with') <= 1")
-_spans_query("q_fuzzy2", "thing~2", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE levenshtein(term, 'thing') <= 2")
+_spans_query("q_fuzzy", "with~1", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE damerau_levenshtein(term, 'with') <= 1")
+_spans_query("q_fuzzy2", "thing~2", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE damerau_levenshtein(term, 'thing') <= 2")
 _spans_query("q_no_multi_term", "th?n OR with", "z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE term = 'with'", multi_term=False)
 
 
@@ -390,12 +327,6 @@ def q_filter_labels(spark, d):
     return Q.documents(p, Q.parse("the"))
 
 
-@query("q_highlight_query", f"WITH {T} z AS (SELECT 1) SELECT doc_id, s AS start_off, e AS end_off, term FROM p WHERE term = 'of' AND doc_id IN (SELECT doc_id FROM p WHERE term = 'with')")
-def q_highlight_query(spark, d):
-    p = postings(spark, d)
-    return Q.matches(p, Q.parse("of"), within=Q.documents(p, Q.parse("with"))).select("doc_id", "start_off", "end_off", "term")
-
-
 @query("q_page_filter", f"WITH {T} m AS (SELECT doc_id, s, e, i AS sb, i AS eb, term FROM p WHERE term = 'on' AND i // 160 = 1), {passage_sql()} z AS (SELECT 1) SELECT doc_id, passage_no, p_start, p_end, n_matches FROM pa")
 def q_page_filter(spark, d):
     return _passages(spark, d, HighlightOptions(page_id="p1")).select("doc_id", "passage_no", "p_start", "p_end", "n_matches")
@@ -569,36 +500,8 @@ def snippet_pages(spark, d):
     return r.groupBy("doc_id", "rank").agg(F.array_join(F.array_distinct(listed), ",").alias("pages"))
 
 
-@query("plain_sentences", rf"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> '') AS ss FROM documents),
-x AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS k FROM s)
-SELECT doc_id, CAST(k AS INTEGER) AS sentence_no, len(list_filter(regexp_extract_all(lower(s), '{TOKEN}'), lambda t: t = 'with')) AS n FROM x WHERE list_contains(regexp_extract_all(lower(s), '{TOKEN}'), 'with')""")
-def plain_sentences(spark, d):
-    s = S.sentences(docs(spark, d), ["with"])
-    return s.select("doc_id", "sentence_no", (F.size(F.split("text", "<em>", -1)) - 1).cast("long").alias("n"))
-
-
 # Sinks and tools
 
-@query("responses")
-def responses(spark, d):
-    o = HighlightOptions(snippets=2, norm="none")
-    b = boxes(spark, d)
-    m = Q.matches(I.postings(b), Q.parse("with"))
-    n = P.numbered(P.bounded(m, _units(b, o), o))
-    w = S.words(P.best(P.scored(n, o), o), b, S.spans(m), o)
-    r = S.regions(w, o)
-    return K.responses(S.texts(w), r, S.merged_lines(S.highlights(w, r, o), r), P.totals(n, o), options=o)
-
-
-@query("annotation_list", _WORDS + "SELECT mk.doc_id, CAST(mk.rank AS INTEGER) AS rank, 'p' || mk.page AS page_id, ((i % 8) * 100) || ',' || ((line % 20) * 40) || ',90,30' AS xywh, count(*) AS n FROM mk WHERE hit GROUP BY ALL")
-def annotation_list(spark, d):
-    o = HighlightOptions(snippets=2, norm="none", absolute_highlights=True)
-    w = _snippet_words(spark, d, o)
-    r = S.regions(w, o)
-    a = K.annotations(S.texts(w), S.merged_lines(S.highlights(w, r, o), r.withColumn("uly", F.lit(0).cast("float"))), r, options=o)
-    return a.groupBy("doc_id", "rank", "page_id", "xywh").agg(F.count("*").alias("n"))
-
-
 @query("crop_url", _WORDS + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, 'https://example.org/iiif/p' || page || '/' || ulx || ',' || uly || ',' || (lrx - ulx) || ',' || (lry - uly) || '/full/0/default.jpg' AS url FROM rg")
 def crop_url(spark, d):
     r = S.regions(_snippet_words(spark, d), _OPT)
@@ -622,19 +525,6 @@ def snippet_diff(spark, d):
     return K.difference(snippet_text(spark, d), align_spans(spark, d), ["doc_id", "rank"]).select("doc_id", "rank")
 
 
-@query("ngram_miner", rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS w FROM documents),
-g AS (SELECT doc_id, n, array_to_string(w[p + 1:p + n], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM t, (SELECT unnest(range(2, 9)) AS n))),
-d AS (SELECT doc_id, n, gram, count(*) AS k FROM g GROUP BY ALL HAVING count(*) > 1)
-SELECT CAST(n AS INTEGER) AS n, gram, count(*) AS df, CAST(sum(k) AS BIGINT) AS tf FROM d GROUP BY ALL HAVING count(*) BETWEEN 8 AND 256""")
-def ngram_miner(spark, d):
-    """Phrases for benchmarks: often in a document, in neither too few nor too many documents."""
-    t = docs(spark, d).select("doc_id", A.tokens("text").alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(8)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda p: F.struct(n.alias("n"), F.array_join(F.slice("w", p, n), " ").alias("gram")))).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))))
-    g = t.select("doc_id", F.inline(grams))
-    per = g.groupBy("doc_id", "n", "gram").agg(F.count("*").alias("k")).filter("k > 1")
-    return per.groupBy("n", "gram").agg(F.count("*").alias("df"), F.sum("k").alias("tf")).filter(F.col("df").between(8, 256))
-
-
 @query("time_budget")
 def time_budget(spark, d):
     """With no time at all every document is cut off and reported so."""
