@@ -101,7 +101,10 @@ class Highlighter:
         """
         x, few = self.index, F.col("doc_id").isin(ids or [None])
         m = Q.matches(x.postings.filter(few), q, weight_matches=o.weight_matches, strict_phrases=o.use_phrase_highlighter, multi_term=o.highlight_multi_term, terms=x.terms)
-        w, totals = (self._here(df) for df in snippets(m, x.units.filter(few), x.boxes.filter(few), o))
+        boxes, units = x.boxes.filter(few), x.units.filter(few)
+        if o.context_block == "word" or I.SEQ[o.context_block] not in boxes.columns:
+            units = units.unionByName(I.units(boxes, o.context_block))  # levels that the index doesn't keep
+        w, totals = (self._here(df) for df in snippets(m, units, boxes, o))
         r = self._here(S.regions(w, o))
         h = S.merged_lines(S.highlights(w, r, o), r)
         return [tuple(row) for row in K.responses(S.texts(w), r, h, totals, self.name, o).collect()]

@@ -1,12 +1,19 @@
 """Operators on small documents, files and streams."""
 
 import glob
+import itertools
+import json
 import os
+import random
+import re
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagelens import highlighter
+from pagelens.functions import analysis as A
+from pagelens.highlighter import Highlighter, snippets
 from pagelens.operators import boxes as B
 from pagelens.operators import index as I
 from pagelens.operators import passages as P
@@ -175,3 +182,187 @@ def test_the_rest_imports_without_the_llm_package(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", ".pytest_cache"))
     code = "import __spark_entry__ as e; assert 'q_term' in e.queries() and 'pipeline' not in e.queries() and not any(k.startswith('op1') for k in e.oracle_sql())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+
+
+@pytest.fixture(scope="module")
+def small_index(spark, tmp_path_factory):
+    docs = spark.createDataFrame([(i, t, "Plain $5 text. The cat (sat). No " + t) for i, t in enumerate(["the cat sat on the mat", "the dog sat", "cat cat cat", "a running cat runs on"])], "doc_id LONG, body STRING, note STRING")
+    m = docs.select("doc_id", F.concat(F.lit("<ocr><p xml:id='p' wh='800 800'><b><l>"), F.array_join(F.transform(F.split("body", " "), lambda w, i: F.concat(F.lit('<w x="'), (i * 100).cast("string"), F.lit(' 0 90 30">'), w, F.lit("</w> "))), ""), F.lit("</l></b></p></ocr>")).alias("markup"))
+    path = str(tmp_path_factory.mktemp("ix"))
+    return I.build(B.boxes(m), path, A.Analysis.chain("ocr", "standard", "alternatives", "lowercase", "porter"), 2), docs
+
+
+def test_a_request_from_parameters_to_json(small_index):
+    index, docs = small_index
+    h = Highlighter(index, stored=docs)
+    r = h.search({"q": 'ocr_text:cat AND "sat on"', "hl": "on", "hl.weightMatches": "true", "fl": "note", "hl.fl": "note ocr_*"})
+    out = json.loads(r.json())
+    assert [x["doc_id"] for x in out["response"]["docs"]] == [0] and "partialOcrHighlights" not in out
+    got = out["ocrHighlighting"]["0"]["ocr_text"]
+    assert got["numTotal"] == 1 and got["snippets"][0]["text"] == "the <em>cat</em> <em>sat on</em> the mat" and got["snippets"][0]["pages"] == [{"id": "p"}]
+    assert [x["text"] for x in got["snippets"][0]["highlights"][1]] == ["sat on"]
+    assert out["highlighting"]["0"]["note"] == ["The <em>cat</em> (<em>sat</em>)"]
+    # The query is stemmed like the index, and documents are ranked.
+    assert [x["doc_id"] for x in json.loads(h.search({"q": "runs"}).json())["response"]["docs"]] == [3]
+    assert [r["doc_id"] for r in h.find({"q": "cat", "rows": 2, "start": 0}).collect()][0] == 2
+    assert {r["doc_id"] for r in h.find({"q": "cat", "fq": ["sat", "the"]}).collect()} == {0}
+    assert [r["doc_id"] for r in h.find({"q": "dog^20 cat", "rows": 1}).collect()] == [1]
+    other = h.search({"q": "cat", "hl": "on", "hl.q": "mat", "rows": 4})
+    assert [x[0] for x in other.highlighting.collect()] == [0]
+    simple = h.search({"q": "cat", "hl": "on", "hl.q": '"mat dog"', "hl.qparser": "simple", "rows": 4})
+    assert [x[0] for x in simple.highlighting.collect()] == [0]
+    near = h.search({"q": "dog", "hl": "on", "hl.ocr.contextBlock": "word", "hl.ocr.contextSize": 1})
+    assert json.loads(near.highlighting.first()[1])["ocr_text"]["snippets"][0]["text"] == "the <em>dog</em> sat"
+
+
+def test_time_that_is_up_makes_a_partial_response(small_index):
+    index, _ = small_index
+    r = Highlighter(index).search({"q": "cat", "hl": "on", "timeAllowed": 0})
+    assert r.partial and r.highlighting.count() == 0 and json.loads(r.json())["partialOcrHighlights"] is True
+    ticks = iter(range(0, 1000, 4))
+    r = Highlighter(index, clock=lambda: next(ticks)).search({"q": "cat", "hl": "on", "hl.ocr.timeAllowed": 30_000, "timeAllowed": 9_000}, batch=1)
+    assert r.partial and r.highlighting.count() == 2  # the clock goes on by four seconds for each document
+    assert not Highlighter(index).search({"q": "cat", "hl": "on", "timeAllowed": 600_000}).partial
+
+
+def test_alternatives_survive_as_far_as_the_tokenizer_lets_them(spark):
+    word = lambda text, *alts: (text, [(a, 100 * (i + 1)) for i, a in enumerate(alts)])
+    words = [word("YoB", "OB"), word("pur-chased", "purchased"), word("cattle", "cat-tlc", "cattlc"), word("(x", "y"), word("a" * 100, "b" * 100, "c" * 100)]
+    rows = [(1, i, t, 10 * i, len(t), a) for i, (t, a) in enumerate(words)]
+    b = spark.createDataFrame(rows, "doc_id LONG, box_seq INT, text STRING, text_off LONG, src_len INT, alternatives ARRAY<STRUCT<text: STRING, off: LONG>>")
+    got = sorted((r.pos, r.is_alt, r.term, r.start_off) for r in I.postings(b).collect())
+    assert got == [(0, False, "yob", 0), (0, True, "ob", 100), (1, False, "pur", 10), (2, False, "chased", 14), (3, False, "cattle", 20), (3, True, "cat", 100), (4, False, "x", 31), (5, False, "a" * 100, 40), (5, True, "b" * 100, 100)]
+
+
+@pytest.mark.parametrize("steps", [("standard", "alternatives"), ("ocr", "standard", "lowercase", "alternatives"), ("ocr", "lowercase"), ("ocr", "standard", "what")])
+def test_chains_that_make_no_sense_are_refused(steps):
+    with pytest.raises(ValueError):
+        A.Analysis.chain(*steps)
+    assert A.Analysis.chain("ocr", "whitespace", "alternatives", "stop").stop_words == tuple(A.STOP_WORDS)
+
+
+@pytest.mark.parametrize(("term", "most"), [("abcd", 1), ("abcd", 2), ("aab", 2), ("ab", 2)])
+def test_fuzzy_terms_count_a_change_of_places_once(spark, term, most):
+    def osa(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    terms = ["".join(t) for n in range(1, 6) for t in itertools.product("abcd", repeat=n)]
+    got = {r[0] for r in spark.createDataFrame([(t,) for t in terms], "term STRING").filter(Q.term_condition(Q.Term(term, fuzzy=most))).collect()}
+    assert got == {t for t in terms if osa(t, term) <= most}
+
+
+def test_one_passage_is_built_behind_the_limit(spark):
+    lines = ["hit a", "x", "hit b", "x", "hit c hit d", "x", "hit e"]
+    o = HighlightOptions(snippets=2, max_passages=2, context_size=0, norm="none", limit_block="none")
+    b = B.boxes(spark.createDataFrame([(1, "<ocr>" + mini(lines) + "</ocr>")], "doc_id LONG, markup STRING"))
+    n = P.numbered(P.bounded(Q.matches(I.postings(b), Q.parse("hit")), I.units(b, "line"), o))
+    assert [(r.passage_no, r.n_matches) for r in P.passages(n, o).orderBy("passage_no").collect()] == [(1, 1), (2, 1), (3, 1)]
+    assert P.totals(n, o).first().num_total == 2 + 3
+
+
+def test_annotations_of_all_hits_of_a_snippet(spark):
+    o = HighlightOptions(norm="none", absolute_highlights=True, tag_pre="[[", tag_post="]]")
+    b = B.boxes(spark.createDataFrame([(1, "<ocr>" + mini(["a X, b Y c"]) + "</ocr>")], "doc_id LONG, markup STRING"))
+    w, _ = snippets(Q.matches(I.postings(b), Q.parse("x y")), I.units(b, "line"), b, o)
+    r = S.regions(w, o)
+    a = K.annotations(S.texts(w), S.merged_lines(S.highlights(w, r, o), r), r, options=o).orderBy("span_id").collect()
+    assert [(x.before, x.match, x.after, x.chars) for x in a] == [("a ", "X", ", b Y c", "X,"), ("a X, b ", "Y", " c", "Y")]
+
+
+def test_a_registered_format_and_the_table_function(spark):
+    from pagelens.functions import markup as M
+
+    class Lines(M._Handler):
+        def run(self, markup):
+            self.page(M.Page("one"))
+            for i, w in enumerate(markup.removeprefix("#words ").split()):
+                self.begin(M.Box(w, i, len(w), " ", i, 0, i + 1, 1))
+
+    M.register(M.Format("words", re.compile("^#words"), Lines, True), before="hocr")
+    try:
+        b = B.boxes(spark.createDataFrame([(1, "#words a b"), (2, "<ocr>" + mini(["c"]) + "</ocr>")], "doc_id LONG, markup STRING"))
+        assert sorted((r.doc_id, r.format, r.text) for r in b.collect()) == [(1, "words", "a"), (1, "words", "b"), (2, "miniocr", "c")]
+        highlighter.register(spark)
+        assert [r.text for r in spark.sql("SELECT * FROM ocr_words('#words x y')").collect()] == ["x", "y"]
+    finally:
+        M.FORMATS[:] = [f for f in M.FORMATS if f.name != "words"]
+
+
+def test_searches_read_only_documents_that_were_found(small_index):
+    index, _ = small_index
+    few = F.col("doc_id").isin([1, 2])
+    w, _ = snippets(Q.matches(index.postings.filter(few), Q.parse("cat")), index.units.filter(few), index.boxes.filter(few), HighlightOptions())
+    plan = w._jdf.queryExecution().toString()
+    scans = [x for x in plan.splitlines() if "PushedFilters" in x or "FileScan parquet" in x]
+    assert scans and all("In(doc_id" in x or "doc_id IN" in x for x in scans if "FileScan" in x)
+
+
+def test_mined_phrases_against_a_counter(spark):
+    from collections import Counter
+
+    from pagelens.operators import mining
+
+    g = random.Random(1)
+    docs = [[g.choice(["aa", "bbbb", "cccc", "dd"]) for _ in range(g.randint(0, 60))] for _ in range(12)] + [None, []]
+    got = {(r.n, r.gram): (r.df, r.tf) for r in mining.phrases(spark.createDataFrame([(w,) for w in docs], "words ARRAY<STRING>"), block=10, least_count=2, least_docs=2, longest=4).collect()}
+    df, tf = Counter(), Counter()
+    for w in docs:
+        own = Counter()
+        for s in range(0, len(w or []), 10):
+            part = w[s : s + 10]
+            for n in range(2, 5):
+                for i in range(len(part) - n + 1):
+                    if any(len(x) >= 4 for x in part[i : i + n]):
+                        own[n, " ".join(part[i : i + n])] += 1
+        for k, c in own.items():
+            if c >= 2:
+                df[k] += 1
+                tf[k] += c
+    assert got == {k: (df[k], tf[k]) for k in df if df[k] >= 2}
+
+
+def test_scored_sentences_of_plain_text(spark):
+    docs = spark.createDataFrame([(1, "A cat. The (cat) and a c.t! No dog here"), (2, None), (3, "")], "doc_id LONG, text STRING")
+    got = S.sentences(docs, ["c.t", "cat"], scored=True, options=HighlightOptions(snippets=5, tag_pre="$1[", tag_post="]\\"))
+    assert {r.text for r in got.collect()} == {"A $1[cat]\\", "The ($1[cat]\\) and a c"}
+    assert S.sentences(docs, []).count() == 0
+
+
+def test_folders_and_many_files(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    for i in range(12_000):
+        (tmp_path / "many" / f"f{i}").write_bytes(b"x%d" % i)
+    df = spark.range(12_000).select("id", F.concat(F.lit(f"{tmp_path}/many/f"), F.col("id").cast("string")).alias("ptr"))
+    got = R.load(spark, df, "id", "ptr")
+    assert got.filter("error IS NULL AND cast(content AS string) = concat('x', doc_id)").count() == 12_000
+    odd = spark.createDataFrame([(1, f"{tmp_path}/many"), (2, f"{tmp_path}/nowhere/f1"), (3, f"{tmp_path}/many/f3")], "id LONG, ptr STRING")
+    errors = {r.doc_id: r.error for r in R.load_folder(spark, odd, "id", "ptr", [f"{tmp_path}/many", f"{tmp_path}/nowhere"]).collect()}
+    assert errors[1].startswith("unsupported") and errors[2].startswith("missing") and errors[3] is None
+
+
+def test_issues_become_articles_with_pointers(spark):
+    from pagelens.sources import mets
+
+    ns = 'xmlns:mets="http://www.loc.gov/METS/" xmlns:mods="http://www.loc.gov/mods/v3" xmlns:xlink="http://www.w3.org/1999/xlink"'
+    section = lambda i, body: f'<mets:dmdSec ID="{i}"><mets:mdWrap><mets:xmlData><mods:mods>{body}</mods:mods></mets:xmlData></mets:mdWrap></mets:dmdSec>'
+    area = lambda f, b: f'<mets:fptr><mets:area FILEID="{f}" BEGIN="{b}"/></mets:fptr>'
+    issue = f"""<mets:mets {ns}>{section("MODSMD_PRINT", "<mods:titleInfo><mods:title>News</mods:title><mods:partNumber>7</mods:partNumber></mods:titleInfo><mods:originInfo><mods:dateIssued>1900-01-02</mods:dateIssued></mods:originInfo>")}
+    {section("MODSMD_ARTICLE1", "<mods:titleInfo><mods:title>One</mods:title></mods:titleInfo><mods:name><mods:namePart>Ann</mods:namePart></mods:name>")}
+    <mets:fileSec><mets:fileGrp USE="Text"><mets:file ID="F1"><mets:FLocat xlink:href="file://./text/p1.xml"/></mets:file><mets:file ID="F2"><mets:FLocat xlink:href="file://./text/p2.xml"/></mets:file></mets:fileGrp></mets:fileSec>
+    <mets:structMap TYPE="LOGICAL"><mets:div TYPE="ISSUE"><mets:div TYPE="ARTICLE" DMDID="MODSMD_ARTICLE1">{area("F1", "B3")}{area("F2", "B9")}{area("F1", "B1")}{area("F1", "B7")}</mets:div></mets:div></mets:structMap></mets:mets>"""
+    pages = {"text/p1.xml": '<p>é<TextBlock ID="B1">x</TextBlock> <TextBlock ID="B2">no</TextBlock><TextBlock ID="B3">z</TextBlock></p>'.encode(), "text/p2.xml": b'<TextBlock HPOS="1" ID="B9">y</TextBlock>'}
+    a = mets.articles(spark.createDataFrame([("i1", issue), ("i2", "<broken"), ("i3", None)], "issue_id STRING, mets STRING"))
+    rows = {r.issue_id: r for r in a.collect()}
+    assert set(rows) == {"i1", "i2"} and rows["i2"].error and rows["i1"].article_id == "i1-1"
+    assert (rows["i1"].title, rows["i1"].author, rows["i1"].date, rows["i1"].newspaper_title, rows["i1"].newspaper_part) == ("One", "Ann", "1900-01-02T00:00:00Z", "News", "7")
+    p = mets.pointers(a, spark.createDataFrame(list(pages.items()), "path STRING, content BINARY"), prefix="/data/").first()
+    assert p.missing == 1
+    sources = R.parse(p.pointer)
+    assert [x.target for x in sources] == ["/data/text/p1.xml", "/data/text/p2.xml"]
+    assert [[pages[x.target[6:]][r.start : r.end] for r in x.regions] for x in sources] == [[b'<TextBlock ID="B1">x</TextBlock>', b'<TextBlock ID="B3">z</TextBlock>'], [pages["text/p2.xml"]]]
