@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes each result as Parquet in the shared folder and reads it again for the next stage.
+
+All stages keep columns that they don't know, whatever their names, give no rows for an empty table, and take repeated
+rows and ids as documents of their own. What each does with nulls, empty and very long texts and ties, its docstring says.
 """
 
 from __future__ import annotations
@@ -19,28 +22,34 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts are scored like any other, by statistics of 0."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.reject(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occurred before are removed; a document of such lines only goes."""
+    """Lines that occurred before are removed; a document of such lines only goes.
+
+    Of equal lines the first by (id, row, line) stays, null ids last; null, empty and blank texts stay as they are.
+    """
     return _counted(lines.dedup_lines(docs, drop_emptied=True))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each class of near copies stays: the first by (id, row), null ids last.
+
+    Null, empty and wordless texts are in no class and stay.
+    """
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out."""
+    """Passages of the benchmark are cut out; a document of which no word is left goes, one without passages stays as it is."""
     return _counted(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of whole documents and sentences."""
+    """Windows of whole documents and sentences, in the order of ids, null ids last; texts without tokens are in none."""
     return packing.pack_documents(docs)
 
 
