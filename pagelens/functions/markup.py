@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
+from types import MappingProxyType
 
 SHY = "­"
 ALTERNATIVE = "⇿"
@@ -34,12 +36,15 @@ def entities(s: str) -> str:
     return _ENTITY.sub(one, s) if "&" in s else s
 
 
-@dataclass
+_NONE: Mapping = MappingProxyType({})
+
+
+@dataclass(slots=True)
 class Event:
     kind: str  # start, end or text
     name: str = ""
-    attributes: dict[str, str] = field(default_factory=dict)
-    places: dict[str, int] = field(default_factory=dict)
+    attributes: Mapping[str, str] = _NONE
+    places: Mapping[str, int] = _NONE
     text: str = ""
     at: int = 0
     length: int = 0
@@ -49,35 +54,42 @@ def events(markup: str) -> Iterator[Event]:
     at = 0
     # Behind the last > only a comment or a section that never ends can begin; with a > ahead, no tag is sought to the end in vain.
     last = markup.rfind(">") + 1
-    for m in (*_TOKEN.finditer(markup, 0, last), *_OPEN.finditer(markup, last)) if last < len(markup) else _TOKEN.finditer(markup):
-        if m.start() < at:
+    for m in chain(_TOKEN.finditer(markup, 0, last), _OPEN.finditer(markup, last)) if last < len(markup) else _TOKEN.finditer(markup):
+        begin, end = m.span()
+        if begin < at:
             continue
-        if m.start() > at:
-            yield Event("text", text=entities(markup[at : m.start()]), at=at, length=m.start() - at)
-        at = m.end()
+        if begin > at:
+            yield Event("text", text=entities(markup[at:begin]), at=at, length=begin - at)
+        at = end
         if at == last and m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "]]>")):
             at = len(markup)
         if m[1] is not None:
-            inside = m[1] if at == m.end() else markup[m.start(1) :]
+            inside = m[1] if at == end else markup[m.start(1) :]
             yield Event("text", text=inside, at=m.start(1), length=len(inside))
         elif m.re is _TOKEN and m[3]:
-            name = m[3].rpartition(":")[2]
+            name = m[3]
+            if ":" in name:
+                name = name.rpartition(":")[2]
             if m[2]:
                 yield Event("end", name)
                 continue
             attributes, places = {}, {}
             for a in _ATTRIBUTE.finditer(m[4]):
-                key = a[1] if a[1].startswith("xml:") else a[1].rpartition(":")[2]
-                attributes[key] = entities(a[2] if a[2] is not None else a[3])
-                places[key] = m.start(4) + a.start(2 if a[2] is not None else 3)
-            yield Event("start", name, attributes, places, at=m.start())
+                key, value, g = a[1], a[2], 2
+                if value is None:
+                    value, g = a[3], 3
+                if ":" in key and not key.startswith("xml:"):
+                    key = key.rpartition(":")[2]
+                attributes[key] = entities(value)
+                places[key] = m.start(4) + a.start(g)
+            yield Event("start", name, attributes, places, at=begin)
             if m[4].rstrip().endswith("/"):
                 yield Event("end", name)
     if at < len(markup):
         yield Event("text", text=entities(markup[at:]), at=at, length=len(markup) - at)
 
 
-@dataclass
+@dataclass(slots=True)
 class Box:
     text: str | None = None
     text_off: int = -1
@@ -135,11 +147,13 @@ class _Handler:
         self.pages: list[Page] = []
         self.ordinal = dict.fromkeys(LEVELS, -1)
         self.offset = dict.fromkeys(LEVELS, 0)
+        self.place = tuple(self.ordinal.values()), tuple(self.offset.values())
         self.open: Box | None = None
 
     def block(self, level: str, at: int) -> None:
         self.ordinal[level] += 1
         self.offset[level] = at
+        self.place = tuple(self.ordinal.values()), tuple(self.offset.values())
 
     def page(self, page: Page) -> None:
         self.pages.append(page)
@@ -147,7 +161,7 @@ class _Handler:
 
     def begin(self, box: Box) -> None:
         box.page_idx = len(self.pages) - 1
-        box.seq, box.offsets = tuple(self.ordinal[k] for k in LEVELS), tuple(self.offset[k] for k in LEVELS)
+        box.seq, box.offsets = self.place
         self.boxes.append(box)
 
     def between(self, text: str) -> None:
