@@ -26,13 +26,17 @@ from pagelens.operators import sinks as K
 from pagelens.operators import snippets as S
 
 
-def snippets(matches: DataFrame, units: DataFrame, boxes: DataFrame, o: O.HighlightOptions) -> tuple[DataFrame, DataFrame]:
-    """(words of the best passages with their tags, totals) of matches: what all results are made of."""
+def snippets(matches: DataFrame, units: DataFrame, boxes: DataFrame | Callable[[DataFrame], DataFrame], o: O.HighlightOptions) -> tuple[DataFrame, DataFrame]:
+    """(words of the best passages with their tags, totals) of matches: what all results are made of.
+
+    ``boxes`` can be what gives the boxes of passages, where they aren't stored.
+    """
     n = P.numbered(P.bounded(matches, units, o))
-    return S.words(P.best(P.scored(n, o), o), boxes, S.spans(matches), o), P.totals(n, o)
+    best = P.best(P.scored(n, o), o)
+    return S.words(best, boxes(best) if callable(boxes) else boxes, S.spans(matches), o), P.totals(n, o)
 
 
-def respond(matches: DataFrame, units: DataFrame, boxes: DataFrame, o: O.HighlightOptions, name: str = "ocr_text") -> DataFrame:
+def respond(matches: DataFrame, units: DataFrame, boxes: DataFrame | Callable[[DataFrame], DataFrame], o: O.HighlightOptions, name: str = "ocr_text") -> DataFrame:
     """(doc_id, response): JSON of all documents with matches."""
     w, totals = snippets(matches, units, boxes, o)
     r = S.regions(w, o)

@@ -32,6 +32,8 @@ def postings(boxes: DataFrame, alternatives: bool = True, stop_words: list[str]
     Alternatives have the position of the word they replace. A word that is split has none; of an alternative that is
     split only the beginning counts, and those after it don't. All forms of a word and the marks between them may
     have ``MAX_TOKEN`` characters; alternatives beyond are left out.
+
+    Boxes with ``base``, the number of tokens before each, need no window, hence no shuffle.
     """
     cols = set(boxes.columns)
     text = F.col("text")
@@ -45,8 +47,8 @@ def postings(boxes: DataFrame, alternatives: bool = True, stop_words: list[str]
     # What is before token k of a word: gaps 0..k and tokens 0..k-1, in bytes.
     size = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.octet_length(x))
     placed = F.transform(toks, lambda t, k: F.struct(F.lower(t).alias("term"), k.alias("k"), (size(gaps, k + 1) + size(toks, k)).alias("at"), F.octet_length(t).alias("len")))
-    src = src.select("doc_id", "box_seq", "text_off", place(boxes.columns).alias("place"), text.alias("form"), placed.alias("ts"), *(["alternatives"] if alternatives and "alternatives" in cols else []))
-    src = src.withColumn("base", F.coalesce(F.sum(F.size("ts")).over(before), F.lit(0)))
+    src = src.select("doc_id", "box_seq", "text_off", place(boxes.columns).alias("place"), text.alias("form"), placed.alias("ts"), *(["base"] if "base" in cols else []), *(["alternatives"] if alternatives and "alternatives" in cols else []))
+    src = src.withColumn("base", F.col("base") if "base" in cols else F.coalesce(F.sum(F.size("ts")).over(before), F.lit(0)))
     one = src.select("doc_id", "box_seq", "place", "text_off", "base", F.inline("ts"))
     out = one.select("doc_id", "term", (F.col("base") + F.col("k")).cast("int").alias("pos"), (F.col("text_off") + F.col("at")).alias("start_off"), (F.col("text_off") + F.col("at") + F.col("len")).alias("end_off"), "box_seq", "place", F.lit(False).alias("is_alt"))
     if alternatives and "alternatives" in cols:

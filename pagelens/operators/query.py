@@ -245,8 +245,61 @@ def spans(p: DataFrame, q, default_field: str | None = None, terms: DataFrame |
     return phrase_spans(p, q.terms, q.slop, q.places) if isinstance(q, Phrase) and len(q.terms) > 1 else _term_spans(p, q if isinstance(q, Term) else Term(q.terms[0]), terms)
 
 
+def _holds(q, leaf):
+    """The query over what ``leaf`` makes of its leaves, by & and | and ~."""
+    if not isinstance(q, Bool):
+        return leaf(q)
+    parts = [_holds(x, leaf) for x in q.parts]
+    if q.kind == "not":
+        return ~parts[0]
+    return reduce((lambda a, b: a & b) if q.kind == "and" else (lambda a, b: a | b), parts)
+
+
+def _in_one_pass(p: DataFrame, q: Bool, default_field: str | None) -> DataFrame | None:
+    """(doc_id) of a query of terms, by what each document has of them; None if documents without any can match."""
+    each: dict[Term, str] = {}
+    note = lambda x: each.setdefault(x, f"_{len(each)}")
+    if _holds(q, lambda x: note(x) and _NOTHING) is not _NOTHING:
+        return None
+    of = lambda t: term_condition(t) & (F.col("field") == name if (name := t.field or default_field) and "field" in p.columns else F.lit(True))
+    has = {c: F.coalesce(of(t), F.lit(False)) for t, c in each.items()}
+    found = p.filter(reduce(lambda a, b: a | b, has.values())).groupBy("doc_id").agg(*[F.bool_or(x).alias(c) for c, x in has.items()])
+    return found.filter(_holds(q, lambda t: F.col(each[t]))).select("doc_id")
+
+
+class _Truth:
+    """A truth value for ``_holds``."""
+
+    def __init__(self, value: bool):
+        self.value = value
+
+    def __and__(self, other):
+        return _EVERYTHING if self.value and other.value else _NOTHING
+
+    def __or__(self, other):
+        return _EVERYTHING if self.value or other.value else _NOTHING
+
+    def __invert__(self):
+        return _NOTHING if self.value else _EVERYTHING
+
+
+_NOTHING, _EVERYTHING = _Truth(False), _Truth(True)
+
+
+def _every_leaf(q) -> list:
+    return [x for p in q.parts for x in _every_leaf(p)] if isinstance(q, Bool) else [q]
+
+
+def _has_empty(q) -> bool:
+    return isinstance(q, Bool) and (not q.parts or any(map(_has_empty, q.parts)))
+
+
 def documents(p: DataFrame, q, default_field: str | None = None, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id) of the documents that a query matches."""
+    """(doc_id) of the documents that a query matches; a query of terms reads the postings once, however many it has."""
+    if isinstance(q, Bool) and not _has_empty(q) and all(isinstance(x, Term) and not (terms is not None and (x.wildcard or x.fuzzy)) for x in _every_leaf(q)):
+        found = _in_one_pass(p, q, default_field)
+        if found is not None:
+            return found
     if not isinstance(q, Bool):
         return spans(p, q, default_field, terms).select("doc_id").distinct()
     if q.kind == "not":
@@ -280,7 +333,8 @@ def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame
             out.append(spans(p, leaf, default_field, terms).select(*_SPAN))
             continue
         if not strict_phrases:
-            out += [spans(p, Term(t, leaf.field), default_field).select(*_SPAN) for t in leaf.terms]
+            own = _field(p, leaf.field, default_field).filter(F.col("term").isin(list(leaf.terms)))
+            out.append(own.select("doc_id", "start_off", "end_off", F.col("box_seq").alias("start_box"), F.col("box_seq").alias("end_box"), F.col("place").alias("start_at"), F.col("place").alias("end_at"), "term"))
             continue
         whole = spans(p, leaf, default_field)
         if weight_matches:

@@ -366,3 +366,34 @@ def test_issues_become_articles_with_pointers(spark):
     sources = R.parse(p.pointer)
     assert [x.target for x in sources] == ["/data/text/p1.xml", "/data/text/p2.xml"]
     assert [[pages[x.target[6:]][r.start : r.end] for r in x.regions] for x in sources] == [[b'<TextBlock ID="B1">x</TextBlock>', b'<TextBlock ID="B3">z</TextBlock>'], [pages["text/p2.xml"]]]
+
+
+def test_the_layout_is_local_to_each_document_and_agrees_with_the_index(spark):
+    from pagelens.plans import layout as L
+
+    texts = ["  a\tb-c ,, d.e\n\né—ü x ", "", None, " \n", " ".join(f"w{i},é" for i in range(345)), "the end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    b = L.boxes(docs, counted=True, neighbours=True)
+    p, u = L.postings(docs), L.units(docs, "line", "block", "page", "word")
+    for df in (b, p, u, L.lengths(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    plain = b.drop("base", "prv", "nxt")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(p) == rows(I.postings(plain)) == rows(I.postings(b))
+    assert rows(u) == rows(I.units(plain, "line", "block", "page", "word"))
+    assert rows(L.lengths(docs)) == rows(I.document_lengths(p))
+    some = spark.createDataFrame([(0, 1, 3), (4, 5, 9), (4, 8, 12)], "doc_id LONG, p_first INT, p_last INT")
+    want = plain.filter("doc_id = 0 AND box_seq BETWEEN 1 AND 3 OR doc_id = 4 AND box_seq BETWEEN 5 AND 12")
+    assert rows(L.boxes_in(some, docs)) == rows(want)
+
+
+def test_a_query_of_terms_reads_the_postings_once(spark):
+    from pagelens.plans import layout as L
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c"), (4, "d a c")], "doc_id LONG, text STRING")
+    p = L.postings(docs)
+    for text, want in {"a AND b": [1], "a OR c": [1, 2, 3, 4], "(a OR b) AND NOT c": [1], "+c -b": [3, 4], "* OR d": [4], "NOT a": [2, 3], "a OR NOT c": [1, 4], "d* AND c~1": [4]}.items():
+        df = Q.documents(p, Q.parse(text))
+        plan = df._jdf.queryExecution().executedPlan().toString()  # before it runs: then it has the first plan, too
+        assert "NOT" in text and "AND" not in text or plan.count("Generate posexplode") <= 1, text
+        assert sorted(r[0] for r in df.collect()) == want, text
