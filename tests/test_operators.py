@@ -392,7 +392,7 @@ def test_a_query_of_terms_reads_the_postings_once(spark):
 
     docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "c"), (4, "d a c")], "doc_id LONG, text STRING")
     p = L.postings(docs)
-    for text, want in {"a AND b": [1], "a OR c": [1, 2, 3, 4], "(a OR b) AND NOT c": [1], "+c -b": [3, 4], "* OR d": [4], "NOT a": [2, 3], "a OR NOT c": [1, 4], "d* AND c~1": [4]}.items():
+    for text, want in {"a AND b": [1], "a OR c": [1, 2, 3, 4], "(a OR b) AND NOT c": [1], "+c -b": [3, 4], "* OR d": [4], "NOT a": [2, 3], "a OR NOT c": [1], "d* AND c~1": [4]}.items():
         df = Q.documents(p, Q.parse(text))
         plan = df._jdf.queryExecution().executedPlan().toString()  # before it runs: then it has the first plan, too
         assert "NOT" in text and "AND" not in text or plan.count("Generate posexplode") <= 1, text
