@@ -9,43 +9,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _flat(a: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
-    """(offsets from 0 on, elements) of a list array, which can be a slice; a null list is empty."""
-    if a.null_count:
-        a = pc.fill_null(a, pa.scalar([], a.type))
-    at = a.offsets.to_numpy()
-    return at - at[0], a.values.slice(at[0], at[-1] - at[0])
+def _tools():
+    """Functions that go to the tasks by value, so that workers needn't find this package."""
 
+    def flat(a: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+        """(offsets from 0 on, elements) of a list array, which can be a slice; a null list is empty."""
+        if a.null_count:
+            a = pc.fill_null(a, pa.scalar([], a.type))
+        at = a.offsets.to_numpy()
+        return at - at[0], a.values.slice(at[0], at[-1] - at[0])
 
-def _before(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The sum of the sizes before each element within its list."""
-    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    return total[:-1] - np.repeat(total[at[:-1]], np.diff(at))
+    def before(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sum of the sizes before each element within its list."""
+        total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        return total[:-1] - np.repeat(total[at[:-1]], np.diff(at))
+
+    return flat, before
 
 
 def running(sizes: Column) -> Column:
     """For each element the sum of those before it."""
+    flat, before = _tools()
 
     @F.arrow_udf("array<bigint>")
     def run(a: pa.Array) -> pa.Array:
-        at, v = _flat(a)
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_before(at, v.to_numpy(zero_copy_only=False)), pa.int64()))
+        at, v = flat(a)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(before(at, v.to_numpy(zero_copy_only=False)), pa.int64()))
 
     return run(sizes)
 
 
 def token_places(gaps: Column, tokens: Column) -> Column:
     """(start, box) of each token: the bytes, and the blanks, before it; gap k is before token k, and one more is behind the last."""
+    flat, before = _tools()
 
     @F.arrow_udf("array<struct<start:bigint,box:int>>")
     def run(gaps: pa.Array, tokens: pa.Array) -> pa.Array:
-        (ga, g), (ta, t) = _flat(gaps), _flat(tokens)
+        (ga, g), (ta, t) = flat(gaps), flat(tokens)
         # Gap and token k make one piece; the gap behind the last token of a row belongs to none.
         behind = np.zeros(len(g), bool)
         behind[ga[1:][np.diff(ga) > np.diff(ta)] - 1] = True
         size, blanks = (np.asarray(pc.fill_null(f, 0))[~behind] for f in (pc.binary_length(g), pc.count_substring(g, " ")))
-        start = _before(ta, size + np.asarray(pc.binary_length(t))) + size
-        box = _before(ta, blanks) + blanks
+        start = before(ta, size + np.asarray(pc.binary_length(t))) + size
+        box = before(ta, blanks) + blanks
         fields = [pa.field("start", pa.int64()), pa.field("box", pa.int32())]
         return pa.ListArray.from_arrays(pa.array(ta, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(box, pa.int32())], fields=fields))
 
