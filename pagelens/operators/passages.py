@@ -62,9 +62,13 @@ def bounded(matches: DataFrame, units: DataFrame, options: HighlightOptions) ->
         lo, hi = (F.when(F.col("first_only"), c).otherwise(e) for c, e in zip(chosen, every))
         a = F.greatest(below(m["start_at"][SEQ[base]] - n), lo)
         z = F.least(below(m["end_at"][SEQ[base]] + n + 1) - 1, hi)
+        return F.struct(m.alias("m"), a.alias("a"), z.alias("z"))
+
+    def looked_up(x: Column) -> Column:
+        m, a, z = x["m"], x["a"], x["z"]
         return F.struct(*[m[c].alias(c) for c in cols], F.get("starts", a).alias("p_start"), F.least(F.get("ends", z), F.col("content")).alias("p_end"), F.get("firsts", a).alias("p_first"), F.get("lasts", z).alias("p_last"))
 
-    out = each.select("doc_id", "content", F.explode(F.transform("_ms", context)).alias("m")).select("doc_id", "m.*", "content")
+    out = each.select("doc_id", "content", F.explode(F.transform(F.transform("_ms", context), looked_up)).alias("m")).select("doc_id", "m.*", "content")
     return out.filter((F.col("start_off") < F.col("content")) & (F.col("end_off") <= F.col("content")))
 
 

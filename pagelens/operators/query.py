@@ -9,6 +9,7 @@ are on (document, position). Wildcards and fuzzy terms are looked up in the dict
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -196,6 +197,37 @@ def with_term(p: DataFrame, t: Term, terms: DataFrame | None = None) -> DataFram
     return p.filter(F.col("term").isin(few)) if len(few) <= LITERALS else p.join(found, "term", "left_semi")
 
 
+def wanted(leaves: list) -> Callable[[str], bool]:
+    """Whether a token in lower case can be one that ``leaves`` stand for: all of these, and of fuzzy terms some more.
+
+    Its ``lengths`` and ``firsts`` are the numbers of characters and the first characters that such tokens have, or None.
+    """
+    exact, patterns, fuzzy, firsts = set(), [], [], set()
+    for x in leaves:
+        if isinstance(x, Phrase):
+            exact |= set(x.terms)
+        elif x.text not in ("*", ""):
+            if x.wildcard:
+                patterns.append(re.compile(wildcard_pattern(x.text)))
+                firsts.add(x.text[0])
+            else:
+                exact.add(x.text)
+                if x.fuzzy:
+                    fuzzy.append((x.text, x.fuzzy))
+
+    def near(a: str, b: str, most: int) -> bool:
+        # An edit adds, drops or changes one character: what one of them has more of comes from at least as many edits.
+        return abs(len(a) - len(b)) <= most and sum(max(0, a.count(c) - b.count(c)) for c in set(a)) <= most
+
+    def want(t: str) -> bool:
+        return t in exact or any(p.search(t) for p in patterns) or any(near(t, text, most) for text, most in fuzzy)
+
+    firsts |= {x[0] for x in exact if x}
+    want.lengths = None if patterns else sorted({len(x) for x in exact} | {len(x) + i for x, most in fuzzy for i in range(-most, most + 1)})
+    want.firsts = None if fuzzy or firsts & {"*", "?"} else sorted(firsts)
+    return want
+
+
 _SPAN = ("doc_id", "start_off", "end_off", "start_box", "end_box", "start_at", "end_at", "term")
 
 
@@ -290,6 +322,11 @@ def _every_leaf(q) -> list:
     return [x for p in q.parts for x in _every_leaf(p)] if isinstance(q, Bool) else [q]
 
 
+def needed(q) -> list | None:
+    """The leaves whose postings decide which documents match; None if documents without any of them can match."""
+    return None if _has_empty(q) or _holds(q, lambda x: _NOTHING) is not _NOTHING else _every_leaf(q)
+
+
 def _has_empty(q) -> bool:
     return isinstance(q, Bool) and (not q.parts or any(map(_has_empty, q.parts)))
 

@@ -406,3 +406,23 @@ def test_a_text_without_words_has_no_markup_and_is_no_bad_document(spark):
     for render in (L.miniocr, L.hocr, L.alto):
         got = {r.doc_id: (r.error, len(r.boxes)) for r in B.parsed(render(docs)).collect()}
         assert got == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (None, 2)}
+
+
+def test_one_pass_over_the_texts_finds_what_a_query_needs_of_the_layout(spark):
+    from pagelens.plans import layout as L
+
+    texts = ["  a\tOn-c ,, d.on\n\né—ü On x ", "", None, " \n", " ".join(f"w{i},é" if i % 50 else "of the" for i in range(700)), "the end", "É on 𝐀on on", "Kon Of​the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    p = L.postings(docs)
+    for text, level, k in (("on", "line", 2), ('"of the"', "block", 1), ("w1* OR th? OR wnd~2 OR é", "word", 4)):
+        q, o = Q.parse(text), HighlightOptions(context_block=level, context_size=k, limit_block="page", weight_matches=True)
+        near = L.Near(docs, Q.leaves(q), level, k, "words")
+        m = Q.matches(near.postings(), q, weight_matches=True)
+        assert rows(m) == rows(Q.matches(p, q, weight_matches=True)) and m.count(), text
+        want = P.bounded(m, L.units(docs, level), o)
+        assert rows(P.bounded(m, near.units(), o)) == rows(want), text
+        bounds = want.select("doc_id", "p_first", "p_last").distinct()
+        assert rows(near.boxes_in(bounds)) == rows(L.boxes_in(bounds, docs)), text
+    for n in ("Exchange", "Generate posexplode"):  # a term is sought without a row for each word
+        assert n not in L.Near(docs, Q.leaves(Q.parse("on"))).postings()._jdf.queryExecution().executedPlan().toString()
