@@ -37,22 +37,3 @@ def running(sizes: Column) -> Column:
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(before(at, v.to_numpy(zero_copy_only=False)), pa.int64()))
 
     return run(sizes)
-
-
-def token_places(gaps: Column, tokens: Column) -> Column:
-    """(start, box) of each token: the bytes, and the blanks, before it; gap k is before token k, and one more is behind the last."""
-    flat, before = _tools()
-
-    @F.arrow_udf("array<struct<start:bigint,box:int>>")
-    def run(gaps: pa.Array, tokens: pa.Array) -> pa.Array:
-        (ga, g), (ta, t) = flat(gaps), flat(tokens)
-        # Gap and token k make one piece; the gap behind the last token of a row belongs to none.
-        behind = np.zeros(len(g), bool)
-        behind[ga[1:][np.diff(ga) > np.diff(ta)] - 1] = True
-        size, blanks = (np.asarray(pc.fill_null(f, 0))[~behind] for f in (pc.binary_length(g), pc.count_substring(g, " ")))
-        start = before(ta, size + np.asarray(pc.binary_length(t))) + size
-        box = before(ta, blanks) + blanks
-        fields = [pa.field("start", pa.int64()), pa.field("box", pa.int32())]
-        return pa.ListArray.from_arrays(pa.array(ta, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(box, pa.int32())], fields=fields))
-
-    return run(gaps, tokens)

@@ -228,6 +228,16 @@ def wanted(leaves: list) -> Callable[[str], bool]:
     return want
 
 
+def every_token() -> Callable[[str], bool]:
+    """As ``wanted`` gives it, for all tokens."""
+
+    def want(t: str) -> bool:
+        return True
+
+    want.lengths = want.firsts = None
+    return want
+
+
 _SPAN = ("doc_id", "start_off", "end_off", "start_box", "end_box", "start_at", "end_at", "term")
 
 

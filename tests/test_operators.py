@@ -426,3 +426,25 @@ def test_one_pass_over_the_texts_finds_what_a_query_needs_of_the_layout(spark):
         assert rows(near.boxes_in(bounds)) == rows(L.boxes_in(bounds, docs)), text
     for n in ("Exchange", "Generate posexplode"):  # a term is sought without a row for each word
         assert n not in L.Near(docs, Q.leaves(Q.parse("on"))).postings()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_words_take_no_arrays_along(spark):
+    from pagelens.plans import layout as L
+
+    rows = lambda df: sorted(map(repr, df.collect()))
+
+    def carried(df):
+        def walk(node):
+            if node.nodeName() == "Generate":
+                out = node.requiredChildOutput()
+                yield from (out.apply(i).dataType().typeName() for i in range(out.size()))
+            kids = node.children()
+            for i in range(kids.size()):
+                yield from walk(kids.apply(i))
+
+        return list(walk(df._jdf.queryExecution().optimizedPlan()))
+
+    docs = spark.createDataFrame([(1, "a b-c d " * 9), (2, ""), (3, None)], "doc_id long, text string")
+    every = L.boxes(docs, counted=True, neighbours=True)
+    assert "array" not in carried(every) + carried(L.postings(docs))  # each word would copy what all others have
+    assert rows(L.boxes(docs, counted=True, neighbours=True, step=7)) == rows(every.filter("box_seq % 7 = 0"))
