@@ -151,3 +151,41 @@ def test_bad_markup_takes_linear_time(bad, tail):
 )
 def test_what_never_ends_goes_on_to_the_end(markup, texts):
     assert [e.text for e in events(markup) if e.kind == "text"] == texts
+
+
+def test_documents_of_one_shape_are_read_as_the_parser_reads_them():
+    import pyarrow as pa
+
+    from pagelens.functions import markup, shapes
+    from pagelens.operators import boxes as B
+
+    page = '<div class="ocr_page" id="p{0}" title="bbox 0 0 {0} 9"><div class="ocr_carea"><span class="ocr_line">{1}</span></div></div>'
+    word = '<span class="ocrx_word" title="bbox {} 2 3 4{}">{}</span>'
+    hocr = "<html>" + "".join(page.format(k, word.format(k, "; x_wconf 9", "é&amp;b") + ", x " + word.format(1, "", "don't")) for k in (1, 2)) + "</html>"
+    alto = '<alto><Page ID="a&amp;b" WIDTH="1" HEIGHT="2"><TextLine>' + "".join(f'<String HPOS="{k}" VPOS="1" WIDTH="1" HEIGHT="2" CONTENT="w{k}ü" WC="0.{k}"/>' + "<SP/>" * (k % 3) for k in range(9)) + "</TextLine></Page></alto>"
+    mini = '<ocr><p xml:id="p" wh="1 2"><b><l><w x="1 2 3 4">a</w> <w x=".1 .2 .3 .4" c="9">b</w></l><l><w x="1 2 3 4">&lt;</w></l></b></p></ocr>'
+
+    def read(text):
+        name = markup.detect(text)
+        r = shapes.Reader(next(f.handler for f in markup.FORMATS if f.name == name))
+        return r.words(B._ARROW)[1].to_pylist() if r.begin() or r.add(text) else None
+
+    def parsed(text):
+        out = [[] for _ in B._ARROW]
+        B._columns(text, False, tuple(markup.FORMATS), out)
+        return pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(out, B._ARROW)], fields=list(B._ARROW)).to_pylist()
+
+    for text in (hocr, alto, mini):
+        assert read(text) == parsed(text) and len(parsed(text)) > 2
+    for text in (hocr.replace("don't", f"do{SHY}"), hocr.replace("</div>", "", 1), hocr.replace(", x", ", <br>"), hocr.replace("don't", "<b>x</b>"), alto.replace("w3", "w&#173;"), alto.replace("/><SP/>", "><ALTERNATIVE>v</ALTERNATIVE></String>", 1), mini.replace("a<", "a⇿b<"), mini.replace(' x="1 2 3 4">a', ">a"), mini.replace("<b>", "<!-- <b>")):
+        assert read(text) is None, text  # the parser's
+
+
+def test_plain_documents_beside_others_keep_their_order(spark):
+    from pagelens.operators import boxes as B
+
+    texts = ['<w x="1 2 3 4">a</w> <w x="1 2 3 4">b</w>', None, "no markup", '<w x="1 2 3 4">c⇿d</w>', '<alto><String HPOS="1" VPOS="1" WIDTH="1" HEIGHT="1" CONTENT="e"/></alto>', "", '<w x="1 2 3 4">f</w>']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, markup STRING").coalesce(1)
+    got = B.parsed(docs).selectExpr("doc_id", "boxes.text AS t", "error").orderBy("doc_id").collect()
+    assert [r.t for r in got] == [["a", "b"], [], [], ["c"], ["e"], [], ["f"]]
+    assert [r.error for r in got] == [None, None, "unknown format", None, None, None, None]
