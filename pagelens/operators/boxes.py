@@ -62,13 +62,17 @@ def _columns(text: str, fix: bool, formats: tuple[M.Format, ...], out: list[list
     return name, len(boxes)
 
 
-def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup", fix: bool = False, time_allowed_ms: int | None = None) -> DataFrame:
+def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup", fix: bool = False, time_allowed_ms: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """(doc_id, format, boxes, error): one row per document; a bad document has an error, never an exception.
 
+    ``columns`` are the columns of boxes that are asked for, since Spark can't drop what Python sends; None: all.
+
     ``time_allowed_ms`` bounds the work of a task: documents it doesn't get to have the error ``time``.
     """
     kind, known = docs.schema[id_col].dataType, tuple(M.FORMATS)  # tasks know formats that were registered
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("format", T.StringType()), T.StructField("boxes", T._parse_datatype_string(f"ARRAY<{_BOX}>")), T.StructField("error", T.StringType())])
+    box = T._parse_datatype_string(_BOX)
+    fields = [f for f in _ARROW if columns is None or f.name in columns]
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("format", T.StringType()), T.StructField("boxes", T.ArrayType(T.StructType([box[f.name] for f in fields]))), T.StructField("error", T.StringType())])
 
     readers: dict[str, shapes.Reader] = {}
 
@@ -115,10 +119,10 @@ def parsed(docs: DataFrame, id_col: str = "doc_id", markup_col: str = "markup",
             names.append(name)
             errors.append(error)
             counts.append(n)
-        words = [pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(out, _ARROW)], fields=list(_ARROW))]
+        words = [pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(out, _ARROW) if f in fields], fields=fields)]
         rows, sizes = [i for i, n in enumerate(counts) if n is not None], [n for n in counts if n is not None]
         for reader, its in plain.items():
-            n, found = reader.words(_ARROW)
+            n, found = reader.words(fields)
             words.append(found)
             rows += its
             sizes += n
