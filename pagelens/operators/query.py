@@ -363,11 +363,14 @@ def documents(p: DataFrame, q, default_field: str | None = None, terms: DataFram
     return out
 
 
-def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame | None = None, weight_matches: bool = False, strict_phrases: bool = True, multi_term: bool = True, terms: DataFrame | None = None) -> DataFrame:
+def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame | None = None, weight_matches: bool = False, strict_phrases: bool = True, multi_term: bool = True, terms: DataFrame | None = None, unique: bool = False) -> DataFrame:
     """Spans to highlight: (doc_id, start_off, end_off, start_box, end_box, start_at, end_at, term).
 
     A phrase gives one span per word, or one for the whole phrase with ``weight_matches``; without
     ``strict_phrases`` its words match everywhere. Without ``multi_term`` wildcards and fuzzy terms give none.
+
+    Spans are distinct. Of ``unique`` postings (one for a place of a document) those of a single term, or of words that
+    match everywhere, are so without a shuffle.
     """
     p = _placed(p)
     if within is not None:
@@ -394,6 +397,8 @@ def matches(p: DataFrame, q, default_field: str | None = None, within: DataFrame
             out.append(inside.select("doc_id", "start_off", "end_off", F.col("box_seq").alias("start_box"), F.col("box_seq").alias("end_box"), F.col("place").alias("start_at"), F.col("place").alias("end_at"), "term"))
     if not out:
         return _term_spans(p, Term("")).select(*_SPAN)
+    if unique and len(out) == 1 and (not strict_phrases or not any(isinstance(x, Phrase) for x in leaves(q))):
+        return out[0]
     return out[0].distinct() if len(out) == 1 else reduce(DataFrame.unionByName, out).distinct()
 
 

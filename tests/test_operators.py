@@ -448,3 +448,18 @@ def test_rows_of_words_take_no_arrays_along(spark):
     every = L.boxes(docs, counted=True, neighbours=True)
     assert "array" not in carried(every) + carried(L.postings(docs))  # each word would copy what all others have
     assert rows(L.boxes(docs, counted=True, neighbours=True, step=7)) == rows(every.filter("box_seq % 7 = 0"))
+
+
+def test_snippets_are_made_once_and_unique_spans_need_no_shuffle(spark, tmp_path):
+    from pagelens.plans import catalog as C
+
+    docs = spark.createDataFrame([(1, "a on b " * 30), (2, "on of the on")], "doc_id LONG, text STRING")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("snippet_highlights_abs", "snippet_highlights_rel"):
+        df = C.QUERIES[name](spark, str(tmp_path))
+        assert "passage_no" not in df._jdf.queryExecution().analyzed().toString(), name  # its words are read, not made twice
+        assert df.count() > 2
+    for name in ("q_phrase_loose", "q_fuzzy2"):
+        df = C.QUERIES[name](spark, str(tmp_path))
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+        assert df.count() == df.distinct().count()
