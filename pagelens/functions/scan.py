@@ -1,7 +1,8 @@
 """Texts of the layout in one pass over their characters, without a row or a regular expression for each word.
 
 A task reads Arrow batches, some megabytes of text at a time, and keeps what a query asks for: the tokens of its terms, the
-units of the layout near them, and the words there.
+units of the layout near them, and the words there. Texts that can't have such a token are left out by a regular expression
+of Arrow before.
 """
 
 from __future__ import annotations
@@ -34,11 +35,38 @@ def _letters() -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(1)
+def _forms() -> dict[str, list[str]]:
+    """For characters in lower case, all others that they, or they among others, can come from."""
+    out: dict[str, list[str]] = {"ς": ["Σ"]}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        if (low := c.lower()) != c:
+            for x in low:
+                out.setdefault(x, []).append(c)
+    return out
+
+
+def _one_of(chars) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
+def _sought(texts: list[str] | None) -> str | None:
+    """A regular expression that is found in all texts with a token that ``texts``, with * and ?, stand for in lower case."""
+    each = []
+    for t in texts or ():
+        part = max(t.split("*"), key=lambda x: len(x.replace("?", "")))
+        if not part.strip("?"):
+            return None
+        each.append("".join("(?s:.)" if c == "?" else _one_of([c, *_forms().get(c, ())]) for c in part))
+    # One character becomes two in lower case.
+    return None if texts is None else "|".join([*each, _one_of("İ")])
+
+
 def near(docs: DataFrame, wanted: Callable, size: int = 1, around: int = 0, units: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, hits[, content, n, ids, starts, ends][, w_ids, ws, offs]) of ``docs`` (doc_id, text) that have a wanted token.
 
-    ``wanted`` decides on tokens in lower case; those of ASCII that it can want have one of its ``lengths`` and begin with one
-    of its ``firsts``, if these aren't None. Units have ``size`` words: their numbers, where they begin and end; and ``words``
+    ``wanted`` decides on tokens in lower case; those that it can want begin with one of its ``firsts`` and, of ASCII, have one
+    of its ``lengths``, and what it ``sought`` is all that it can want, if these aren't None. Units have ``size`` words: their numbers, where they begin and end; and ``words``
     are those in units at most ``around`` units from a token: number, text and offset.
     """
     types = {"hits": f"ARRAY<{HIT}>"}
@@ -47,10 +75,16 @@ def near(docs: DataFrame, wanted: Callable, size: int = 1, around: int = 0, unit
     if words:
         types |= {"w_ids": "ARRAY<INT>", "ws": "ARRAY<STRING>", "offs": "ARRAY<BIGINT>"}
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(k, T._parse_datatype_string(v)) for k, v in types.items())])
-    return docs.select("doc_id", "text").mapInArrow(_task(wanted, size, around, units, words, PIECE, _letters()), schema)
+    return docs.select("doc_id", "text").mapInArrow(_task(wanted, size, around, units, words, PIECE, _letters(), *_before(wanted)), schema)
+
 
+def _before(wanted: Callable) -> tuple[str | None, list[int] | None]:
+    """What texts with a wanted token have in them, and the characters that such a token can begin with."""
+    begins = None if wanted.firsts is None else sorted({ord(c) for f in wanted.firsts for c in (f, *_forms().get(f, ()))})
+    return _sought(wanted.sought), begins
 
-def _task(wanted, size, around, with_units, with_words, most, letters):
+
+def _task(wanted, size, around, with_units, with_words, most, letters, pattern, first_chars):
     """The function of a task; it goes to workers by value, so that they needn't find this package."""
 
     def run(batches):
@@ -63,9 +97,9 @@ def _task(wanted, size, around, with_units, with_words, most, letters):
         kinds[[9, 10, 13, 32]] = 1
         known: dict[str, bool] = {}
         count = np.int64
-        sizes, firsts = wanted.lengths, wanted.firsts
-        begins = np.zeros(128, bool)
-        begins[[ord(c) for f in firsts or () for c in {f, f.upper()} if c.isascii()]] = True
+        sizes = wanted.lengths
+        begins = np.zeros(0x110000, bool)
+        begins[first_chars or []] = True
 
         def asked(token):
             if token not in known:
@@ -118,10 +152,10 @@ def _task(wanted, size, around, with_units, with_words, most, letters):
             may = np.ones(len(s), bool)
             if sizes is not None:
                 may &= np.isin(n_bytes, sizes)
-            if firsts is not None:
-                may &= begins[np.minimum(cp[s], 127)]
-            if len(raw) > len(cp):
-                may |= n_bytes != e - s  # other letters may change in lower case
+                if len(raw) > len(cp):
+                    may |= n_bytes != e - s  # other letters may change in lower case
+            if first_chars is not None:
+                may &= begins[cp[s]]
             may = np.flatnonzero(may)
             coded = toks.take(pa.array(may)).dictionary_encode()
             good = np.fromiter(map(asked, coded.dictionary.to_pylist()), bool, len(coded.dictionary))
@@ -177,6 +211,8 @@ def _task(wanted, size, around, with_units, with_words, most, letters):
 
         names = ["doc_id", "hits", *(["content", "n", "ids", "starts", "ends"] if with_units else []), *(["w_ids", "ws", "offs"] if with_words else [])]
         for b in batches:
+            if pattern is not None:
+                b = b.filter(pc.match_substring_regex(b.column(1), pattern))
             bytes_of = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
             total, k = 0, 0
             for i, n in enumerate(bytes_of.tolist()):

@@ -200,15 +200,17 @@ def with_term(p: DataFrame, t: Term, terms: DataFrame | None = None) -> DataFram
 def wanted(leaves: list) -> Callable[[str], bool]:
     """Whether a token in lower case can be one that ``leaves`` stand for: all of these, and of fuzzy terms some more.
 
-    Its ``lengths`` and ``firsts`` are the numbers of characters and the first characters that such tokens have, or None.
+    Its ``lengths`` and ``firsts`` are the numbers of characters and the first characters that such tokens have, or None;
+    ``sought`` has the terms and wildcards that they are, or is None.
     """
-    exact, patterns, fuzzy, firsts = set(), [], [], set()
+    exact, patterns, wild, fuzzy, firsts = set(), [], set(), [], set()
     for x in leaves:
         if isinstance(x, Phrase):
             exact |= set(x.terms)
         elif x.text not in ("*", ""):
             if x.wildcard:
                 patterns.append(re.compile(wildcard_pattern(x.text)))
+                wild.add(x.text)
                 firsts.add(x.text[0])
             else:
                 exact.add(x.text)
@@ -225,6 +227,7 @@ def wanted(leaves: list) -> Callable[[str], bool]:
     firsts |= {x[0] for x in exact if x}
     want.lengths = None if patterns else sorted({len(x) for x in exact} | {len(x) + i for x, most in fuzzy for i in range(-most, most + 1)})
     want.firsts = None if fuzzy or firsts & {"*", "?"} else sorted(firsts)
+    want.sought = None if fuzzy else sorted(exact | wild)
     return want
 
 
@@ -234,7 +237,7 @@ def every_token() -> Callable[[str], bool]:
     def want(t: str) -> bool:
         return True
 
-    want.lengths = want.firsts = None
+    want.lengths = want.firsts = want.sought = None
     return want
 
 

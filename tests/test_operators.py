@@ -428,6 +428,42 @@ def test_one_pass_over_the_texts_finds_what_a_query_needs_of_the_layout(spark):
         assert n not in L.Near(docs, Q.leaves(Q.parse("on"))).postings()._jdf.queryExecution().executedPlan().toString()
 
 
+_ODD = ["the with", "The", "THE,of", "other then", "the-with\nof", "the\n", None, "", " \n", "\u212aon \u212a\u212a kon", "\u0130t it", "éthe the\u0301", "É é", "the\u200bof", "thé", "ẞ ß", "\u212bngstr\u00d6m", "with1 1with", "𝐀the the𝐀 of", "ΤΗΟΣ σ", "x" * 300_000 + " the", "THON\u0130 thonk", "é" * 9 + " thon"]
+_BAD = b"\xffthe\xff the\xc3 of\xe2\x84 thon\xff"  # not UTF-8
+
+
+def _odd(spark):
+    docs = spark.createDataFrame(list(enumerate(_ODD)), "doc_id LONG, text STRING")
+    return docs.unionByName(spark.createDataFrame([(len(_ODD), bytearray(_BAD)), (2, bytearray(b"again with"))], "doc_id LONG, b BINARY").selectExpr("doc_id", "cast(b AS STRING) AS text"))
+
+
+def test_a_prefix_is_sought_in_texts_and_tokens_that_can_have_it(spark):
+    import pyarrow as pa
+
+    from pagelens.functions import scan
+    from pagelens.plans import layout as L
+
+    docs = _odd(spark)
+    p = L.postings(docs)
+    for text in ("thon*", "t?on*", "*th*", "k*", "i*", "?i*", "thoni*", "*σ", "the OR kk", "é*", "??", "ång*m"):
+        q = Q.parse(text)
+        rows = lambda df: sorted(map(repr, Q.matches(df, q).collect()))
+        assert rows(L.Near(docs, Q.leaves(q)).postings()) == rows(p), text
+    want, asked = Q.wanted(Q.leaves(Q.parse("thon*"))), []
+
+    def noted(t):
+        asked.append(t)
+        return want(t)
+
+    noted.lengths, noted.firsts, noted.sought = want.lengths, want.firsts, getattr(want, "sought", None)
+    more = scan._before(noted) if hasattr(scan, "_before") else ()
+    task = scan._task(noted, 1, 0, False, False, scan.PIECE, scan._letters(), *more)
+    texts = ["the the tin", "thé Émile", "été thon tin Thonet"]
+    out = list(task([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])]))
+    assert [r["doc_id"] for b in out for r in b.to_pylist()] == [3]
+    assert sorted(asked) == ["thon", "thonet", "tin"]  # no token of the other texts, none that begins with another letter
+
+
 def test_rows_of_words_take_no_arrays_along(spark):
     from pagelens.plans import layout as L
 
