@@ -2,7 +2,7 @@
 
 A task reads Arrow batches, some megabytes of text at a time, and keeps what a query asks for: the tokens of its terms, the
 units of the layout near them, and the words there. Texts that can't have such a token are left out by a regular expression
-of Arrow before.
+of Arrow before; where it only matters whether a text has a term, that is all there is to do.
 """
 
 from __future__ import annotations
@@ -62,6 +62,40 @@ def _sought(texts: list[str] | None) -> str | None:
     return None if texts is None else "|".join([*each, _one_of("İ")])
 
 
+def plain(term: str) -> bool:
+    """Whether ``holding`` finds ``term``: letters and numbers up to U+00FF, in lower case, whose upper case is the same everywhere."""
+    return bool(term) and term == term.lower() and all(c <= "ÿ" and unicodedata.category(c)[0] in "LN" for c in term)
+
+
+def holding(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, term): which ``terms``, all of them ``plain``, are tokens in lower case of each of ``docs`` (doc_id, text); each once."""
+    letters = "".join(f"\\x{{{a:x}}}-\\x{{{z - 1:x}}}" for a, z in _letters())
+    form = lambda c: _one_of([c, *(x for x in _forms().get(c, ()) if x.lower() == c)])
+    patterns = {t: rf"(?:\A|[^{letters}]){''.join(map(form, t))}(?:[^{letters}]|\z)" for t in terms}
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("term", T.StringType())])
+    return docs.select("doc_id", "text").mapInArrow(_holding_task(patterns), schema)
+
+
+def _holding_task(patterns):
+    """The function of a task; it goes to workers by value."""
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for b in batches:
+            texts = b.column(1)
+            try:
+                texts.validate(full=True)
+            except pa.ArrowInvalid:  # what isn't UTF-8 is between words
+                texts = pa.array([None if x is None else x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()], pa.string())
+            for t, pattern in patterns.items():
+                ids = b.column(0).filter(pc.match_substring_regex(texts, pattern))
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([ids, pa.repeat(pa.scalar(t), len(ids))], ["doc_id", "term"])
+
+    return run
+
+
 def near(docs: DataFrame, wanted: Callable, size: int = 1, around: int = 0, units: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, hits[, content, n, ids, starts, ends][, w_ids, ws, offs]) of ``docs`` (doc_id, text) that have a wanted token.
 

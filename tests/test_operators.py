@@ -437,6 +437,23 @@ def _odd(spark):
     return docs.unionByName(spark.createDataFrame([(len(_ODD), bytearray(_BAD)), (2, bytearray(b"again with"))], "doc_id LONG, b BINARY").selectExpr("doc_id", "cast(b AS STRING) AS text"))
 
 
+def test_documents_of_plain_terms_are_found_without_rows_of_tokens(spark, tmp_path):
+    from pagelens.plans import catalog as C
+    from pagelens.plans import layout as L
+
+    docs = _odd(spark)
+    p = L.postings(docs)
+    for text in ("the", "+the -with of", "kk OR kon", "it", "é OR ß", "ångström AND NOT the", "* OR with", "the AND (of OR with)", '"the of" OR kk', "σ OR τηος", "th? AND NOT of", "don't OR of"):
+        for q in (Q.parse(text), Q.parse(text, "and")):
+            got = Q.documents(L.holding(docs, Q.needed(q)), Q.Bool("or", (q,)))
+            assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in Q.documents(p, q).collect()), text
+    held = L.holding(docs, Q.needed(Q.parse("the OR of")))
+    assert held.count() == held.distinct().count() and {r.term for r in held.collect()} == {"the", "of"}
+    docs.filter("text IS NOT NULL").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("q_default_and", "q_plus_minus", "q_term", "q_bool_and"):
+        assert "Generate" not in C.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_a_prefix_is_sought_in_texts_and_tokens_that_can_have_it(spark):
     import pyarrow as pa
 
